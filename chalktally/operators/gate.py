@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalktally.functions import expr
@@ -140,47 +140,26 @@ def quota_replay(
     first refusal every later request is refused as well. A day's first request
     has no earlier ones (NULL) and passes.
 
-    The requests are exchanged once, on (user, day, slice). Quotas and the sums
-    of earlier slices come from a table with a row per user, day and slice.
+    The requests are exchanged once, on (user, day, slice). The quotas come from
+    a table with a row per user and day, so a busy user is no hot join key.
     """
     rows = requests.withColumn("date", expr.day("created_at"))
     bounds = skew.cuts(rows.select(*_DAY_KEYS, *_ORDER), _DAY_KEYS, _ORDER, share, min_rows)
     sliced = skew.slice_rows(rows, bounds, _DAY_KEYS, _ORDER)
-    keys = [*_DAY_KEYS, "_slice"]
-    before_slice = (
-        Window.partitionBy(*_DAY_KEYS)
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    running = skew.running_before(
+        sliced, bounds, _DAY_KEYS, _ORDER, F.col("total_tokens"), "_earlier"
     )
-    limits = (
-        skew.slice_rows(rows.select(*_DAY_KEYS, *_ORDER, "total_tokens"), bounds, _DAY_KEYS, _ORDER)
-        .groupBy(*keys)
-        .agg(F.sum("total_tokens").alias("_amount"))
-        .withColumn("_carry", F.sum("_amount").over(before_slice))
-        .join(
-            users.select(F.col("id").alias("user_id"), F.col("daily_token_quota").alias("_quota")),
-            "user_id",
-            "left",
-        )
-        .drop("_amount")
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    quotas = users.select(
+        F.col("id").alias("user_id"), F.col("daily_token_quota").alias("_quota")
     )
+    limits = rows.select(*_DAY_KEYS).distinct().join(quotas, "user_id")
     return (
-        sliced.withColumn("_earlier", F.sum("total_tokens").over(earlier))
-        .join(limits, keys, "left")
-        .withColumn("_earlier", _plus("_earlier", "_carry"))
+        running.join(skew.spread(limits, bounds, _DAY_KEYS), [*_DAY_KEYS, "_slice"], "left")
         .withColumn("refused", F.coalesce(F.col("_earlier") >= F.col("_quota"), F.lit(False)))
-        .drop("date", "_slice", "_earlier", "_carry", "_quota")
+        .drop("date", "_slice", "_earlier", "_quota")
     )
 
 
-def _plus(a: str, b: str) -> Column:
-    """Sum that is NULL only if both sides are."""
-    return F.coalesce(F.col(a) + F.col(b), a, b)
-
-
 def replay_decisions(
     requests: DataFrame,
     users: DataFrame,
@@ -207,7 +186,7 @@ def replay_decisions(
         stored = usage_before.select(*_DAY_KEYS, F.col("tokens_used").alias("_stored"))
         running = running.join(
             skew.spread(stored, bounds, _DAY_KEYS), [*_DAY_KEYS, "_slice"], "left"
-        ).withColumn("_earlier", _plus("_earlier", "_stored")).drop("_stored")
+        ).withColumn("_earlier", skew.plus("_earlier", "_stored")).drop("_stored")
     return running.withColumn(
         "status",
         F.coalesce("_refusal", F.when(F.col("_earlier") >= F.col("_quota"), 429), F.lit(200)),

@@ -21,12 +21,12 @@ def history(messages: DataFrame, k: int = HISTORY) -> DataFrame:
     newest = Window.partitionBy("session_id").orderBy(
         F.desc("created_at"), F.desc(expr.sender_rank("sender")), F.desc("id")
     )
-    oldest = Window.partitionBy("session_id").orderBy(F.desc("_age"))
+    kept = F.count("*").over(Window.partitionBy("session_id"))
     return (
         messages.select("id", "session_id", "sender", "content", "created_at")
         .withColumn("_age", F.row_number().over(newest))
         .where(F.col("_age") <= k)
-        .withColumn("position", F.row_number().over(oldest))
+        .withColumn("position", (kept - F.col("_age") + 1).cast("int"))
         .select(
             "session_id", "position", "id", expr.chat_role("sender").alias("role"), "content"
         )

@@ -77,6 +77,7 @@ def with_messages(
     sessions: DataFrame,
     messages: DataFrame,
     page_size: int = PAGE_SIZE,
+    subset: bool = False,
     share: float = skew.SHARE,
     min_rows: int = skew.MIN_ROWS,
 ) -> DataFrame:
@@ -86,34 +87,41 @@ def with_messages(
     longer one continues on further rows, so no array grows without limit.
     Sessions without messages have an empty array. Message text is exchanged
     once, on (session, slice); the sessions are copied to the slices instead.
+    ``subset`` says that ``sessions`` are only some of all: messages of the
+    others are then dropped before the ordering.
     """
     order = ["created_at", "_rank", "id"]
     ranked = messages.withColumn("_rank", expr.sender_rank("sender"))
     bounds = skew.cuts(
         ranked.select("session_id", *order), ["session_id"], order, share, min_rows
     )
+    owners = skew.spread(
+        sessions.select(*COLUMNS).withColumnRenamed("id", "session_id"), bounds, ["session_id"]
+    )
     rows = skew.slice_rows(
         ranked.select("_rank", *_MESSAGE_FIELDS), bounds, ["session_id"], order
     )
-    pages_before = skew.carry(
-        skew.slice_rows(ranked.select("session_id", *order), bounds, ["session_id"], order),
-        bounds,
-        ["session_id"],
-        F.ceil(F.count("*") / page_size),
-    )
+    if subset:
+        rows = rows.join(
+            owners.select("session_id", "_slice"), ["session_id", "_slice"], "left_semi"
+        )
     place = Window.partitionBy("session_id", "_slice").orderBy(*order)
     entry = F.struct(*order, *(c for c in _MESSAGE_FIELDS if c not in order))
     pages = (
         rows.withColumn("_page", F.floor((F.row_number().over(place) - 1) / page_size))
         .groupBy("session_id", "_slice", "_page")
         .agg(F.sort_array(F.collect_list(entry)).alias("messages"))
-        .join(F.broadcast(pages_before), ["session_id", "_slice"], "left")
+    )
+    keys_only = skew.slice_rows(
+        ranked.select("session_id", *order), bounds, ["session_id"], order
+    )
+    pages = (
+        skew.add_carry(
+            pages, keys_only, bounds, ["session_id"], F.ceil(F.count("*") / page_size)
+        )
         .withColumn("_page", F.col("_page") + F.coalesce("_carry", F.lit(0)))
         .drop("_carry")
     )
-    owners = skew.spread(
-        sessions.select(*COLUMNS).withColumnRenamed("id", "session_id"), bounds, ["session_id"]
-    )
     joined = owners.join(pages, ["session_id", "_slice"], "left")
     nothing = F.array().cast(pages.schema["messages"].dataType)
     return joined.where((F.col("_slice") == 0) | F.col("_page").isNotNull()).select(

@@ -5,10 +5,10 @@ hold a large part of all rows, its rows are cut into contiguous ranges of the
 order, called slices here; the window then runs over (key, slice) and what the
 earlier slices contribute is added from a small table.
 
-What may be broadcast is bounded by counting: only a key with more than
-``share`` of all rows is hot, so there are at most 1/share hot keys, and a key
-gets about one cut per ``share`` of all rows, so there are about 1/share cuts
-in total, however large the input is.
+What is broadcast here is bounded by counting: only a key with more than
+``share`` of all rows is hot, so there are fewer than 1/share hot keys, and a
+key gets about one cut per ``share`` of all rows, so there are about 1/share
+cuts in total, however large the input is.
 """
 
 from __future__ import annotations
@@ -16,47 +16,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalktally import session
+
 SHARE = 1 / 4096
 MIN_ROWS = 1_000_000
 _BLOCK = 40
 
 
-def hot_groups(
-    df: DataFrame, keys: list[str], share: float = SHARE, min_rows: int = MIN_ROWS
-) -> DataFrame:
-    """Keys with more rows than a task should take, and that number of rows
-    (``_rows_per_slice``). Counted map-side, no group is gathered."""
-    total = df.agg(F.count("*").alias("n"))
-    limit = F.greatest(F.lit(min_rows), (total.scalar() * F.lit(share)).cast("long"))
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    return (
-        counts.withColumn("_rows_per_slice", limit)
-        .where(F.col("_n") > F.col("_rows_per_slice"))
-        .drop("_n")
-    )
-
-
 def cuts(
     df: DataFrame,
     keys: list[str],
     order: list[str],
     share: float = SHARE,
     min_rows: int = MIN_ROWS,
-) -> DataFrame:
-    """Range bounds of the hot keys: (keys, ``_cuts`` sorted array of order values).
-
-    Bounds are rows of the key picked by a hash of their order values. Which
-    rows are picked only decides how even the slices are, never the result, and
-    a recomputed task picks the same ones. ``df`` is read three times by the
-    callers: pass a plain scan, and join other columns later.
+) -> DataFrame | None:
+    """Range bounds of the hot keys: (keys, ``_cuts`` sorted array of order
+    values), or None if no key is hot, which is the ordinary case and leaves the
+    plan of the caller a plain window.
+
+    This counts rows per key at once (map-side, nothing is gathered), before the
+    caller's own plan is built. Bounds are rows of the key picked by a hash of
+    their order values: which ones only decides how even the slices are, never
+    the result. The bounds are checkpointed, so all readers see the same ones.
+    ``df`` should be a plain scan; join other columns later.
     """
-    hot = hot_groups(df, keys, share, min_rows)
+    total = df.count()
+    limit = max(min_rows, int(total * share))
+    if total <= limit:
+        return None
+    session.ensure_checkpoint_dir(df.sparkSession)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") > limit).select(*keys).checkpoint()
+    if hot.isEmpty():
+        return None
     picked = (
         df.select(*keys, *order)
         .join(F.broadcast(hot), keys)
-        .where(F.pmod(F.xxhash64(*order), F.col("_rows_per_slice")) == 0)
+        .where(F.pmod(F.xxhash64(*order), F.lit(limit)) == 0)
+    )
+    bounds = picked.groupBy(*keys).agg(
+        F.sort_array(F.collect_set(F.struct(*order))).alias("_cuts")
     )
-    return picked.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(*order))).alias("_cuts"))
+    return bounds.checkpoint()
 
 
 def _slice_number(bounds: Column, here: Column) -> Column:
@@ -71,8 +72,12 @@ def _slice_number(bounds: Column, here: Column) -> Column:
     return F.when(block > 0, (block - 1) * _BLOCK + inside).otherwise(0)
 
 
-def slice_rows(df: DataFrame, bounds: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def slice_rows(
+    df: DataFrame, bounds: DataFrame | None, keys: list[str], order: list[str]
+) -> DataFrame:
     """Add ``_slice``: 0 for ordinary keys, the range number for hot ones."""
+    if bounds is None:
+        return df.withColumn("_slice", F.lit(0))
     number = _slice_number(F.col("_cuts"), F.struct(*order))
     return (
         df.join(F.broadcast(bounds), keys, "left")
@@ -81,11 +86,12 @@ def slice_rows(df: DataFrame, bounds: DataFrame, keys: list[str], order: list[st
     )
 
 
-def spread(df: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+def spread(df: DataFrame, bounds: DataFrame | None, keys: list[str]) -> DataFrame:
     """One copy of a per-key row for each slice of its key, to be joined on
     (keys, ``_slice``). Only hot keys get more than one."""
-    last = F.coalesce(F.size("_cuts"), F.lit(0))
-    last = F.when(F.col("_cuts").isNull(), 0).otherwise(last)
+    if bounds is None:
+        return df.withColumn("_slice", F.lit(0))
+    last = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts"))
     return (
         df.join(F.broadcast(bounds), keys, "left")
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), last)))
@@ -93,25 +99,47 @@ def spread(df: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def carry(sliced: DataFrame, bounds: DataFrame, keys: list[str], amount: Column) -> DataFrame:
-    """Per slice of the hot keys: ``_carry``, the aggregate ``amount`` summed
-    over the earlier slices. As many rows as there are cuts and hot keys."""
+def _earlier_slices(keys: list[str]):
+    return (
+        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+
+def earlier_rows(keys: list[str], order: list[str]):
+    """Window over the rows of the same key and slice before this one."""
+    return (
+        Window.partitionBy(*keys, "_slice")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+
+
+def add_carry(
+    df: DataFrame, sliced: DataFrame, bounds: DataFrame | None, keys: list[str], amount: Column
+) -> DataFrame:
+    """Add ``_carry`` to rows with (keys, ``_slice``): the aggregate ``amount``
+    of ``sliced``, summed over the earlier slices of the key; NULL for ordinary
+    keys. The table behind it has one row per cut and hot key."""
+    if bounds is None:
+        return df.withColumn("_carry", F.lit(None).cast("long"))
     totals = (
         sliced.join(F.broadcast(bounds.select(*keys)), keys, "left_semi")
         .groupBy(*keys, "_slice")
         .agg(amount.alias("_amount"))
+        .withColumn("_carry", F.sum("_amount").over(_earlier_slices(keys)))
+        .drop("_amount")
     )
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return totals.select(*keys, "_slice", F.sum("_amount").over(earlier).alias("_carry"))
+    return df.join(F.broadcast(totals), [*keys, "_slice"], "left")
+
+
+def plus(a: str, b: str) -> Column:
+    """Sum that is NULL only if both sides are."""
+    return F.coalesce(F.col(a) + F.col(b), a, b)
 
 
 def running_before(
     sliced: DataFrame,
-    bounds: DataFrame,
+    bounds: DataFrame | None,
     keys: list[str],
     order: list[str],
     value: Column,
@@ -119,15 +147,6 @@ def running_before(
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the earlier rows of the key, NULL
     where there is none. One exchange of the rows, on (keys, ``_slice``)."""
-    earlier = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = carry(sliced, bounds, keys, F.sum(value))
-    return (
-        sliced.withColumn(name, F.sum(value).over(earlier))
-        .join(F.broadcast(carried), [*keys, "_slice"], "left")
-        .withColumn(name, F.coalesce(F.col(name) + F.col("_carry"), name, "_carry"))
-        .drop("_carry")
-    )
+    summed = sliced.withColumn(name, F.sum(value).over(earlier_rows(keys, order)))
+    carried = add_carry(summed, sliced, bounds, keys, F.sum(value))
+    return carried.withColumn(name, plus(name, "_carry")).drop("_carry")

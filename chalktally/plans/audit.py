@@ -13,9 +13,8 @@ def student_history(
     session_rows: DataFrame, users: DataFrame, messages: DataFrame, **paging
 ) -> DataFrame:
     """Live sessions of live students with messages and printed title."""
-    nested = sessions.with_messages(
-        sessions.auditable(session_rows, users), messages, **paging
-    )
+    wanted = sessions.auditable(session_rows, users)
+    nested = sessions.with_messages(wanted, messages, subset=True, **paging)
     return nested.withColumn("label", expr.title("title"))
 
 
@@ -27,4 +26,4 @@ def read_sessions(
     decisions = gate.session_read_decisions(requests, users, session_rows)
     asked = decisions.where(F.col("status") == 200).select(F.col("session_id").alias("id"))
     wanted = session_rows.join(asked.distinct(), "id", "left_semi")
-    return decisions, sessions.with_messages(wanted, messages, **paging)
+    return decisions, sessions.with_messages(wanted, messages, subset=True, **paging)

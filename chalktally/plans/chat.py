@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chalktally.functions import expr
 from chalktally.operators import changes, gate, prompts, usage
-from chalktally.sources.tables import SCHEMAS, Tables
+from chalktally.sources.tables import Tables
 
 
 class Prepared(NamedTuple):
@@ -40,43 +40,36 @@ class Settled(NamedTuple):
     usage_stats: DataFrame
 
 
-def answer_pairs(admitted: DataFrame, replies: DataFrame) -> DataFrame:
-    """The two message rows of every admitted request.
+def answers(admitted: DataFrame, replies: DataFrame) -> DataFrame:
+    """Every admitted request with its reply and token counts.
 
     ``admitted`` has request_id, user_id, session_id, message, created_at;
     ``replies`` has request_id, reply and token counts. A request whose stream
-    broke off before the first chunk is stored with an empty reply and the
-    default counts.
+    broke off before the first chunk gets an empty reply and the default counts.
     """
-    asked = admitted.select("request_id", "session_id", "message", "created_at")
-    answered = asked.join(
-        replies.select("request_id", "reply", "prompt_tokens", "completion_tokens"),
-        "request_id",
-        "left",
+    asked = admitted.select("request_id", "user_id", "session_id", "message", "created_at")
+    got = replies.select("request_id", "reply", "prompt_tokens", "completion_tokens")
+    return (
+        asked.join(got, "request_id", "left")
+        .withColumn("reply", F.coalesce("reply", F.lit("")))
+        .withColumn("prompt_tokens", expr.tokens_or_default("prompt_tokens"))
+        .withColumn("completion_tokens", expr.tokens_or_default("completion_tokens"))
+        .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
     )
 
-    def field(name: str, value):
-        return value.cast(SCHEMAS["messages"][name].dataType).alias(name)
-
-    prompt = expr.tokens_or_default("prompt_tokens")
-    completion = expr.tokens_or_default("completion_tokens")
-    number = F.lit(None)
-    user_row = F.struct(
-        F.lit("user").alias("sender"),
-        F.col("message").alias("content"),
-        field("prompt_tokens", number),
-        field("completion_tokens", number),
-        field("total_tokens", number),
-    )
-    model_row = F.struct(
-        F.lit("llm").alias("sender"),
-        F.coalesce("reply", F.lit("")).alias("content"),
-        field("prompt_tokens", prompt),
-        field("completion_tokens", completion),
-        field("total_tokens", prompt + completion),
-    )
+
+def message_pairs(answered: DataFrame) -> DataFrame:
+    """The two message rows of every answered request: the user's without token
+    counts, the model's with them."""
+    counts = ("prompt_tokens", "completion_tokens", "total_tokens")
+
+    def row(sender: str, content: str, with_counts: bool):
+        fields = [F.when(F.lit(with_counts), F.col(c)).cast("int").alias(c) for c in counts]
+        return F.struct(F.lit(sender).alias("sender"), F.col(content).alias("content"), *fields)
+
+    pair = F.array(row("user", "message", False), row("llm", "reply", True))
     return answered.select(
-        "request_id", "session_id", "created_at", F.explode(F.array(user_row, model_row)).alias("m")
+        "request_id", "session_id", "created_at", F.explode(pair).alias("m")
     ).select(
         F.concat_ws(":", F.col("request_id").cast("string"), "m.sender").alias("id"),
         "session_id",
@@ -88,11 +81,7 @@ def answer_pairs(admitted: DataFrame, replies: DataFrame) -> DataFrame:
 def settle(admitted: DataFrame, replies: DataFrame, usage_stats: DataFrame) -> Settled:
     """Message rows to append and the next usage snapshot. Exactly the admitted
     requests are charged, each once."""
-    pairs = answer_pairs(admitted, replies)
-    answers = pairs.where(F.col("sender") == "llm").select("id", "total_tokens")
-    charged = admitted.select(
-        F.concat(F.col("request_id").cast("string"), F.lit(":llm")).alias("id"),
-        "user_id",
-        "created_at",
-    ).join(answers, "id")
-    return Settled(pairs, usage.merge(usage_stats, usage.daily(charged)))
+    answered = answers(admitted, replies)
+    return Settled(
+        message_pairs(answered), usage.merge(usage_stats, usage.daily(answered))
+    )

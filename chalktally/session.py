@@ -41,14 +41,20 @@ def local(app: str, cores: int = 8, **extra: str) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder for tables a job writes and reads back.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder all executors see, named by ``spark.checkpoint.dir``.
 
-    On a cluster it lies under ``spark.checkpoint.dir``, which all executors
-    see. Only a session without that setting (tests) gets a temporary folder.
+    Only a session without that setting (tests) gets a temporary folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="chalktally-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    current = spark.sparkContext.getCheckpointDir()
+    if current is None:
+        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
+            prefix="chalktally-"
+        )
+        spark.sparkContext.setCheckpointDir(current)
+    return current
+
+
+def work_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder in the shared one, for tables a job writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
