@@ -132,8 +132,8 @@ def chunks_of(messages: DataFrame) -> DataFrame:
     """Reply chunks: every model message cut after each blank. Each chunk has
     its place in the reply; the last one carries the token counts, unless the
     message id is a multiple of 3 (a model that reports none)."""
-    pieces = F.posexplode(F.split("content", "(?<= )")).alias("seq", "delta")
-    last = F.col("seq") == F.size(F.split("content", "(?<= )")) - 1
+    pieces = F.split("content", "(?<= )")
+    last = F.col("seq") == F.col("_n") - 1
     reported = last & (F.col("request_id") % 3 != 0)
     return (
         messages.where(F.col("sender") == "llm")
@@ -141,11 +141,12 @@ def chunks_of(messages: DataFrame) -> DataFrame:
             F.col("id").alias("request_id"),
             "session_id",
             F.col("created_at").alias("started_at"),
-            "content",
             F.col("prompt_tokens").alias("_prompt"),
             F.col("completion_tokens").alias("_completion"),
-            pieces,
+            pieces.alias("_pieces"),
         )
+        .withColumn("_n", F.size("_pieces"))
+        .select("*", F.posexplode("_pieces").alias("seq", "delta"))
         .select(
             "request_id",
             "session_id",
