@@ -191,6 +191,12 @@ def audit_decisions(spark, sf):
     return gate.audit_decisions(asked, volume.users(spark, sf))
 
 
+@_register
+def own_accounts(spark, sf):
+    asked = volume.requests(spark, sf).select("request_id", "user_id")
+    return gate.own_accounts(asked, volume.users(spark, sf))
+
+
 @_register
 def areas(spark, sf):
     return gate.areas(volume.users(spark, sf))
@@ -388,6 +394,13 @@ def create_rules(spark, sf):
     ).snapshot
 
 
+@_register
+def create_rules_status(spark, sf):
+    return changes.create_rules(
+        volume.teacher_rules(spark, sf), volume.new_rules(spark, sf)
+    ).statuses
+
+
 @_register
 def bind_rules(spark, sf):
     admitted = _chat_decisions(spark, sf).where(F.col("status") == 200)
@@ -496,9 +509,10 @@ def settle_usage(spark, sf):
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the provided tables as a stream of files."""
+    """One of the provided tables as a stream of files. The path is a pattern,
+    as a stream takes folders and patterns but not one file."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
 
 
 @_register

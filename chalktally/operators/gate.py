@@ -49,6 +49,16 @@ def role_decisions(requests: DataFrame, users: DataFrame, gate: str) -> DataFram
     )
 
 
+def own_accounts(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Add the caller's own account and ``status``: 401 if there is none."""
+    columns = ("username", "role", "daily_token_quota", "is_deleted")
+    return (
+        requests.join(_callers(users, *columns), "user_id", "left")
+        .withColumn("status", F.when(F.col("_known").isNull(), 401).otherwise(200))
+        .drop("_known")
+    )
+
+
 def session_read_decisions(
     requests: DataFrame, users: DataFrame, sessions: DataFrame
 ) -> DataFrame:

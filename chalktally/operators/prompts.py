@@ -73,30 +73,38 @@ def system_text(users: DataFrame, rules: DataFrame) -> DataFrame:
 
 def assemble(
     requests: DataFrame,
+    sessions: DataFrame,
     users: DataFrame,
     rules: DataFrame,
     messages: DataFrame,
     k: int = HISTORY,
 ) -> DataFrame:
-    """Add ``payload`` to requests (``user_id``, ``session_id``, ``message``):
-    system prompt, the session's last messages, the new message."""
+    """Add ``payload`` to admitted requests (``session_id``, ``message``): system
+    prompt, the session's last messages, the new message.
+
+    An admitted request comes from the owner of its session. System prompt and
+    history are therefore brought together per session, and the requests, of
+    which there are many more, are joined once.
+    """
 
     def entry(role: str, content: str):
         return F.struct(F.lit(role).alias("role"), F.col(content).alias("content"))
 
     lists = history_lists(messages, k)
     nothing = F.array().cast(lists.schema["history"].dataType)
-    systems = system_text(users, rules).select("user_id", "system_prompt")
-    return (
-        requests.join(systems, "user_id", "left")
+    contexts = (
+        sessions.select(F.col("id").alias("session_id"), "user_id")
+        .join(system_text(users, rules).select("user_id", "system_prompt"), "user_id")
         .join(lists, "session_id", "left")
-        .withColumn(
-            "payload",
+        .select(
+            "session_id",
             F.concat(
-                F.array(entry("system", "system_prompt")),
-                F.coalesce("history", nothing),
-                F.array(entry("user", "message")),
-            ),
+                F.array(entry("system", "system_prompt")), F.coalesce("history", nothing)
+            ).alias("_context"),
         )
-        .drop("system_prompt", "history")
+    )
+    return (
+        requests.join(contexts, "session_id")
+        .withColumn("payload", F.concat("_context", F.array(entry("user", "message"))))
+        .drop("_context")
     )

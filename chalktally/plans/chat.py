@@ -30,7 +30,14 @@ def prepare(
     admitted = decisions.where(F.col("status") == 200)
     return Prepared(
         decisions,
-        prompts.assemble(admitted, tables.users, tables.teacher_rules, tables.messages, k),
+        prompts.assemble(
+            admitted,
+            tables.sessions,
+            tables.users,
+            tables.teacher_rules,
+            tables.messages,
+            k,
+        ),
         changes.bind_rules(tables.sessions, tables.users, tables.teacher_rules, admitted),
     )
 

@@ -249,6 +249,11 @@ SQL = {
         SELECT r.request_id, r.user_id AS student_id,
           CASE WHEN u.role = 'student' AND NOT u.is_deleted THEN 200 ELSE 404 END AS status
         FROM v_requests r LEFT JOIN v_users u ON u.id = r.user_id""",
+    "own_accounts": """
+        SELECT r.request_id, r.user_id, u.username, u.role, u.daily_token_quota, u.is_deleted,
+          CASE WHEN u.id IS NULL THEN 401 ELSE 200 END AS status
+        FROM v_requests r LEFT JOIN (SELECT * FROM v_users WHERE NOT is_deleted) u
+          ON u.id = r.user_id""",
     "areas": """
         SELECT u.id, u.role, a.area FROM v_users u
         JOIN (VALUES ('admin', 'Admin Panel'), ('admin', 'Teacher Console'), ('admin', 'AI Chat'),
@@ -376,6 +381,9 @@ SQL = {
           CONCAT('{"level":', json_extract_string(props, '$.k'), '}'),
           CASE WHEN event_id % 3 = 0 THEN TRUE ELSE value > 50 END
         FROM events WHERE event_type = 'purchase'""",
+    "create_rules_status": """
+        SELECT event_id + 1000000000 AS id, CAST(NULL AS VARCHAR) AS reason, 201 AS status
+        FROM events WHERE event_type = 'purchase'""",
     "bind_rules": """
         SELECT b.id, b.user_id, CASE WHEN EXISTS (SELECT 1 FROM v_decided d
             WHERE d.session_id = b.id AND d.status = 200) THEN b.applied_rule_id END

@@ -113,6 +113,13 @@ def test_role_gates(spark, room):
     }
 
 
+def test_own_accounts(spark, room):
+    asked = spark.createDataFrame([("student_a",), ("deleted_s",), ("ghost",)], "user_id string")
+    assert as_set(gate.own_accounts(asked, room.users), "user_id", "username", "status") == {
+        ("student_a", "student_a", 200), ("deleted_s", None, 401), ("ghost", None, 401)
+    }
+
+
 def test_areas_by_role(room):
     assert as_set(gate.areas(room.users), "id", "area") == {
         ("admin1", "Admin Panel"), ("admin1", "Teacher Console"), ("admin1", "AI Chat"),
