@@ -30,14 +30,14 @@ def cuts(
     share: float = SHARE,
     min_rows: int = MIN_ROWS,
 ) -> DataFrame | None:
-    """Range bounds of the hot keys: (keys, ``_cuts`` sorted array of order
-    values), or None if no key is hot, which is the ordinary case and leaves the
-    plan of the caller a plain window.
+    """The slices of the hot keys as ranges of the order (see ``ranges``), or
+    None if no key is hot, which is the ordinary case and leaves the plan of the
+    caller a plain window.
 
     This counts rows per key at once (map-side, nothing is gathered), before the
-    caller's own plan is built. Bounds are rows of the key picked by a hash of
+    caller's own plan is built. Cuts are rows of the key picked by a hash of
     their order values: which ones only decides how even the slices are, never
-    the result. The bounds are checkpointed, so all readers see the same ones.
+    the result. The ranges are checkpointed, so all readers see the same ones.
     ``df`` should be a plain scan; join other columns later.
     """
     total = df.count()
@@ -54,35 +54,65 @@ def cuts(
         .join(F.broadcast(hot), keys)
         .where(F.pmod(F.xxhash64(*order), F.lit(limit)) == 0)
     )
-    bounds = picked.groupBy(*keys).agg(
+    cut = picked.groupBy(*keys).agg(
         F.sort_array(F.collect_set(F.struct(*order))).alias("_cuts")
     )
-    return bounds.checkpoint()
+    return ranges(cut, keys).checkpoint()
 
 
-def _slice_number(bounds: Column, here: Column) -> Column:
-    """How many bounds are not above ``here``: first the block of bounds, then
-    the place inside it, so a row is compared with about 2 * sqrt(n) bounds."""
-    blocks = F.transform(
-        F.sequence(F.lit(1), F.size(bounds), F.lit(_BLOCK)),
-        lambda start: F.slice(bounds, start, _BLOCK),
+def ranges(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and slice from (keys, ``_cuts`` sorted array): the slice
+    runs from ``_from`` up to before ``_to``, NULL meaning without end. Slices
+    are also grouped to blocks with ranges of their own."""
+    block = F.col("_slice").cast("int") - F.col("_slice") % _BLOCK
+    return (
+        cut.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.size("_cuts"))))
+        .withColumn("_block", block)
+        .select(
+            *keys,
+            "_slice",
+            "_block",
+            F.get("_cuts", F.col("_slice") - 1).alias("_from"),
+            F.get("_cuts", F.col("_slice")).alias("_to"),
+            F.get("_cuts", F.col("_block") - 1).alias("_block_from"),
+            F.get("_cuts", F.col("_block") + (_BLOCK - 1)).alias("_block_to"),
+        )
     )
-    block = F.size(F.filter(blocks, lambda b: F.get(b, 0) <= here))
-    inside = F.size(F.filter(F.get(blocks, block - 1), lambda bound: bound <= here))
-    return F.when(block > 0, (block - 1) * _BLOCK + inside).otherwise(0)
+
+
+def _within(here: Column, start: str, end: str) -> Column:
+    after = F.col(start).isNull() | (F.col(start) <= here)
+    return after & (F.col(end).isNull() | (here < F.col(end)))
 
 
 def slice_rows(
     df: DataFrame, bounds: DataFrame | None, keys: list[str], order: list[str]
 ) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, the range number for hot ones."""
+    """Add ``_slice``: 0 for ordinary keys, the range number for hot ones. A row
+    of a hot key is compared with the blocks of its key, then with the slices of
+    its block, about 2 * sqrt(n) ranges; other rows find no entry."""
     if bounds is None:
         return df.withColumn("_slice", F.lit(0))
-    number = _slice_number(F.col("_cuts"), F.struct(*order))
+    columns = df.columns
+    here = F.struct(*order)
+    renamed = bounds.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
+    of_key = F.lit(True)
+    for k in keys:
+        of_key = of_key & (F.col(k) == F.col(f"_hot_{k}"))
+    hot_keys = [f"_hot_{k}" for k in keys]
+    blocks = renamed.where(F.col("_slice") == F.col("_block")).select(
+        *hot_keys, F.col("_block").alias("_in"), "_block_from", "_block_to"
+    )
+    slices = renamed.select(*hot_keys, "_block", "_slice", "_from", "_to")
     return (
-        df.join(F.broadcast(bounds), keys, "left")
-        .withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(number))
-        .drop("_cuts")
+        df.join(F.broadcast(blocks), of_key & _within(here, "_block_from", "_block_to"), "left")
+        .select(*columns, "_in")
+        .join(
+            F.broadcast(slices),
+            of_key & (F.col("_in") == F.col("_block")) & _within(here, "_from", "_to"),
+            "left",
+        )
+        .select(*columns, F.coalesce("_slice", F.lit(0)).alias("_slice"))
     )
 
 
@@ -91,12 +121,8 @@ def spread(df: DataFrame, bounds: DataFrame | None, keys: list[str]) -> DataFram
     (keys, ``_slice``). Only hot keys get more than one."""
     if bounds is None:
         return df.withColumn("_slice", F.lit(0))
-    last = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size("_cuts"))
-    return (
-        df.join(F.broadcast(bounds), keys, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), last)))
-        .drop("_cuts")
-    )
+    slices = bounds.select(*keys, "_slice")
+    return df.join(F.broadcast(slices), keys, "left").fillna(0, ["_slice"])
 
 
 def _earlier_slices(keys: list[str]):
@@ -123,7 +149,7 @@ def add_carry(
     if bounds is None:
         return df.withColumn("_carry", F.lit(None).cast("long"))
     totals = (
-        sliced.join(F.broadcast(bounds.select(*keys)), keys, "left_semi")
+        sliced.join(F.broadcast(bounds.where("_slice = 0").select(*keys)), keys, "left_semi")
         .groupBy(*keys, "_slice")
         .agg(amount.alias("_amount"))
         .withColumn("_carry", F.sum("_amount").over(_earlier_slices(keys)))

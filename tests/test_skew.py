@@ -73,7 +73,7 @@ def test_only_the_hot_key_is_cut(requests):
     keys, order = ["user_id", "date"], ["created_at", "request_id"]
     # Only a key above the larger of both limits counts as hot.
     bounds = skew.cuts(rows, keys, order, share=0.01, min_rows=100)
-    assert [r.user_id for r in bounds.collect()] == ["hot"]
+    assert {r.user_id for r in bounds.collect()} == {"hot"}
     assert skew.cuts(rows, keys, order) is None
     assert skew.cuts(rows, keys, order, share=0.9, min_rows=1) is None
     bounds = skew.cuts(rows, keys, order, share=0.01, min_rows=1)
@@ -176,15 +176,18 @@ def test_toggles_of_a_hot_rule(spark, limits):
 
 def test_slice_number_counts_bounds(spark):
     """Also with more bounds than fit one block."""
-    bounds = spark.createDataFrame(
+    cut = spark.createDataFrame(
         [("k", [(at(0), i * 10) for i in range(1, 101)])],
         "k string, _cuts array<struct<t:timestamp,i:int>>",
     )
+    bounds = skew.ranges(cut, ["k"])
+    assert bounds.count() == 101 and bounds.where("_slice = _block").count() == 3
     rows = spark.createDataFrame(
         [("k", at(0), i) for i in range(0, 1010, 3)] + [("k", at(1), 0), ("o", at(0), 500)],
         "k string, t timestamp, i int",
     )
     got = skew.slice_rows(rows, bounds, ["k"], ["t", "i"]).collect()
+    assert len(got) == rows.count()
     for r in got:
         want = 0 if r.k == "o" else 100 if r.t > at(0) else min(r.i // 10, 100)
         assert r._slice == want
