@@ -127,7 +127,7 @@ def with_messages(
     return joined.where((F.col("_slice") == 0) | F.col("_page").isNotNull()).select(
         F.col("session_id").alias("id"),
         *(c for c in COLUMNS if c != "id"),
-        F.coalesce("_page", F.lit(0)).alias("page"),
+        F.coalesce("_page", F.lit(0)).cast("int").alias("page"),
         F.transform(
             F.coalesce("messages", nothing),
             lambda m: F.struct(*(m[c].alias(c) for c in _MESSAGE_FIELDS)),

@@ -19,7 +19,7 @@ def daily_usage(requests: DataFrame, delay: str = "1 day") -> DataFrame:
         .groupBy("user_id", "day")
         .agg(
             F.sum("total_tokens").cast("long").alias("tokens_used"),
-            F.count("*").alias("request_count"),
+            F.count("*").cast("int").alias("request_count"),
         )
     )
 

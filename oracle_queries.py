@@ -319,7 +319,7 @@ SQL = {
           SELECT session_id, page, string_agg(CONCAT_WS('|', CAST(id AS VARCHAR), sender, content,
             CAST(total_tokens AS VARCHAR)), '#' ORDER BY turn) AS messages
           FROM (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY turn)
-                  - 1) / 3) AS BIGINT) AS page FROM v_messages) x
+                  - 1) / 3) AS INT) AS page FROM v_messages) x
           GROUP BY session_id, page) p ON p.session_id = z.id""",
     "student_history": f"""
         SELECT z.id, z.user_id, COALESCE(NULLIF(z.title, ''), 'Untitled Session') AS label,
