@@ -32,6 +32,14 @@ from chalktally.streaming import gate as gate_stream
 from chalktally.streaming import replies as stream_replies
 from chalktally.streaming import usage as stream_usage
 
+try:
+    import chalktally.llm.queries as llm
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name not in ("chalktally.llm", "chalktally.llm.queries", "corpus_pipeline"):
+        raise
+    llm = None
+
 TODAY = dt.date(2024, 1, 15)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -564,14 +572,23 @@ def stream_gate(spark, sf):
     return decided.select("request_id", "user_id", "session_id", "status")
 
 
+_LLM: dict[str, Query] = {}
+_LLM_SQL: dict[str, str] = {}
+if llm is not None:
+    _LLM = llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    _LLM_SQL = dict(llm.ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL is not None:
+        _LLM_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Student overview with quota share."""
     return _QUERIES["student_quota_share"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | _LLM
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.all_sql()
+    return oracle_queries.all_sql() | _LLM_SQL

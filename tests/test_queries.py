@@ -19,10 +19,11 @@ def duck():
 
 
 def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(SQL) <= set(QUERIES)
+    assert set(contract._QUERIES) <= set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, duck, name):
     columns, rows = spark_rows(QUERIES[name](spark, SF_DIR))
     want_columns, want = duck_rows(duck, SQL[name])
