@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chalktally.llm import near_text
+from chalktally.llm import contamination, near_text, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,5 +21,57 @@ def op3_minhash_near_dedup(spark, sf_dir):
     return near_text.near_duplicates(_read(spark, sf_dir, "documents"), 3, 85)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_benchmark_decontamination(spark, sf_dir):
+    """Windows of ten words."""
+    return contamination.contamination(
+        _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), 10
+    )
+
+
+def op7_token_id_records(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return records.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op3_minhash_near_dedup, op6_benchmark_decontamination, op7_token_id_records)
+}
+
+_OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w
+  FROM benchmark),
+win AS (
+  SELECT item_id, least(len(w), 10) n,
+    array_to_string(list_slice(w, i + 1, i + least(len(w), 10)), ' ') p
+  FROM (SELECT item_id, w, unnest(generate_series(0, greatest(len(w) - 10, 0))) i
+        FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+runs AS (
+  SELECT doc_id, i, n, array_to_string(list_slice(w, i + 1, i + n), ' ') p
+  FROM (SELECT doc_id, w, n, unnest(generate_series(0, len(w) - n)) i
+        FROM d, sizes WHERE len(w) >= n)),
+hit AS (
+  SELECT r.doc_id, r.i, r.n, w.item_id FROM runs r JOIN win w ON r.p = w.p AND r.n = w.n),
+pos AS (
+  SELECT doc_id, count(DISTINCT i + k) n_hit
+  FROM (SELECT doc_id, i, unnest(generate_series(0, n - 1)) k
+        FROM (SELECT DISTINCT doc_id, i, n FROM hit)) GROUP BY doc_id),
+its AS (
+  SELECT doc_id, count(*) n_items, string_agg(item_id, ',' ORDER BY item_id) s
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit,
+  coalesce(n_items, 0) n_items, sha256(coalesce(s, '')) items_sha256,
+  coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": _OP6_SQL}

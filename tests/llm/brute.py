@@ -1,5 +1,6 @@
 """Plain versions of the operators' contracts over rows in memory."""
 
+import hashlib
 import re
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
@@ -49,3 +50,28 @@ def near_duplicates(docs, k, percent):
                 links.add((d, e))
     found = smallest_reachable(sets, links)
     return {d: (len(s), found[d], found[d] == d) for d, s in sets.items()}
+
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def contamination(docs, items, size):
+    windows = {}
+    for item, text in items:
+        w = TERM.findall(lower_ascii(text))
+        n = min(size, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+    sizes = {len(w) for w in windows}
+    out = []
+    for doc_id, text in docs:
+        w = TERM.findall(lower_ascii(text))
+        hit, found = set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                if (phrase := tuple(w[i : i + n])) in windows:
+                    hit.update(range(i, i + n))
+                    found |= windows[phrase]
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        out.append((doc_id, len(w), len(hit), len(found), digest, bool(hit)))
+    return out
