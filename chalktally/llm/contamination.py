@@ -221,3 +221,16 @@ def proximity(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 5)
         .select("doc_id", "item_id")
         .distinct()
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of ``items``."""
+    found = (
+        matches(docs.select("doc_id", "text"), items, size)
+        .where(F.size("hits") > 0)
+        .select(F.col("row").alias("_row"))
+        .distinct()
+    )
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(
+        found, "_row", "left_anti"
+    ).drop("_row")

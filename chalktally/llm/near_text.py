@@ -14,8 +14,8 @@ Links are then confirmed on the full sets, in exact integer arithmetic.
 
 Under a key not all pairs are formed. Every member is compared with the
 smallest one first. What this joins needs no further comparison; only keys
-under which several groups remain are looked at again, and only pairs from
-different groups whose signatures are within the distance are formed there.
+under which several groups remain are looked at again, and only for pairs from
+different groups whose rarest shingles leave room for enough common ones.
 Equal sets are one member from the start.
 """
 
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalktally.llm import shared
@@ -37,7 +37,7 @@ from chalktally.llm.words import mixed, pieces, words
 
 WIDTH = 5
 MISS = 1e-6
-#: Members of one group under one key beyond which they aren't compared with each other.
+#: Members of one group under one shingle beyond which they don't meet each other.
 LIGHT = 64
 
 
@@ -96,9 +96,7 @@ def _signatures(k: int, chunks: int):
                 ids[1, some] = np.bitwise_xor.reduceat(mixed(shingles ^ flips[0]), at)
             low &= np.uint64(0xFFFF)
             keys = np.empty((len(at), parts), np.uint64)
-            packed = np.zeros((len(at), (parts + 3) // 4), np.uint64)
             for i in range(parts):
-                packed[:, i // 4] |= low[i] << np.uint64(16 * (i % 4))
                 rest = [j for j in range(i - i % WIDTH, i - i % WIDTH + WIDTH) if j != i]
                 key = np.zeros(len(at), np.uint64)
                 for j in rest:
@@ -111,9 +109,8 @@ def _signatures(k: int, chunks: int):
                     pa.array(ids[0].view(np.int64)),
                     pa.array(ids[1].view(np.int64)),
                     _lists(keys, some),
-                    _lists(packed, some),
                 ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "keys", "signature"],
+                ["doc_id", "n_shingles", "set_a", "set_b", "keys"],
             )
 
     return run
@@ -139,17 +136,6 @@ def _sets(k: int):
     return run
 
 
-def _differing(a: str, b: str, parts: int) -> Column:
-    """How many 16-bit components of two packed signatures differ."""
-    total = F.lit(0)
-    for i in range((parts + 3) // 4):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for step in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
-    return total
-
-
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; further columns are not looked at):
     doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its
@@ -163,13 +149,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     is true. An empty table gives an empty result.
     """
     chunks = chunks_for(percent)
-    parts = chunks * WIDTH
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = shared.written(
         rows.mapInArrow(
             _signatures(shingle_words, chunks),
-            "doc_id long, n_shingles long, set_a long, set_b long, "
-            "keys array<long>, signature array<long>",
+            "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>",
         ),
         "signed",
     )
@@ -200,7 +184,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     links = shared.written(_confirmed(stars.distinct(), sets, percent), "confirmed")
     groups = components(links)
     further = shared.written(
-        _confirmed(_across(crowded, groups, signed, parts, 2 * chunks - 1), sets, percent),
+        _confirmed(_across(crowded, groups, sets, percent), sets, percent),
         "confirmed",
     )
     # A set with one smallest row stands for its rows, also when ids repeat.
@@ -234,58 +218,83 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(fits & alike).select("a", "b").distinct()
 
 
-def _across(
-    crowded: DataFrame, groups: DataFrame, signed: DataFrame, parts: int, distance: int
-) -> DataFrame:
-    """Pairs under a key that are in different groups and whose signatures
-    differ in at most ``distance`` components. A group with many members under a
-    key is heavy there: its members meet the other groups, not each other."""
+def _across(crowded: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs from different groups among the members of keys under which more
+    than one group remains, so far as their sets can be similar enough.
+
+    With shingles in ascending order of use, the first ones of two similar sets
+    must have one in common, and what follows it must be long enough in both. A
+    copy with many changes has only shingles of its own there and meets nobody.
+    A group with many members under a shingle is heavy there: its members meet
+    other groups, not each other.
+    """
     grouped = crowded.join(groups, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("g")
     )
-    counts = grouped.groupBy("key", "g").agg(F.count("*").alias("n"))
-    mixed_keys = (
-        counts.groupBy("key")
+    open_keys = (
+        grouped.groupBy("key")
         .agg(F.min("g").alias("low"), F.max("g").alias("high"))
         .where("low <> high")
         .select("key")
     )
-    signatures = signed.where(F.size("signature") > 0).select(
-        F.col("doc_id").alias("node"), "signature"
+    members = grouped.join(open_keys, "key", "left_semi").select("node", "g").distinct()
+    row = ["node", "g", "n", "s"]
+    each = sets.join(members, "node").select(
+        "node", "g", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("s"),
+        F.explode("shingles").alias("shingle"),
     )
-    open_members = shared.written(
-        grouped.join(mixed_keys, "key", "left_semi")
-        .join(counts.where(F.col("n") > LIGHT).drop("n").withColumn("heavy", F.lit(True)),
-              ["key", "g"], "left")
-        .join(signatures, "node")
-        .select("key", "node", "g", "signature", F.coalesce("heavy", F.lit(False)).alias("heavy")),
-        "open",
+    uses = each.groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 1")
+    common = (
+        each.join(uses, "shingle")
+        .groupBy(*row)
+        .agg(F.sort_array(F.collect_list(F.struct("uses", "shingle"))).alias("c"))
+        .withColumn("own", F.col("n") - F.size("c"))
     )
-    left = open_members.select(
-        "key", F.col("node").alias("a"), F.col("g").alias("ga"),
-        F.col("signature").alias("sa"), F.col("heavy").alias("ha"),
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
+    first = F.slice("c", F.lit(1), F.greatest(length - F.col("own"), F.lit(0)))
+    filed = shared.written(
+        common.select(*row, "own", F.posexplode(first).alias("at", "e")).select(
+            "node", "g", "n", (F.col("n") - F.col("own") - F.col("at")).alias("rest"), "e.shingle"
+        ),
+        "filed",
     )
-    right = open_members.select(
-        "key", F.col("node").alias("b"), F.col("g").alias("gb"),
-        F.col("signature").alias("sb"), F.col("heavy").alias("hb"),
+    heavy = (
+        filed.groupBy("shingle", "g").agg(F.count("*").alias("c")).where(F.col("c") > LIGHT)
+        .select("shingle", "g", F.lit(True).alias("heavy"))
     )
-    near = _differing("sa", "sb", parts) <= distance
-    once = F.col("hb") | (F.col("a") < F.col("b"))
-    light = (
-        left.where(~F.col("ha")).alias("l").join(
-            right.alias("r"),
-            (F.col("l.key") == F.col("r.key")) & (F.col("ga") != F.col("gb")) & once & near,
-        )
+    marked = filed.join(heavy, ["shingle", "g"], "left").withColumn(
+        "heavy", F.coalesce("heavy", F.lit(False))
+    )
+    left, right = (
+        marked.select("shingle", *(F.col(c).alias(c + x) for c in ("node", "g", "n", "rest", "heavy")))
+        for x in ("_a", "_b")
     )
-    heavy = left.where("ha").select("key", "ga").distinct()
-    other = heavy.select("key", F.col("ga").alias("gb"))
-    couples = heavy.join(other, "key").where("ga < gb")
+    alike = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    once = F.col("heavy_b") | (F.col("node_a") < F.col("node_b"))
+    light = left.where(~F.col("heavy_a")).alias("l").join(
+        right.alias("r"),
+        (F.col("l.shingle") == F.col("r.shingle")) & (F.col("g_a") != F.col("g_b")) & once & alike,
+    )
+    two = heavy.select("shingle", F.col("g").alias("g_a")).join(
+        heavy.select("shingle", F.col("g").alias("g_b")), "shingle"
+    ).where("g_a < g_b")
     big = (
-        couples.join(left.where("ha"), ["key", "ga"])
-        .alias("l")
-        .join(
-            right.where("hb").alias("r"),
-            (F.col("l.key") == F.col("r.key")) & (F.col("l.gb") == F.col("r.gb")) & near,
+        left.where("heavy_a").join(two, ["shingle", "g_a"]).alias("l").join(
+            right.where("heavy_b").alias("r"),
+            (F.col("l.shingle") == F.col("r.shingle")) & (F.col("l.g_b") == F.col("r.g_b")) & alike,
         )
     )
-    return light.select("a", "b").union(big.select("a", "b")).distinct()
+    pair = (F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return light.select(*pair).union(big.select(*pair)).distinct()
+
+
+def deduplicated(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that are not kept. Rows with the same
+    doc_id stay or go together; rows without doc_id stay."""
+    dropped = (
+        near_duplicates(docs, shingle_words, percent)
+        .where(~F.col("kept"))
+        .select(F.col("doc_id").alias("_dropped"))
+        .distinct()
+    )
+    return docs.join(dropped, docs["doc_id"].cast("long") == F.col("_dropped"), "left_anti")

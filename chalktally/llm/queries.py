@@ -7,7 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chalktally.llm import contamination, near_text, records
+from chalktally.llm import (
+    contamination,
+    language_id,
+    mixing,
+    near_text,
+    near_vectors,
+    records,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +24,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark, sf_dir):
+    """Rates that bring the tokens of documents like those labelled good to nine
+    tenths, the number of tokens staying as it is."""
+    labels = _read(spark, sf_dir, "labels").select("doc_id", mixing.quality_domain())
+    return mixing.rates(
+        _read(spark, sf_dir, "documents"), labels, {"high": 0.9, "low": 0.1}
+    ).drop("row")
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     """Three-word shingles, similarity of 0.85 or more."""
     return near_text.near_duplicates(_read(spark, sf_dir, "documents"), 3, 85)
@@ -33,9 +50,31 @@ def op7_token_id_records(spark, sf_dir):
     return records.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op8_embedding_near_dedup(spark, sf_dir):
+    return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op9_language_id(spark, sf_dir):
+    return language_id.language(_read(spark, sf_dir, "documents"), 5)
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(
+        _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), 5
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_minhash_near_dedup, op6_benchmark_decontamination, op7_token_id_records)
+    for f in (
+        op1_mixing,
+        op3_minhash_near_dedup,
+        op6_benchmark_decontamination,
+        op7_token_id_records,
+        op8_embedding_near_dedup,
+        op9_language_id,
+        op10_toxicity,
+    )
 }
 
 _OP6_SQL = r"""

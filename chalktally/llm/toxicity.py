@@ -370,3 +370,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def clean(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with all their columns."""
+    model = fit(docs, labels, folds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield batch.filter(pa.array(score_texts(model, batch["text"]) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
