@@ -15,6 +15,7 @@ from chalktally.llm import (
     near_vectors,
     records,
     toxicity,
+    url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,21 @@ def op3_minhash_near_dedup(spark, sf_dir):
     return near_text.near_duplicates(_read(spark, sf_dir, "documents"), 3, 85)
 
 
+# The rules and what they say.
+URL_RULES = [
+    ("org/", "allow"),
+    ("example.org/es/", "block"),
+    ("example.org/en/1", "block"),
+    ("com/fr/", "allow"),
+    ("com/de/", "block"),
+]
+
+
+def op5_url_filter(spark, sf_dir):
+    """The trees learn from the urls that a rule decides."""
+    return url_filter.verdicts(_read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     """Windows of ten words."""
     return contamination.contamination(
@@ -69,6 +85,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_mixing,
         op3_minhash_near_dedup,
+        op5_url_filter,
         op6_benchmark_decontamination,
         op7_token_id_records,
         op8_embedding_near_dedup,
