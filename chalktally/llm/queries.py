@@ -13,6 +13,7 @@ from chalktally.llm import (
     mixing,
     near_text,
     near_vectors,
+    pii,
     records,
     toxicity,
     url_filter,
@@ -39,6 +40,11 @@ def op3_minhash_near_dedup(spark, sf_dir):
     return near_text.near_duplicates(_read(spark, sf_dir, "documents"), 3, 85)
 
 
+def op4_pii_surrogates(spark, sf_dir):
+    """The key stands in for one that a user keeps secret."""
+    return pii.with_surrogates(_read(spark, sf_dir, "documents"), "registered-query")
+
+
 # The rules and what they say.
 URL_RULES = [
     ("org/", "allow"),
@@ -85,6 +91,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_mixing,
         op3_minhash_near_dedup,
+        op4_pii_surrogates,
         op5_url_filter,
         op6_benchmark_decontamination,
         op7_token_id_records,
