@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chalktally.llm import (
     contamination,
     language_id,
+    language_model,
     mixing,
     near_text,
     near_vectors,
@@ -35,6 +36,10 @@ def op1_mixing(spark, sf_dir):
     ).drop("row")
 
 
+def op2_lm_scoring(spark, sf_dir):
+    return language_model.language_model(_read(spark, sf_dir, "documents"), 10)
+
+
 def op3_minhash_near_dedup(spark, sf_dir):
     """Three-word shingles, similarity of 0.85 or more."""
     return near_text.near_duplicates(_read(spark, sf_dir, "documents"), 3, 85)
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mixing,
+        op2_lm_scoring,
         op3_minhash_near_dedup,
         op4_pii_surrogates,
         op5_url_filter,
