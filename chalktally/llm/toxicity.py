@@ -33,7 +33,7 @@ KNOWN_WORDS = 20_000
 #: Labelled documents that are learned from, picked by a hash of their id.
 LEARN_ROWS = 6000
 #: Words of them looked at on the driver, in whole documents.
-LEARN_WORDS = 4_000_000
+LEARN_WORDS = 2_000_000
 ROUNDS, EPOCHS, BATCH, RATE = 4, 4, 128, 0.01
 _SIGNS = ".,;:!?*#%&$\"'()[]{}|<>=+-_/\\~^`"
 
@@ -213,16 +213,21 @@ def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     n_clean = len(labels) - n_toxic
 
     def documents_with(of_word: np.ndarray, owner_start: np.ndarray, n: int) -> np.ndarray:
-        """Per thing, in how many toxic and clean texts its words are."""
-        sizes = np.diff(owner_start)[word_of]
-        first = owner_start[word_of]
-        ends = np.cumsum(sizes)
-        thing = of_word[np.repeat(first - (ends - sizes), sizes) + np.arange(sizes.sum())]
-        seen = np.unique(np.repeat(text_of, sizes) * np.int64(n) + thing)
-        toxic = labels[seen // n] > 0
-        return np.stack(
-            [np.bincount(seen[toxic] % n, minlength=n), np.bincount(seen[~toxic] % n, minlength=n)]
-        )
+        """Per thing, in how many toxic and clean texts its words are. A few
+        texts at a time, as a text has many more things than words."""
+        found = np.zeros((2, n), np.int64)
+        edges = np.searchsorted(text_of, np.arange(0, len(texts) + 200, 200))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            word, text = word_of[a:b], text_of[a:b]
+            sizes = np.diff(owner_start)[word]
+            ends = np.cumsum(sizes)
+            first = owner_start[word] - (ends - sizes)
+            thing = of_word[np.repeat(first, sizes) + np.arange(sizes.sum())]
+            seen = np.unique(np.repeat(text, sizes) * np.int64(n) + thing)
+            toxic = labels[seen // n] > 0
+            found[0] += np.bincount(seen[toxic] % n, minlength=n)
+            found[1] += np.bincount(seen[~toxic] % n, minlength=n)
+        return found
 
     hashes, owner = affixed_ngrams(plain, GRAMS)
     bounds = np.searchsorted(owner, np.arange(len(plain) + 1))
