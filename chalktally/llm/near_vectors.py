@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from chalktally.llm import shared
 from chalktally.llm.components import components
 
-TURNS, CODES, CUT = 6, 1024, 3.9
-SPAN = 256
+TURNS, CODES, CUT = 12, 1024, 4.1
+SPAN = 512
 #: Rows of groups that are handed to a function together, about.
 BUNDLE = 1500
 
