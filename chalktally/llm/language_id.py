@@ -28,7 +28,8 @@ GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 15
 LEXICON = 10_000
 #: Documents that are learned from per language, picked by a hash of their id.
 LEARN_ROWS = 500
-#: Words of one document that go into learning sequences, from all over it.
+#: Languages there may be; that many are a mistake in the column.
+MOST_LANGUAGES = 1000
 SEQUENCE, EPOCHS, BATCH, RATE = 40, 3, 64, 0.5
 UNKNOWN = "und"
 _SIGNS = ".,;:!?*#%&$\"'()[]{}|<>=+-_/\\~^`0123456789@"
@@ -222,16 +223,20 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def learning_rows(docs: DataFrame, folds: int) -> DataFrame:
     """(text, lang) of up to ``LEARN_ROWS`` documents per language outside the
-    held-out fold, the same ones wherever the rows lie."""
+    held-out fold, the same ones wherever the rows lie. Ids are picked first, so
+    that no text is moved but theirs."""
     rows = docs.where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~shared.held_out("doc_id", folds)
-    ).select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    languages = [r.lang for r in rows.select("lang").distinct().limit(1000).collect()]
-    sample = None
+    ).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    languages = [r.lang for r in rows.select("lang").distinct().limit(MOST_LANGUAGES).collect()]
+    picked = None
     for name in sorted(languages):
-        part = rows.where(F.col("lang") == name).orderBy("h", "doc_id").limit(LEARN_ROWS)
-        sample = part if sample is None else sample.union(part)
-    return rows.limit(0) if sample is None else sample
+        part = rows.where(F.col("lang") == name).select("lang", "h").orderBy("h").limit(LEARN_ROWS)
+        picked = part if picked is None else picked.union(part)
+    if picked is None:
+        return rows.limit(0)
+    # A bounded number of rows, whatever the table holds.
+    return rows.join(F.broadcast(picked.distinct()), ["lang", "h"]).orderBy("lang", "h")
 
 
 def fit(docs: DataFrame, folds: int = 5) -> Model:

@@ -273,9 +273,10 @@ class Model:
 def fit(docs: DataFrame) -> tuple[DataFrame, Model]:
     """(counts of all words, model) from all texts of ``docs`` (doc_id, text)."""
     counts, known = vocabulary(docs)
-    pilot = (
-        docs.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(PILOT_DOCS).select("text")
-    )
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    # A bounded number of rows; hashes are picked first, so that only their texts move.
+    picked = hashed.select("h").orderBy("h").limit(PILOT_DOCS).distinct()
+    pilot = hashed.join(F.broadcast(picked), "h").orderBy("h")
     learner = Learner(Parameters.fresh(known.masses), known.masses, 1)
     texts = pa.array([r.text for r in pilot.toLocalIterator()], pa.string())
     for _ in range(PILOT_EPOCHS if len(texts) else 0):
