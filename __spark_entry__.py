@@ -27,7 +27,7 @@ from chalktally.operators import (
     users,
 )
 from chalktally.plans import audit, chat, overview
-from chalktally.sources import volume
+from chalktally.sources import tables, volume
 from chalktally.streaming import gate as gate_stream
 from chalktally.streaming import replies as stream_replies
 from chalktally.streaming import usage as stream_usage
@@ -99,9 +99,7 @@ def student_overview(spark, sf):
 @_register
 def quota_pct_band(spark, sf):
     use = usage.quota_use(
-        volume.users(spark, sf).withColumn("is_deleted", F.lit(False)),
-        volume.usage_stats(spark, sf),
-        TODAY,
+        volume.users(spark, sf), volume.usage_stats(spark, sf), TODAY
     )
     return usage.with_quota_share(use, "used", "limit")
 
@@ -464,7 +462,13 @@ def validate_users(spark, sf):
 
 @_register
 def validate_messages(spark, sf):
-    return checks.validate(volume.messages(spark, sf), "messages").select("id", "reason")
+    return checks.validate(volume.message_candidates(spark, sf), "messages").select("id", "reason")
+
+
+@_register
+def validate_requests(spark, sf):
+    checked = checks.validate(volume.chat_requests(spark, sf), "requests")
+    return checked.select("request_id", "reason")
 
 
 @_register
@@ -482,7 +486,7 @@ def orphan_requests(spark, sf):
 
 @_register
 def orphan_counts(spark, sf):
-    return checks.orphan_counts(volume.tables(spark, sf))
+    return checks.orphan_counts(volume.torn_tables(spark, sf))
 
 
 @_register
@@ -499,10 +503,10 @@ def reply_assembly(spark, sf):
 
 
 def _settled(spark, sf):
-    """Admitted requests answered with the replies of the message table, where
-    a message has the request's id; the others count as broken off."""
+    """Admitted requests and what the model said; some replies break off, some
+    never begin."""
     admitted = _chat_decisions(spark, sf).where(F.col("status") == 200)
-    replies = stream_replies.assemble_batch(volume.chunks(spark, sf))
+    replies = stream_replies.assemble_for(admitted, volume.reply_chunks(spark, sf))
     return chat.settle(admitted, replies, volume.usage_stats(spark, sf))
 
 
@@ -516,40 +520,73 @@ def settle_usage(spark, sf):
     return _settled(spark, sf).usage_stats
 
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """One of the provided tables as a stream of files. The path is a pattern,
-    as a stream takes folders and patterns but not one file."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
+@_register
+def stored_tables(spark, sf):
+    """The tables saved, the answered requests appended, all read back."""
+    folder = session.work_dir(spark, "tables")
+    given = volume.tables(spark, sf)
+    declared = (tables.conform(df, name) for name, df in given._asdict().items())
+    tables.save(tables.Tables(*declared), folder)
+    tables.init(spark, folder)
+    tables.append_messages(tables.conform(_settled(spark, sf).messages, "messages"), folder)
+    stored = tables.load(spark, folder)
+    return usage.rollup(stored.messages, stored.sessions)
+
+
+def _arriving(spark: SparkSession, parts: list[DataFrame], purpose: str) -> DataFrame:
+    """Rows that arrive part after part, as a stream of a few files a trigger."""
+    folder = f"{session.work_dir(spark, purpose)}/in"
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+    reader = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 2)
+    return reader.parquet(folder)
+
+
+def _by_part(df: DataFrame, part, n: int) -> list[DataFrame]:
+    """Rows without a part come first."""
+    numbered = F.coalesce(part, F.lit(0))
+    return [df.where(numbered == i) for i in range(n)]
 
 
 @_register
 def stream_reply_assembly(spark, sf):
-    chunks = volume.chunks_of(volume.messages_of(_stream(spark, sf, "conversations")))
+    """Chunks in the order of their requests, some of each request a part later,
+    and last a chunk of nobody from which on all requests count as closed."""
+    chunks = volume.chunks(spark, sf)
+    week = F.floor((F.dayofmonth("started_at") - 1) / 8) + (F.col("seq") % 4 == 3).cast("int")
+    last = spark.range(1).select(
+        *(
+            F.lit("2024-06-01" if f.name == "started_at" else None).cast(f.dataType).alias(f.name)
+            for f in chunks.schema.fields
+        )
+    )
+    stream = _arriving(spark, [*_by_part(chunks, week, 5), last], "chunks")
     out = session.work_dir(spark, "replies")
-    # The input ends with its only file, so nothing can be late.
-    replies = stream_replies.assemble(chunks, delay="0 seconds")
+    replies = stream_replies.assemble(stream, delay="20 days")
     stream_replies.write_replies(
         replies, f"{out}/table", f"{out}/checkpoint", available_now=True
     ).awaitTermination()
-    return spark.read.parquet(f"{out}/table")
+    return spark.read.parquet(f"{out}/table").where("request_id is not null")
+
+
+def _requests_arriving(spark: SparkSession, sf: str) -> DataFrame:
+    rows = volume.requests(spark, sf)
+    return _arriving(spark, _by_part(rows, F.floor(F.dayofmonth("created_at") / 8), 4), "requests")
 
 
 @_register
 def stream_daily_usage(spark, sf):
-    requests = volume.requests_of(_stream(spark, sf, "events"))
     out = session.work_dir(spark, "usage")
-    # The running month stays open, so the state holds all of it.
-    running = stream_usage.daily_usage(requests, delay="60 days")
-    stream_usage.run(running, out, available_now=True).awaitTermination()
-    return stream_usage.current(spark, out)
+    stream_usage.write_ledger(
+        _requests_arriving(spark, sf), f"{out}/ledger", f"{out}/checkpoint", available_now=True
+    ).awaitTermination()
+    return stream_usage.current(spark, f"{out}/ledger")
 
 
 @_register
 def stream_closed_days(spark, sf):
-    requests = volume.requests_of(_stream(spark, sf, "events"))
     out = session.work_dir(spark, "days")
-    days = stream_usage.daily_usage(requests, delay="1 day")
+    days = stream_usage.daily_usage(_requests_arriving(spark, sf), delay="8 days")
     stream_usage.write_closed_days(
         days, f"{out}/table", f"{out}/checkpoint", available_now=True
     ).awaitTermination()
@@ -563,11 +600,11 @@ def stream_gate(spark, sf):
     requests = volume.requests(spark, sf)
     accounts, owned = volume.users(spark, sf), volume.sessions(spark, sf)
     store = session.work_dir(spark, "gate")
-    at = F.col("created_at")
     bounds = [F.lit(f"2024-01-{day} 12:00:00").cast("timestamp") for day in (10, 20)]
-    parts = [at < bounds[0], (at >= bounds[0]) & (at < bounds[1]), at >= bounds[1]]
-    for number, part in enumerate(parts):
-        gate_stream.process_batch(requests.where(part), number, accounts, owned, store)
+    at = F.col("created_at")
+    part = (at >= bounds[0]).cast("int") + (at >= bounds[1]).cast("int")
+    for number, batch in enumerate(_by_part(requests, part, 3)):
+        gate_stream.process_batch(batch, number, accounts, owned, store)
     decided = gate_stream.decisions(spark, store)
     return decided.select("request_id", "user_id", "session_id", "status")
 

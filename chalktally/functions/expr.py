@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Fixed values.
 UNTITLED = "Untitled Session"
@@ -66,6 +62,7 @@ def day(instant: Column | str) -> Column:
     return F.to_date(col(instant))
 
 
+# The labels of rules.
 def scope_label(student_id: Column | str) -> Column:
     return F.when(col(student_id).isNull(), "All Students").otherwise("Targeted")
 
@@ -74,20 +71,12 @@ def state_label(is_active: Column | str) -> Column:
     return F.when(col(is_active), "Active").otherwise("Inactive")
 
 
-def _json_text(raw: str) -> str:
-    try:
-        return json.dumps(json.loads(raw))
-    except json.JSONDecodeError:
-        return json.dumps(raw)
-
-
-@F.pandas_udf(T.StringType())
-def rule_text(raw: pd.Series) -> pd.Series:
-    """Rule JSON as the prompt carries it: key order kept, blanks after
-    separators, non-ASCII escaped, plain words as a quoted string. Spark's JSON
-    functions print another form, so this is the one Python function here; the
-    operators call it on one row per student at most, never on messages."""
-    return raw.map(_json_text, na_action="ignore")
+def rule_text(raw: Column | str) -> Column:
+    """Rule JSON as the prompt carries it: printed without blanks and with sorted
+    keys; what is not JSON comes as a quoted string. A broken or huge value
+    affects its own row only."""
+    parsed = F.coalesce(F.try_parse_json(col(raw)), col(raw).cast("variant"))
+    return F.when(col(raw).isNotNull(), F.to_json(parsed))
 
 
 def system_prompt(text: Column | str) -> Column:

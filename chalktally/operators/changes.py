@@ -96,12 +96,7 @@ def soft_delete(users: DataFrame, changes: DataFrame) -> Change:
     return Change(snapshot.select(*users.columns), statuses)
 
 
-def toggle_rules(
-    rules: DataFrame,
-    changes: DataFrame,
-    share: float = skew.SHARE,
-    min_rows: int = skew.MIN_ROWS,
-) -> Change:
+def toggle_rules(rules: DataFrame, changes: DataFrame) -> Change:
     """Toggles (change_id, rule_id): 404 for an unknown rule, else 200 with the
     state after this toggle. Any caller may toggle any rule."""
     counts = changes.groupBy(F.col("rule_id").alias("id")).agg(F.count("*").alias("_n"))
@@ -109,16 +104,10 @@ def toggle_rules(
     snapshot = rules.join(counts, "id", "left").withColumn(
         "is_active", F.col("is_active") != flipped
     )
-    keys, order = ["rule_id"], ["change_id"]
-    bounds = skew.cuts(changes, keys, order, share, min_rows)
-    numbered = skew.running_before(
-        skew.slice_rows(changes, bounds, keys, order), bounds, keys, order, F.lit(1), "_before"
-    )
+    numbered = skew.earlier(changes, ["rule_id"], ["change_id"], F.lit(1), "_before")
     states = rules.select(F.col("id").alias("rule_id"), F.col("is_active").alias("_was"))
     even = F.coalesce("_before", F.lit(0)) % 2 == 0
-    statuses = numbered.join(
-        skew.spread(states, bounds, keys), ["rule_id", "_slice"], "left"
-    ).select(
+    statuses = numbered.join(states, "rule_id", "left").select(
         "change_id",
         "rule_id",
         F.when(F.col("_was").isNull(), 404).otherwise(200).alias("status"),
@@ -190,7 +179,10 @@ def purge_users(tables: Tables, gone: DataFrame) -> Tables:
         students, "student_id", "left_anti"
     )
     removed = (
-        tables.teacher_rules.join(rules.select("id"), "id", "left_anti")
+        tables.teacher_rules.join(teachers, "teacher_id", "left_semi")
+        .select("id")
+        .union(tables.teacher_rules.join(students, "student_id", "left_semi").select("id"))
+        .distinct()
         .select(F.col("id").alias("applied_rule_id"), F.lit(True).alias("_removed"))
     )
     sessions = (

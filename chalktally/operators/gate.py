@@ -92,7 +92,11 @@ def audit_decisions(requests: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def _door(requests: DataFrame, callers: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Add ``_refusal``: 401 or 404 for what never reaches the quota, else NULL."""
+    """Add ``_refusal``: 401, 422 or 404 for what never reaches the quota, else
+    NULL. Requests that carry a ``message`` need one of a character at least."""
+    said = F.lit(True)
+    if "message" in requests.columns:
+        said = F.coalesce(F.length("message") > 0, F.lit(False))
     own = (
         sessions.where(~F.col("is_deleted"))
         .select(F.col("id").alias("session_id"), "user_id", F.lit(True).alias("_own"))
@@ -102,7 +106,9 @@ def _door(requests: DataFrame, callers: DataFrame, sessions: DataFrame) -> DataF
         .join(own, ["session_id", "user_id"], "left")
         .withColumn(
             "_refusal",
-            F.when(F.col("_known").isNull(), 401).when(F.col("_own").isNull(), 404),
+            F.when(F.col("_known").isNull(), 401)
+            .when(~said, 422)
+            .when(F.col("_own").isNull(), 404),
         )
         .drop("_known", "_own")
     )
@@ -116,7 +122,7 @@ def chat_decisions(
     today: dt.date,
 ) -> DataFrame:
     """Add ``status``, every request judged against the usage stored for
-    ``today``: 401, then 404 unless the session is the caller's own and live,
+    ``today``: 401, then 422 for an empty message, then 404 unless the session is the caller's own and live,
     then 429 at or above the quota, else 200. Without a usage row the quota is
     not looked at, so even quota 0 passes."""
     used = usage_stats.where(F.col("date") == F.lit(today)).select(
@@ -137,37 +143,22 @@ def chat_decisions(
     )
 
 
-def quota_replay(
-    requests: DataFrame,
-    users: DataFrame,
-    share: float = skew.SHARE,
-    min_rows: int = skew.MIN_ROWS,
-) -> DataFrame:
+def quota_replay(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Add ``refused``: what the user used earlier that day reached the quota.
 
     Summing all earlier requests gives the verdict of summing the admitted ones:
     totals are not negative and the quota is constant over the day, so after the
     first refusal every later request is refused as well. A day's first request
     has no earlier ones (NULL) and passes.
-
-    The requests are exchanged once, on (user, day, slice). The quotas come from
-    a table with a row per user and day, so a busy user is no hot join key.
     """
-    rows = requests.withColumn("date", expr.day("created_at"))
-    bounds = skew.cuts(rows.select(*_DAY_KEYS, *_ORDER), _DAY_KEYS, _ORDER, share, min_rows)
-    sliced = skew.slice_rows(rows, bounds, _DAY_KEYS, _ORDER)
-    running = skew.running_before(
-        sliced, bounds, _DAY_KEYS, _ORDER, F.col("total_tokens"), "_earlier"
-    )
     quotas = users.select(
         F.col("id").alias("user_id"), F.col("daily_token_quota").alias("_quota")
     )
-    limits = rows.select(*_DAY_KEYS).distinct().join(quotas, "user_id")
-    return (
-        running.join(skew.spread(limits, bounds, _DAY_KEYS), [*_DAY_KEYS, "_slice"], "left")
-        .withColumn("refused", F.coalesce(F.col("_earlier") >= F.col("_quota"), F.lit(False)))
-        .drop("date", "_slice", "_earlier", "_quota")
-    )
+    rows = requests.withColumn("date", expr.day("created_at")).join(quotas, "user_id", "left")
+    running = skew.earlier(rows, _DAY_KEYS, _ORDER, F.col("total_tokens"), "_earlier")
+    return running.withColumn(
+        "refused", F.coalesce(F.col("_earlier") >= F.col("_quota"), F.lit(False))
+    ).select(*requests.columns, "refused")
 
 
 def replay_decisions(
@@ -175,8 +166,6 @@ def replay_decisions(
     users: DataFrame,
     sessions: DataFrame,
     usage_before: DataFrame | None = None,
-    share: float = skew.SHARE,
-    min_rows: int = skew.MIN_ROWS,
 ) -> DataFrame:
     """The chat gate in arrival order: 401 and 404 first, then the quota against
     what the admitted requests before this one used on the same day.
@@ -184,23 +173,17 @@ def replay_decisions(
     ``usage_before`` holds tokens already used per (user, date) when the rows
     arrive. Requests refused at the door carry no tokens into the running sum.
     """
-    rows = requests.withColumn("date", expr.day("created_at"))
-    bounds = skew.cuts(rows.select(*_DAY_KEYS, *_ORDER), _DAY_KEYS, _ORDER, share, min_rows)
     callers = _callers(users, F.col("daily_token_quota").alias("_quota"))
-    judged = _door(
-        skew.slice_rows(rows, bounds, _DAY_KEYS, _ORDER), callers, sessions
-    )
+    judged = _door(requests.withColumn("date", expr.day("created_at")), callers, sessions)
     tokens = F.when(F.col("_refusal").isNull(), F.col("total_tokens"))
-    running = skew.running_before(judged, bounds, _DAY_KEYS, _ORDER, tokens, "_earlier")
+    running = skew.earlier(judged, _DAY_KEYS, _ORDER, tokens, "_earlier")
     if usage_before is not None:
         stored = usage_before.select(*_DAY_KEYS, F.col("tokens_used").alias("_stored"))
-        running = running.join(
-            skew.spread(stored, bounds, _DAY_KEYS), [*_DAY_KEYS, "_slice"], "left"
-        ).withColumn("_earlier", skew.plus("_earlier", "_stored")).drop("_stored")
-    return running.withColumn(
-        "status",
-        F.coalesce("_refusal", F.when(F.col("_earlier") >= F.col("_quota"), 429), F.lit(200)),
-    ).drop("date", "_slice", "_refusal", "_quota", "_earlier")
+        running = running.join(stored, _DAY_KEYS, "left").withColumn(
+            "_earlier", skew.plus("_earlier", "_stored")
+        )
+    status = F.coalesce("_refusal", F.when(F.col("_earlier") >= F.col("_quota"), 429), F.lit(200))
+    return running.withColumn("status", status).select(*requests.columns, "status")
 
 
 def areas(users: DataFrame) -> DataFrame:

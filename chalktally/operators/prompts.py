@@ -90,10 +90,13 @@ def assemble(
     def entry(role: str, content: str):
         return F.struct(F.lit(role).alias("role"), F.col(content).alias("content"))
 
-    lists = history_lists(messages, k)
+    # Only messages and sessions that a request asks for are ordered and moved.
+    asked = requests.select("session_id").distinct()
+    lists = history_lists(messages.join(asked, "session_id", "left_semi"), k)
     nothing = F.array().cast(lists.schema["history"].dataType)
     contexts = (
         sessions.select(F.col("id").alias("session_id"), "user_id")
+        .join(asked, "session_id", "left_semi")
         .join(system_text(users, rules).select("user_id", "system_prompt"), "user_id")
         .join(lists, "session_id", "left")
         .select(

@@ -74,62 +74,41 @@ def summary(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def with_messages(
-    sessions: DataFrame,
-    messages: DataFrame,
-    page_size: int = PAGE_SIZE,
-    subset: bool = False,
-    share: float = skew.SHARE,
-    min_rows: int = skew.MIN_ROWS,
+    sessions: DataFrame, messages: DataFrame, page_size: int = PAGE_SIZE, subset: bool = False
 ) -> DataFrame:
     """Sessions with their messages as an array, oldest first.
 
     A session of up to ``page_size`` messages is one row with ``page`` 0; a
-    longer one continues on further rows, so no array grows without limit.
-    Sessions without messages have an empty array. Message text is exchanged
-    once, on (session, slice); the sessions are copied to the slices instead.
-    ``subset`` says that ``sessions`` are only some of all: messages of the
-    others are then dropped before the ordering.
+    longer one continues on further rows, each but the last of them full, so no
+    array grows without limit. Sessions without messages have an empty array.
+    Messages are numbered over the whole session, from their place in their
+    grain and the messages of earlier grains. ``subset`` says that ``sessions``
+    are only some of all: messages of the others are then dropped first.
     """
-    order = ["created_at", "_rank", "id"]
-    ranked = messages.withColumn("_rank", expr.sender_rank("sender"))
-    bounds = skew.cuts(
-        ranked.select("session_id", *order), ["session_id"], order, share, min_rows
-    )
-    owners = skew.spread(
-        sessions.select(*COLUMNS).withColumnRenamed("id", "session_id"), bounds, ["session_id"]
-    )
-    rows = skew.slice_rows(
-        ranked.select("_rank", *_MESSAGE_FIELDS), bounds, ["session_id"], order
-    )
+    rows = messages.select(expr.sender_rank("sender").alias("_rank"), *_MESSAGE_FIELDS)
+    owners = sessions.select(F.col("id").alias("session_id"), *(c for c in COLUMNS if c != "id"))
+    owners = owners.withColumnRenamed("created_at", "_opened")
     if subset:
-        rows = rows.join(
-            owners.select("session_id", "_slice"), ["session_id", "_slice"], "left_semi"
-        )
-    place = Window.partitionBy("session_id", "_slice").orderBy(*order)
+        rows = rows.join(owners.select("session_id"), "session_id", "left_semi")
+    order = ["created_at", "_rank", "id"]
     entry = F.struct(*order, *(c for c in _MESSAGE_FIELDS if c not in order))
     pages = (
-        rows.withColumn("_page", F.floor((F.row_number().over(place) - 1) / page_size))
-        .groupBy("session_id", "_slice", "_page")
+        skew.earlier(rows, ["session_id"], order, F.lit(1), "_before")
+        .withColumn("page", F.floor(F.coalesce("_before", F.lit(0)) / page_size).cast("int"))
+        .groupBy("session_id", "page")
         .agg(F.sort_array(F.collect_list(entry)).alias("messages"))
     )
-    keys_only = skew.slice_rows(
-        ranked.select("session_id", *order), bounds, ["session_id"], order
-    )
-    pages = (
-        skew.add_carry(
-            pages, keys_only, bounds, ["session_id"], F.ceil(F.count("*") / page_size)
-        )
-        .withColumn("_page", F.col("_page") + F.coalesce("_carry", F.lit(0)))
-        .drop("_carry")
-    )
-    joined = owners.join(pages, ["session_id", "_slice"], "left")
+    # The many pages of a hot session are on the side that can be split.
+    full = pages.join(owners, "session_id")
+    silent = owners.join(messages.select("session_id"), "session_id", "left_anti")
     nothing = F.array().cast(pages.schema["messages"].dataType)
-    return joined.where((F.col("_slice") == 0) | F.col("_page").isNotNull()).select(
+    empty = silent.withColumn("page", F.lit(0)).withColumn("messages", nothing)
+    return full.unionByName(empty).select(
         F.col("session_id").alias("id"),
-        *(c for c in COLUMNS if c != "id"),
-        F.coalesce("_page", F.lit(0)).cast("int").alias("page"),
+        *(c for c in COLUMNS if c not in ("id", "created_at")),
+        F.col("_opened").alias("created_at"),
+        "page",
         F.transform(
-            F.coalesce("messages", nothing),
-            lambda m: F.struct(*(m[c].alias(c) for c in _MESSAGE_FIELDS)),
+            "messages", lambda m: F.struct(*(m[c].alias(c) for c in _MESSAGE_FIELDS))
         ).alias("messages"),
     )

@@ -1,178 +1,62 @@
-"""Cutting hot groups of an ordered operation into ranges.
-
-A window over (key) order by (order) puts a key into one task. Where a key may
-hold a large part of all rows, its rows are cut into contiguous ranges of the
-order, called slices here; the window then runs over (key, slice) and what the
-earlier slices contribute is added from a small table.
-
-What is broadcast here is bounded by counting: only a key with more than
-``share`` of all rows is hot, so there are fewer than 1/share hot keys, and a
-key gets about one cut per ``share`` of all rows, so there are about 1/share
-cuts in total, however large the input is.
+"""Running sums and numbers over hot keys, in one plan for every size.
+
+A window over (key) order by (order) puts a key into one task. Here the order is
+cut into grains that need no counting: seconds of an instant, blocks of
+consecutive ids. The window runs per key and grain; what earlier grains add comes
+from a table with a row per key and grain, summed before its exchange, over which
+a second window runs. A key's rows within one grain are one task: a second of one
+user, 4096 consecutive ids.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chalktally import session
-
-SHARE = 1 / 4096
-MIN_ROWS = 1_000_000
-_BLOCK = 40
-
+IDS = 4096
+LETTERS = 6
 
-def cuts(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    share: float = SHARE,
-    min_rows: int = MIN_ROWS,
-) -> DataFrame | None:
-    """The slices of the hot keys as ranges of the order (see ``ranges``), or
-    None if no key is hot, which is the ordinary case and leaves the plan of the
-    caller a plain window.
 
-    This counts rows per key at once (map-side, nothing is gathered), before the
-    caller's own plan is built. Cuts are rows of the key picked by a hash of
-    their order values: which ones only decides how even the slices are, never
-    the result. The ranges are checkpointed, so all readers see the same ones.
-    ``df`` should be a plain scan; join other columns later.
-    """
-    total = df.count()
-    limit = max(min_rows, int(total * share))
-    if total <= limit:
-        return None
-    session.ensure_checkpoint_dir(df.sparkSession)
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = counts.where(F.col("_n") > limit).select(*keys).checkpoint()
-    if hot.isEmpty():
-        return None
-    picked = (
-        df.select(*keys, *order)
-        .join(F.broadcast(hot), keys)
-        .where(F.pmod(F.xxhash64(*order), F.lit(limit)) == 0)
-    )
-    cut = picked.groupBy(*keys).agg(
-        F.sort_array(F.collect_set(F.struct(*order))).alias("_cuts")
-    )
-    return ranges(cut, keys).checkpoint()
+def grain(df: DataFrame, column: str) -> Column:
+    """The grain of a column by its type; rows in the order of the column are in
+    the order of their grains, and null is one of its own."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_trunc("second", column)
+    if isinstance(kind, T.IntegralType):
+        return F.floor(F.col(column) / IDS)
+    if isinstance(kind, T.StringType):
+        return F.left(column, F.lit(LETTERS))
+    raise TypeError(f"no grain for {column} of type {kind.simpleString()}")
 
 
-def ranges(cut: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per key and slice from (keys, ``_cuts`` sorted array): the slice
-    runs from ``_from`` up to before ``_to``, NULL meaning without end. Slices
-    are also grouped to blocks with ranges of their own."""
-    block = F.col("_slice").cast("int") - F.col("_slice") % _BLOCK
-    return (
-        cut.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.size("_cuts"))))
-        .withColumn("_block", block)
-        .select(
-            *keys,
-            "_slice",
-            "_block",
-            F.get("_cuts", F.col("_slice") - 1).alias("_from"),
-            F.get("_cuts", F.col("_slice")).alias("_to"),
-            F.get("_cuts", F.col("_block") - 1).alias("_block_from"),
-            F.get("_cuts", F.col("_block") + (_BLOCK - 1)).alias("_block_to"),
-        )
-    )
-
-
-def _within(here: Column, start: str, end: str) -> Column:
-    after = F.col(start).isNull() | (F.col(start) <= here)
-    return after & (F.col(end).isNull() | (here < F.col(end)))
-
-
-def slice_rows(
-    df: DataFrame, bounds: DataFrame | None, keys: list[str], order: list[str]
+def earlier(
+    df: DataFrame, keys: list[str], order: list[str], value: Column, name: str
 ) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, the range number for hot ones. A row
-    of a hot key is compared with the blocks of its key, then with the slices of
-    its block, about 2 * sqrt(n) ranges; other rows find no entry."""
-    if bounds is None:
-        return df.withColumn("_slice", F.lit(0))
-    columns = df.columns
-    here = F.struct(*order)
-    renamed = bounds.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
-    of_key = F.lit(True)
-    for k in keys:
-        of_key = of_key & (F.col(k) == F.col(f"_hot_{k}"))
-    hot_keys = [f"_hot_{k}" for k in keys]
-    blocks = renamed.where(F.col("_slice") == F.col("_block")).select(
-        *hot_keys, F.col("_block").alias("_in"), "_block_from", "_block_to"
-    )
-    slices = renamed.select(*hot_keys, "_block", "_slice", "_from", "_to")
-    return (
-        df.join(F.broadcast(blocks), of_key & _within(here, "_block_from", "_block_to"), "left")
-        .select(*columns, "_in")
-        .join(
-            F.broadcast(slices),
-            of_key & (F.col("_in") == F.col("_block")) & _within(here, "_from", "_to"),
-            "left",
-        )
-        .select(*columns, F.coalesce("_slice", F.lit(0)).alias("_slice"))
-    )
-
-
-def spread(df: DataFrame, bounds: DataFrame | None, keys: list[str]) -> DataFrame:
-    """One copy of a per-key row for each slice of its key, to be joined on
-    (keys, ``_slice``). Only hot keys get more than one."""
-    if bounds is None:
-        return df.withColumn("_slice", F.lit(0))
-    slices = bounds.select(*keys, "_slice")
-    return df.join(F.broadcast(slices), keys, "left").fillna(0, ["_slice"])
-
-
-def _earlier_slices(keys: list[str]):
-    return (
-        Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-
-
-def earlier_rows(keys: list[str], order: list[str]):
-    """Window over the rows of the same key and slice before this one."""
+    """Add ``name``: the sum of ``value`` over the earlier rows of the same keys,
+    NULL if there is nothing. ``order`` starts with the column that grains are
+    taken of and ends with a unique one."""
+    sliced = df.withColumn("_grain", grain(df, order[0]))
+    parts = [*keys, "_grain"]
+    here = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_grain").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(*parts).agg(F.sum(value).alias("_amount"))
+    carried = (
+        totals.withColumn("_carry", F.sum("_amount").over(before))
+        .where(F.col("_carry").isNotNull())
+        .select(*(F.col(p).alias(f"_of_{p}") for p in parts), "_carry")
+    )
+    same = F.lit(True)
+    for p in parts:
+        same = same & F.col(p).eqNullSafe(F.col(f"_of_{p}"))
     return (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
+        sliced.withColumn("_here", F.sum(value).over(here))
+        .join(carried, same, "left")
+        .select(*df.columns, plus("_here", "_carry").alias(name))
     )
 
 
-def add_carry(
-    df: DataFrame, sliced: DataFrame, bounds: DataFrame | None, keys: list[str], amount: Column
-) -> DataFrame:
-    """Add ``_carry`` to rows with (keys, ``_slice``): the aggregate ``amount``
-    of ``sliced``, summed over the earlier slices of the key; NULL for ordinary
-    keys. The table behind it has one row per cut and hot key."""
-    if bounds is None:
-        return df.withColumn("_carry", F.lit(None).cast("long"))
-    totals = (
-        sliced.join(F.broadcast(bounds.where("_slice = 0").select(*keys)), keys, "left_semi")
-        .groupBy(*keys, "_slice")
-        .agg(amount.alias("_amount"))
-        .withColumn("_carry", F.sum("_amount").over(_earlier_slices(keys)))
-        .drop("_amount")
-    )
-    return df.join(F.broadcast(totals), [*keys, "_slice"], "left")
-
-
 def plus(a: str, b: str) -> Column:
     """Sum that is NULL only if both sides are."""
     return F.coalesce(F.col(a) + F.col(b), a, b)
-
-
-def running_before(
-    sliced: DataFrame,
-    bounds: DataFrame | None,
-    keys: list[str],
-    order: list[str],
-    value: Column,
-    name: str,
-) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the earlier rows of the key, NULL
-    where there is none. One exchange of the rows, on (keys, ``_slice``)."""
-    summed = sliced.withColumn(name, F.sum(value).over(earlier_rows(keys, order)))
-    carried = add_carry(summed, sliced, bounds, keys, F.sum(value))
-    return carried.withColumn(name, plus(name, "_carry")).drop("_carry")

@@ -47,20 +47,19 @@ def local(app: str, cores: int = 8, **extra: str) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder all executors see, named by ``spark.checkpoint.dir``.
-
-    Only a session without that setting (tests) gets a temporary folder.
-    """
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-            prefix="chalktally-"
-        )
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, named by ``spark.checkpoint.dir``. Only a
+    session whose executors run inside the driver (tests, measurements) may do
+    without the setting and gets a temporary one."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+        current = tempfile.mkdtemp(prefix="chalktally-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    return current.rstrip("/")
 
 
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder in the shared one, for tables a job writes and reads back."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"

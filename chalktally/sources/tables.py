@@ -96,6 +96,11 @@ def _write(df: DataFrame, name: str, path: str, mode: str) -> None:
         df.write.mode(mode).parquet(path)
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """The columns of table ``name`` in their declared types."""
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name].fields))
+
+
 def init(spark: SparkSession, directory: str) -> None:
     """Create the tables that do not exist yet; existing ones stay as they are."""
     for name, schema in SCHEMAS.items():

@@ -15,6 +15,9 @@ from chalktally.operators import usage as usage_ops
 from chalktally.sources.tables import Tables
 
 
+HOT_USER = 2
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,14 +41,18 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests_of(events: DataFrame) -> DataFrame:
-    """Chat requests from event rows, batch or stream."""
+    """Chat requests from event rows, batch or stream. A third of them is one
+    user's; the others mostly ask for a session of their own."""
     failed = F.col("event_type") == "error"
+    hot = F.col("event_id") % 3 == 0
     prompt = F.when(failed, 0).otherwise(_k())
     completion = F.when(failed, 0).otherwise(F.floor("value").cast("int"))
     return events.where(F.col("event_type").isin("click", "view", "error")).select(
         F.col("event_id").alias("request_id"),
-        "user_id",
-        (F.col("event_id") % 130).alias("session_id"),
+        F.when(hot, HOT_USER).otherwise(F.col("user_id")).alias("user_id"),
+        F.when(hot, F.col("event_id") % 6 * 3)
+        .otherwise(F.col("user_id") + F.col("event_id") % 2)
+        .alias("session_id"),
         F.col("ts").cast("timestamp").alias("created_at"),
         expr.tokens_or_default(prompt).alias("prompt_tokens"),
         expr.tokens_or_default(completion).alias("completion_tokens"),
@@ -58,8 +65,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with the text of the new message."""
-    text = F.concat(F.lit("Question "), F.col("request_id").cast("string"))
+    """Requests with the text of the new message, some of them empty."""
+    asked = F.concat(F.lit("Question "), F.col("request_id").cast("string"))
+    text = F.when(F.col("request_id") % 23 == 0, "").otherwise(asked)
     return requests(spark, sf_dir).withColumn("message", text)
 
 
@@ -98,7 +106,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .select(
             conv.alias("id"),
-            (conv % 150).alias("user_id"),
+            F.when(conv % 3 == 0, HOT_USER).otherwise(conv - conv % 2).alias("user_id"),
             F.lit(None).cast("long").alias("applied_rule_id"),
             F.when(conv % 4 != 0, F.concat(F.lit("Chat "), conv.cast("string"))).alias("title"),
             (conv % 9 == 4).alias("is_deleted"),
@@ -108,13 +116,15 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages_of(conversations: DataFrame) -> DataFrame:
-    """Messages from conversation rows, one minute per turn, batch or stream."""
+    """Messages from conversation rows, one minute per turn, batch or stream. A
+    third of all conversations is one session, so others have no messages."""
+    conv = F.col("conv_id")
     by_user = F.col("role") == "user"
     size = F.length("text")
     quarter = F.floor(size / 4)
     return conversations.where(F.col("role") != "system").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-        F.col("conv_id").alias("session_id"),
+        F.when(conv % 3 == 0, 0).otherwise(conv).cast("long").alias("session_id"),
         F.when(by_user, "user").otherwise("llm").alias("sender"),
         F.col("text").alias("content"),
         F.when(~by_user, quarter).cast("int").alias("prompt_tokens"),
@@ -131,7 +141,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks_of(messages: DataFrame) -> DataFrame:
     """Reply chunks: every model message cut after each blank. Each chunk has
     its place in the reply; the last one carries the token counts, unless the
-    message id is a multiple of 3 (a model that reports none)."""
+    message id is a multiple of 3 (a model that reports none). Every seventh
+    stream breaks off after three chunks."""
     pieces = F.split("content", "(?<= )")
     last = F.col("seq") == F.col("_n") - 1
     reported = last & (F.col("request_id") % 3 != 0)
@@ -147,6 +158,7 @@ def chunks_of(messages: DataFrame) -> DataFrame:
         )
         .withColumn("_n", F.size("_pieces"))
         .select("*", F.posexplode("_pieces").alias("seq", "delta"))
+        .where((F.col("request_id") % 7 != 0) | (F.col("seq") < 3))
         .select(
             "request_id",
             "session_id",
@@ -163,6 +175,44 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks_of(messages(spark, sf_dir))
 
 
+def reply_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to the requests: each gets the first model message of its session,
+    but every eleventh nothing at all."""
+    first = (
+        messages(spark, sf_dir)
+        .where(F.col("sender") == "llm")
+        .groupBy("session_id")
+        .agg(F.min_by(F.struct("content", "prompt_tokens", "completion_tokens"), "id").alias("m"))
+    )
+    answered = requests(spark, sf_dir).where(F.col("request_id") % 11 != 0)
+    return chunks_of(
+        answered.join(first, "session_id").select(
+            F.col("request_id").alias("id"), "session_id", "created_at",
+            F.lit("llm").alias("sender"), "m.*",
+        )
+    )
+
+
+def message_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages some of which break a rule of their table."""
+    key = F.col("id")
+    return messages(spark, sf_dir).withColumns(
+        {
+            "sender": F.when(key % 11 == 0, "bot").otherwise(F.col("sender")),
+            "content": F.when(key % 13 != 0, F.col("content")),
+        }
+    )
+
+
+def torn_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables after some users and sessions were lost."""
+    whole = tables(spark, sf_dir)
+    return whole._replace(
+        users=whole.users.where(F.col("id") % 13 != 4),
+        sessions=whole.sessions.where(F.col("id") % 7 != 3),
+    )
+
+
 def user_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     name = F.concat(F.lit("Customer#"), F.lpad((key * 2).cast("string"), 9, "0"))
@@ -228,13 +278,17 @@ def new_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def new_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rule per purchase, for the buyer or for everyone, as a JSON object."""
+    """A rule per purchase, for the buyer or for everyone, as a JSON object; some
+    have no teacher."""
     return (
         _read(spark, sf_dir, "events")
         .where(F.col("event_type") == "purchase")
         .select(
             (F.col("event_id") + 1_000_000_000).alias("id"),
-            (F.floor(F.col("user_id") / 10) * 10 + 1).cast("long").alias("teacher_id"),
+            F.when(
+                F.col("event_id") % 19 != 0,
+                (F.floor(F.col("user_id") / 10) * 10 + 1).cast("long"),
+            ).alias("teacher_id"),
             F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("student_id"),
             F.struct(_k().alias("level")).alias("rules_json"),
             F.when(F.col("event_id") % 3 != 0, F.col("value") > 50).alias("is_active"),

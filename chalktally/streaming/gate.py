@@ -1,4 +1,9 @@
-"""The chat gate on a stream of requests."""
+"""The chat gate on a stream of requests.
+
+A store has the decisions and the usage of each micro-batch under its id, and
+every ``COMPACT`` batches a snapshot of all usage so far under the id of its last
+batch. A batch sees the newest snapshot before it and the batches in between.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,8 @@ from chalktally.functions import expr
 from chalktally.operators import gate, usage
 from chalktally.sources.tables import Tables
 
+COMPACT = 64
+
 
 def _usage_schema(user_type: T.DataType) -> T.StructType:
     return T.StructType(
@@ -27,35 +34,51 @@ def _usage_schema(user_type: T.DataType) -> T.StructType:
     )
 
 
-def usage_before(batch: DataFrame, batch_id: int, store: str) -> DataFrame:
-    """What earlier batches used on the days of this one. Batches are told apart
-    by id: a batch that runs again does not see its own first attempt. Folders
-    of days before the first day of the batch are not read."""
-    spark = batch.sparkSession
-    schema = _usage_schema(batch.schema["user_id"].dataType)
+def _stored(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+    """A stored table, empty only if nothing has been stored there yet."""
     try:
-        stored = spark.read.schema(schema).parquet(f"{store}/usage")
-    except AnalysisException:  # nothing stored yet
-        stored = spark.createDataFrame([], schema)
-    first = batch.agg(F.min(expr.day("created_at")).alias("d"))
-    return usage.compact(
-        stored.where((F.col("batch_id") < batch_id) & (F.col("date") >= first.scalar()))
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def usage_before(spark: SparkSession, user_type: T.DataType, batch_id: int, store: str) -> DataFrame:
+    """What earlier batches used. Batches are told apart by id: a batch that runs
+    again does not see its own first attempt."""
+    schema = _usage_schema(user_type)
+    snapshots = _stored(spark, schema, f"{store}/snapshots").where(F.col("batch_id") < batch_id)
+    last = snapshots.agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+    batches = _stored(spark, schema, f"{store}/usage").where(
+        (F.col("batch_id") > last) & (F.col("batch_id") < batch_id)
     )
+    return usage.compact(snapshots.where(F.col("batch_id") == last).unionByName(batches))
 
 
 def process_batch(
     batch: DataFrame, batch_id: int, users: DataFrame, sessions: DataFrame, store: str
 ) -> None:
     """Judge one micro-batch and store its decisions and its usage under its
-    id. Running it again replaces both with the same rows."""
+    id. Running it again replaces both with the same rows. Days before the first
+    of the batch are not read."""
     spark = batch.sparkSession
-    decided = gate.replay_decisions(batch, users, sessions, usage_before(batch, batch_id, store))
+    user_type = batch.schema["user_id"].dataType
+    batch = batch.persist()
+    days = batch.select(expr.day("created_at").alias("date")).distinct()
+    before = usage_before(spark, user_type, batch_id, store).join(days, "date", "left_semi")
+    decided = gate.replay_decisions(batch, users, sessions, before)
     path = f"{store}/decisions/batch_id={batch_id}"
     decided.write.mode("overwrite").parquet(path)
     admitted = spark.read.schema(decided.schema).parquet(path).where(F.col("status") == 200)
     usage.daily(admitted).write.mode("overwrite").partitionBy("date").parquet(
         f"{store}/usage/batch_id={batch_id}"
     )
+    batch.unpersist()
+    if (batch_id + 1) % COMPACT == 0:
+        usage_before(spark, user_type, batch_id + 1, store).write.mode("overwrite").partitionBy(
+            "date"
+        ).parquet(f"{store}/snapshots/batch_id={batch_id}")
 
 
 def decisions(spark: SparkSession, store: str) -> DataFrame:

@@ -119,6 +119,13 @@ def assemble_batch(chunks: DataFrame, piece: int = PIECE) -> DataFrame:
     return _finish(grouped)
 
 
+def assemble_for(admitted: DataFrame, chunks: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Replies of the requests in ``admitted`` (request_id) only; chunks of
+    others are dropped before any grouping."""
+    wanted = admitted.select("request_id").distinct()
+    return assemble_batch(chunks.join(wanted, "request_id", "left_semi"), piece)
+
+
 def write_replies(
     replies: DataFrame, out: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:

@@ -1,16 +1,27 @@
-"""Daily usage kept up to date from a stream of requests."""
+"""Daily usage kept up to date from a stream of requests.
+
+The ledger has a narrow row per request, appended exactly once and filed by day;
+usage is its sum. Nothing is kept as the stream's state, so days may be any time
+apart and rows any time late. ``write_closed_days`` is the other form: a row per
+user and day, written when the day is over, without what comes later still.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from chalktally.functions import expr
+from chalktally.operators import usage
+
 
 def daily_usage(requests: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Tokens and requests per user and day. The stream's state is the usage
-    table; a day leaves it when a day ``delay`` later has begun. ``delay`` must
-    cover at least one day, or rows of the running day would count as late."""
+    """Tokens and requests per user and day, complete when a day ``delay`` later
+    has begun. ``delay`` must cover at least one day, or rows of the running day
+    would count as late."""
     day = requests.select(
         "user_id", F.date_trunc("day", "created_at").alias("day"), "total_tokens"
     )
@@ -24,12 +35,21 @@ def daily_usage(requests: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def run(usage: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Keep the state current without writing the updated rows anywhere; read it
-    with ``current``."""
+def write_ledger(
+    requests: DataFrame, out: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Append what each request used to the ledger, in a folder per day."""
+    rows = requests.select(
+        "user_id",
+        F.col("total_tokens").cast("long").alias("tokens_used"),
+        F.lit(1).alias("request_count"),
+        expr.day("created_at").alias("date"),
+    )
     writer = (
-        usage.writeStream.outputMode("update")
-        .format("noop")
+        rows.writeStream.outputMode("append")
+        .format("parquet")
+        .partitionBy("date")
+        .option("path", out)
         .option("checkpointLocation", checkpoint)
     )
     if available_now:
@@ -37,11 +57,20 @@ def run(usage: DataFrame, checkpoint: str, available_now: bool = False) -> Strea
     return writer.start()
 
 
+def current(spark: SparkSession, ledger: str, since: dt.date | None = None) -> DataFrame:
+    """Usage per user and day by the ledger; with ``since`` only the folders of
+    that day and later ones are read."""
+    rows = spark.read.parquet(ledger)
+    if since is not None:
+        rows = rows.where(F.col("date") >= F.lit(since))
+    return usage.compact(rows)
+
+
 def write_closed_days(
-    usage: DataFrame, out: str, checkpoint: str, available_now: bool = False
+    days: DataFrame, out: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
     """Append the usage of each day to a table once the day is closed."""
-    rows = usage.select("user_id", F.to_date("day").alias("date"), "tokens_used", "request_count")
+    rows = days.select("user_id", F.to_date("day").alias("date"), "tokens_used", "request_count")
     writer = (
         rows.writeStream.outputMode("append")
         .format("parquet")
@@ -51,14 +80,3 @@ def write_closed_days(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
-
-
-def current(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The usage of the days still open, read from the stream's state."""
-    state = spark.read.format("statestore").load(checkpoint)
-    return state.select(
-        F.col("key.user_id"),
-        F.to_date("key.day").alias("date"),
-        F.col("value.sum").cast("long").alias("tokens_used"),
-        F.col("value.count").cast("int").alias("request_count"),
-    )

@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
+# A reply and its counts from a message m; every seventh breaks off after three
+# pieces, and so does its report of the counts.
+_BROKEN = "m.id % 7 = 0 AND len(string_split(m.content, ' ')) > 3"
+_REPLY = f"""
+          CASE WHEN {_BROKEN}
+            THEN CONCAT(array_to_string(string_split(m.content, ' ')[1:3], ' '), ' ')
+            ELSE m.content END AS reply,
+          CASE WHEN m.id % 3 = 0 OR m.prompt_tokens = 0 OR {_BROKEN} THEN 10
+            ELSE m.prompt_tokens END AS prompt_tokens,
+          CASE WHEN m.id % 3 = 0 OR m.completion_tokens = 0 OR {_BROKEN} THEN 10
+            ELSE m.completion_tokens END AS completion_tokens"""
+
 # Views over the provided tables, each may use the ones above it.
 VIEWS = {
     "v_users": """
@@ -12,7 +24,9 @@ VIEWS = {
           c_custkey % 11 = 5 AS is_deleted
         FROM customer""",
     "v_requests_raw": """
-        SELECT event_id AS request_id, user_id, event_id % 130 AS session_id, ts AS created_at,
+        SELECT event_id AS request_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE user_id END AS user_id,
+          CASE WHEN event_id % 3 = 0 THEN event_id % 6 * 3 ELSE user_id + event_id % 2 END
+            AS session_id, ts AS created_at,
           CAST(ts AS DATE) AS usage_date,
           CASE WHEN event_type = 'error' THEN 0
                ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS raw_prompt,
@@ -36,13 +50,17 @@ VIEWS = {
           value > 20 AS is_active
         FROM events WHERE event_type = 'signup'""",
     "v_sessions": """
-        SELECT conv_id AS id, conv_id % 150 AS user_id, CAST(NULL AS BIGINT) AS applied_rule_id,
+        SELECT conv_id AS id,
+          CASE WHEN conv_id % 3 = 0 THEN 2 ELSE conv_id - conv_id % 2 END AS user_id, CAST(NULL AS BIGINT) AS applied_rule_id,
           CASE WHEN conv_id % 4 = 0 THEN NULL ELSE CONCAT('Chat ', CAST(conv_id AS VARCHAR)) END
             AS title,
           conv_id % 9 = 4 AS is_deleted, DATE '2024-01-01' + CAST(conv_id % 30 AS INT) AS created_at
         FROM (SELECT DISTINCT conv_id FROM conversations) x""",
     "v_messages": """
-        SELECT conv_id * 1000 + turn AS id, conv_id AS session_id, turn,
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id
+          ORDER BY created_date, turn, sender = 'llm', id) AS n
+        FROM (SELECT conv_id * 1000 + turn AS id,
+          CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS session_id, turn,
           CASE WHEN role = 'user' THEN 'user' ELSE 'llm' END AS sender, text AS content,
           CASE WHEN role = 'user' THEN NULL ELSE CAST(FLOOR(LENGTH(text) / 4) AS INT) END
             AS prompt_tokens,
@@ -50,7 +68,7 @@ VIEWS = {
                ELSE CAST(LENGTH(text) - FLOOR(LENGTH(text) / 4) AS INT) END AS completion_tokens,
           CASE WHEN role = 'user' THEN NULL ELSE CAST(LENGTH(text) AS INT) END AS total_tokens,
           DATE '2024-01-01' + CAST(conv_id % 30 AS INT) AS created_date
-        FROM conversations WHERE role <> 'system'""",
+        FROM conversations WHERE role <> 'system') x""",
     "v_candidates": """
         SELECT c_custkey AS row_id, -c_custkey - 1 AS id,
           CASE WHEN c_custkey % 13 = 0 THEN ''
@@ -101,7 +119,9 @@ VIEWS = {
         FROM v_door""",
     "v_decided": """
         SELECT d.request_id, d.user_id, d.session_id, d.created_at, d.usage_date,
-          COALESCE(d.refusal, CASE WHEN t.tokens_used >= d.quota THEN 429 END, 200) AS status
+          CASE WHEN d.refusal = 401 THEN 401 WHEN d.request_id % 23 = 0 THEN 422
+            ELSE COALESCE(d.refusal, CASE WHEN t.tokens_used >= d.quota THEN 429 END, 200) END
+            AS status
         FROM v_door d LEFT JOIN v_today t ON t.user_id = d.user_id""",
     "v_effective": """
         SELECT u.id AS user_id, COALESCE(t.rid, g.rid) AS rule_id
@@ -113,34 +133,43 @@ VIEWS = {
     "v_system": """
         SELECT e.user_id, e.rule_id, CONCAT('You are a helpful AI assistant.',
           CASE WHEN r.id IS NULL THEN '' ELSE CONCAT(CHR(10), CHR(10), 'Teacher Instructions:',
-            CHR(10), CASE WHEN json_valid(r.rules_json) THEN r.rules_json
+            CHR(10), CASE WHEN json_valid(r.rules_json) THEN CAST(json(r.rules_json) AS VARCHAR)
               ELSE CONCAT('"', r.rules_json, '"') END) END) AS system_prompt
         FROM v_effective e LEFT JOIN v_rules r ON r.id = e.rule_id""",
     "v_ranked": """
-        SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY turn DESC) AS age,
+        SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY n DESC) AS age,
           CASE WHEN sender = 'user' THEN 'user' ELSE 'assistant' END AS role
         FROM v_messages""",
+    "v_pages": """
+        SELECT session_id, page, string_agg(CONCAT_WS('|', CAST(id AS VARCHAR), sender, content,
+            CAST(total_tokens AS VARCHAR)), '#' ORDER BY n) AS messages
+        FROM (SELECT *, CAST(FLOOR((n - 1) / 1000) AS INT) AS page FROM v_messages) x
+        GROUP BY session_id, page""",
     "v_nested": """
-        SELECT z.id, string_agg(CONCAT_WS('|', CAST(m.id AS VARCHAR), m.sender, m.content,
-            CAST(m.total_tokens AS VARCHAR)), '#' ORDER BY m.turn) AS messages
-        FROM v_sessions z JOIN v_messages m ON m.session_id = z.id GROUP BY z.id""",
-    "v_replies": """
+        SELECT z.*, COALESCE(p.page, 0) AS page, COALESCE(p.messages, '') AS messages
+        FROM v_sessions z LEFT JOIN v_pages p ON p.session_id = z.id""",
+    "v_first": """
+        SELECT session_id, arg_min(content, id) AS content, arg_min(prompt_tokens, id) AS prompt_tokens,
+          arg_min(completion_tokens, id) AS completion_tokens
+        FROM v_messages WHERE sender = 'llm' GROUP BY session_id""",
+    "v_replies": f"""
         SELECT id AS request_id, session_id, created_date + to_minutes(turn) AS started_at,
-          content AS reply,
-          CASE WHEN id % 3 = 0 OR prompt_tokens = 0 THEN 10 ELSE prompt_tokens END
-            AS prompt_tokens,
-          CASE WHEN id % 3 = 0 OR completion_tokens = 0 THEN 10 ELSE completion_tokens END
-            AS completion_tokens
-        FROM v_messages WHERE sender = 'llm'""",
+          {_REPLY}
+        FROM v_messages m WHERE sender = 'llm'""",
+    "v_answered": f"""
+        SELECT id AS request_id, {_REPLY}
+        FROM (SELECT r.request_id AS id, f.* FROM v_requests r JOIN v_first f
+          ON f.session_id = r.session_id WHERE r.request_id % 11 <> 0) m""",
     "v_answers": """
         SELECT d.request_id, d.user_id, d.session_id, d.created_at, d.usage_date,
           COALESCE(p.reply, '') AS reply, COALESCE(p.prompt_tokens, 10) AS prompt_tokens,
           COALESCE(p.completion_tokens, 10) AS completion_tokens
-        FROM v_decided d LEFT JOIN v_replies p ON p.request_id = d.request_id
+        FROM v_decided d LEFT JOIN v_answered p ON p.request_id = d.request_id
         WHERE d.status = 200""",
     "v_bound": """
         SELECT z.id, z.user_id, e.rule_id AS applied_rule_id
         FROM v_sessions z LEFT JOIN v_effective e ON e.user_id = z.user_id""",
+    "v_left_users": "SELECT id FROM v_users WHERE id % 13 <> 4",
     "v_gone": "SELECT id FROM v_users WHERE is_deleted",
     "v_kept_rules": """
         SELECT * FROM v_rules r WHERE NOT EXISTS (SELECT 1 FROM v_gone g
@@ -202,7 +231,7 @@ SQL = {
     "student_quota_share": _share(_OVERVIEW, "tokens_used_today", "daily_token_quota"),
     "quota_pct_band": _share(
         """SELECT u.id, COALESCE(t.tokens_used, 0) AS used, u.daily_token_quota AS "limit"
-           FROM v_users u LEFT JOIN v_today t ON t.user_id = u.id""",
+           FROM v_users u LEFT JOIN v_today t ON t.user_id = u.id WHERE NOT u.is_deleted""",
         "used",
         '"limit"',
     ),
@@ -282,7 +311,7 @@ SQL = {
         SELECT session_id, CAST(ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY age DESC) AS INT)
           AS position, id, role FROM v_ranked WHERE age <= 20""",
     "prompt_text": """
-        SELECT session_id, string_agg(CONCAT(role, '|', content), '#' ORDER BY turn) AS history
+        SELECT session_id, string_agg(CONCAT(role, '|', content), '#' ORDER BY n) AS history
         FROM v_ranked WHERE age <= 4 GROUP BY session_id""",
     "system_text": "SELECT * FROM v_system",
     "prompt_payload": """
@@ -290,7 +319,7 @@ SQL = {
           CASE WHEN h.history IS NULL THEN '' ELSE CONCAT('#', h.history) END,
           '#user|Question ', CAST(d.request_id AS VARCHAR)) AS payload
         FROM v_decided d JOIN v_system s ON s.user_id = d.user_id
-          LEFT JOIN (SELECT session_id, string_agg(CONCAT(role, '|', content), '#' ORDER BY turn)
+          LEFT JOIN (SELECT session_id, string_agg(CONCAT(role, '|', content), '#' ORDER BY n)
               AS history FROM v_ranked WHERE age <= 20 GROUP BY session_id) h
             ON h.session_id = d.session_id
         WHERE d.status = 200""",
@@ -307,28 +336,23 @@ SQL = {
                 ORDER BY created_at DESC, id DESC) AS n FROM v_sessions WHERE NOT is_deleted) x
         WHERE n = 1""",
     "sessions_with_messages": f"""
-        SELECT z.id, z.user_id, z.applied_rule_id, z.title, z.is_deleted,
-          strftime(z.created_at, {_STAMP}) AS created_at, 0 AS page,
-          COALESCE(n.messages, '') AS messages
-        FROM v_sessions z LEFT JOIN v_nested n ON n.id = z.id""",
+        SELECT id, user_id, applied_rule_id, title, is_deleted,
+          strftime(created_at, {_STAMP}) AS created_at, page, messages FROM v_nested""",
     "sessions_in_pages": f"""
         SELECT z.id, z.user_id, z.applied_rule_id, z.title, z.is_deleted,
           strftime(z.created_at, {_STAMP}) AS created_at, COALESCE(p.page, 0) AS page,
           COALESCE(p.messages, '') AS messages
         FROM v_sessions z LEFT JOIN (
           SELECT session_id, page, string_agg(CONCAT_WS('|', CAST(id AS VARCHAR), sender, content,
-            CAST(total_tokens AS VARCHAR)), '#' ORDER BY turn) AS messages
-          FROM (SELECT *, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY turn)
-                  - 1) / 3) AS INT) AS page FROM v_messages) x
+            CAST(total_tokens AS VARCHAR)), '#' ORDER BY n) AS messages
+          FROM (SELECT *, CAST(FLOOR((n - 1) / 3) AS INT) AS page FROM v_messages) x
           GROUP BY session_id, page) p ON p.session_id = z.id""",
     "student_history": f"""
         SELECT z.id, z.user_id, COALESCE(NULLIF(z.title, ''), 'Untitled Session') AS label,
-          0 AS page, COALESCE(n.messages, '') AS messages
-        FROM v_sessions z LEFT JOIN v_nested n ON n.id = z.id
-        WHERE NOT z.is_deleted AND {_LIVE_STUDENT}""",
+          z.page, z.messages
+        FROM v_nested z WHERE NOT z.is_deleted AND {_LIVE_STUDENT}""",
     "read_sessions": """
-        SELECT z.id, z.user_id, 0 AS page, COALESCE(n.messages, '') AS messages
-        FROM v_sessions z LEFT JOIN v_nested n ON n.id = z.id
+        SELECT z.id, z.user_id, z.page, z.messages FROM v_nested z
         WHERE EXISTS (SELECT 1 FROM v_requests r JOIN v_users u ON u.id = r.user_id
           WHERE r.session_id = z.id AND r.user_id = z.user_id AND NOT u.is_deleted)""",
     "create_users": _DUPLICATE_OR_TAKEN,
@@ -380,9 +404,11 @@ SQL = {
           CASE WHEN user_id % 7 <> 0 THEN user_id END,
           CONCAT('{"level":', json_extract_string(props, '$.k'), '}'),
           CASE WHEN event_id % 3 = 0 THEN TRUE ELSE value > 50 END
-        FROM events WHERE event_type = 'purchase'""",
+        FROM events WHERE event_type = 'purchase' AND event_id % 19 <> 0""",
     "create_rules_status": """
-        SELECT event_id + 1000000000 AS id, CAST(NULL AS VARCHAR) AS reason, 201 AS status
+        SELECT event_id + 1000000000 AS id,
+          CASE WHEN event_id % 19 = 0 THEN 'teacher_id missing' END AS reason,
+          CASE WHEN event_id % 19 = 0 THEN 422 ELSE 201 END AS status
         FROM events WHERE event_type = 'purchase'""",
     "bind_rules": """
         SELECT b.id, b.user_id, CASE WHEN EXISTS (SELECT 1 FROM v_decided d
@@ -404,7 +430,8 @@ SQL = {
           SELECT id FROM v_sessions WHERE user_id IN (SELECT id FROM v_gone))""",
     "validate_users": "SELECT row_id, username, reason FROM v_checked",
     "validate_messages": """
-        SELECT id, CASE WHEN sender NOT IN ('user', 'llm') THEN 'sender' END AS reason
+        SELECT id, CASE WHEN id % 13 = 0 THEN 'content missing'
+          WHEN id % 11 = 0 THEN 'sender' END AS reason
         FROM v_messages""",
     "duplicates": """
         SELECT username, COUNT(*) AS n FROM v_candidates GROUP BY username HAVING COUNT(*) > 1""",
@@ -413,17 +440,17 @@ SQL = {
         WHERE session_id NOT IN (SELECT id FROM v_sessions)""",
     "orphan_counts": """
         SELECT 'teacher_rules.teacher_id' AS reference, COUNT(*) AS orphans FROM v_rules
-          WHERE teacher_id NOT IN (SELECT id FROM v_users)
+          WHERE teacher_id NOT IN (SELECT id FROM v_left_users)
         UNION ALL SELECT 'teacher_rules.student_id', COUNT(*) FROM v_rules
-          WHERE student_id NOT IN (SELECT id FROM v_users)
+          WHERE student_id NOT IN (SELECT id FROM v_left_users)
         UNION ALL SELECT 'usage_stats.user_id', COUNT(*) FROM v_usage
-          WHERE user_id NOT IN (SELECT id FROM v_users)
+          WHERE user_id NOT IN (SELECT id FROM v_left_users)
         UNION ALL SELECT 'sessions.user_id', COUNT(*) FROM v_sessions
-          WHERE user_id NOT IN (SELECT id FROM v_users)
+          WHERE id % 7 <> 3 AND user_id NOT IN (SELECT id FROM v_left_users)
         UNION ALL SELECT 'sessions.applied_rule_id', COUNT(*) FROM v_sessions
           WHERE applied_rule_id NOT IN (SELECT id FROM v_rules)
         UNION ALL SELECT 'messages.session_id', COUNT(*) FROM v_messages
-          WHERE session_id NOT IN (SELECT id FROM v_sessions)""",
+          WHERE session_id NOT IN (SELECT id FROM v_sessions WHERE id % 7 <> 3)""",
     "stored_usage_drift": """
         SELECT COALESCE(s.user_id, e.user_id) AS user_id,
           strftime(COALESCE(s.date, e.date), '%Y-%m-%d') AS date,
@@ -455,9 +482,21 @@ SQL = {
               UNION ALL SELECT user_id, usage_date, prompt_tokens + completion_tokens, 1
               FROM v_answers) x
         GROUP BY user_id, date""",
+    "stored_tables": """
+        SELECT CAST(user_id AS VARCHAR) AS user_id, strftime(date, '%Y-%m-%d') AS date,
+          CAST(SUM(tokens) AS BIGINT) AS tokens_used, CAST(COUNT(*) AS INT) AS request_count
+        FROM (SELECT z.user_id, m.created_date AS date, m.total_tokens AS tokens
+              FROM v_messages m JOIN v_sessions z ON z.id = m.session_id WHERE m.sender = 'llm'
+              UNION ALL SELECT z.user_id, a.usage_date, a.prompt_tokens + a.completion_tokens
+              FROM v_answers a JOIN v_sessions z ON z.id = a.session_id) x
+        GROUP BY user_id, date""",
+    "validate_requests": """
+        SELECT request_id, CASE WHEN request_id % 23 = 0 THEN 'message' END AS reason
+        FROM v_requests""",
     "stream_daily_usage": _USAGE,
     "stream_closed_days": f"""
-        SELECT * FROM ({_USAGE}) x WHERE date < (SELECT MAX(date) FROM ({_USAGE}) y)""",
+        SELECT * FROM ({_USAGE}) x
+        WHERE CAST(date AS DATE) <= (SELECT MAX(usage_date) - 8 FROM v_requests)""",
 }
 
 

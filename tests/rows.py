@@ -37,15 +37,15 @@ def school(spark) -> tb.Tables:
     return tables(
         spark,
         users=[
-            user("admin1", "admin"),
-            user("teacher1", "teacher"),
-            user("student_a"),
-            user("student_b"),
-            user("deleted_s", deleted=True),
+            user("root_a", "admin"),
+            user("lena", "teacher"),
+            user("mira"),
+            user("tomas"),
+            user("olga", deleted=True),
         ],
-        teacher_rules=[("r1", "teacher1", "student_a", '{"instruction": "Be concise"}', True)],
-        usage_stats=[("student_a", TODAY, 1234, 5)],
-        sessions=[("s1", "student_a", None, "Test Chat", False, at(0))],
+        teacher_rules=[("r1", "lena", "mira", '{"instruction": "Answer in two lines"}', True)],
+        usage_stats=[("mira", TODAY, 1234, 5)],
+        sessions=[("s1", "mira", None, "Fractions", False, at(0))],
         messages=[
             message("m1", "s1", "user", "Hello", 0),
             message("m2", "s1", "llm", "Hi there!", 0, (10, 5)),

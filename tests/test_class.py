@@ -34,29 +34,29 @@ def room(spark):
 
 def test_active_users_leave_out_the_deleted(room):
     assert as_set(users.active(room.users), "id") == {
-        ("admin1",), ("teacher1",), ("student_a",), ("student_b",)
+        ("root_a",), ("lena",), ("mira",), ("tomas",)
     }
     assert users.active_count(room.users).collect()[0].active_users == 4
     assert "hashed_password" not in users.active(room.users).columns
 
 
-def test_overview_has_every_live_student_and_zero_without_usage(room):
+def test_overview_has_every_live_mirand_zero_without_usage(room):
     got = overview.student_overview(room.users, room.usage_stats, TODAY)
     assert as_set(got, "id", "tokens_used_today", "request_count_today", "band") == {
-        ("student_a", 1234, 5, "ok"), ("student_b", 0, 0, "ok")
+        ("mira", 1234, 5, "ok"), ("tomas", 0, 0, "ok")
     }
 
 
 def test_overview_does_not_count_other_days(room):
     got = usage.student_overview(room.users, room.usage_stats, TODAY - dt.timedelta(days=1))
-    assert as_dict(got, "id", "tokens_used_today") == {"student_a": 0, "student_b": 0}
+    assert as_dict(got, "id", "tokens_used_today") == {"mira": 0, "tomas": 0}
 
 
 def test_quota_use_is_for_every_role(room):
     got = usage.quota_use(room.users, room.usage_stats, TODAY)
     assert as_set(got, "id", "used", "limit") == {
-        ("admin1", 0, 50_000), ("teacher1", 0, 50_000),
-        ("student_a", 1234, 50_000), ("student_b", 0, 50_000),
+        ("root_a", 0, 50_000), ("lena", 0, 50_000),
+        ("mira", 1234, 50_000), ("tomas", 0, 50_000),
     }
 
 
@@ -72,26 +72,26 @@ def test_quota_share_bounds(spark):
 
 
 def test_resolve_names_ignores_deleted_accounts(spark, room):
-    names = spark.createDataFrame([("student_a",), ("deleted_s",), ("nobody",)], "username string")
+    names = spark.createDataFrame([("mira",), ("olga",), ("nobody",)], "username string")
     assert as_dict(users.resolve_names(names, room.users), "username", "user_id") == {
-        "student_a": "student_a", "deleted_s": None, "nobody": None
+        "mira": "mira", "olga": None, "nobody": None
     }
 
 
 def test_usage_of_messages_counts_model_rows_only(room):
     got = usage.rollup(room.messages, room.sessions)
     assert as_set(got, "user_id", "date", "tokens_used", "request_count") == {
-        ("student_a", TODAY, 15, 1)
+        ("mira", TODAY, 15, 1)
     }
 
 
 def test_merge_adds_to_a_day_and_inserts_another(spark, room):
     delta = table(
-        spark, "usage_stats", [("student_a", TODAY, 6, 1), ("student_b", TODAY, 20, 1)]
+        spark, "usage_stats", [("mira", TODAY, 6, 1), ("tomas", TODAY, 20, 1)]
     )
     twice = usage.merge(usage.merge(room.usage_stats, delta), delta)
     assert as_set(twice, "user_id", "tokens_used", "request_count") == {
-        ("student_a", 1246, 7), ("student_b", 40, 2)
+        ("mira", 1246, 7), ("tomas", 40, 2)
     }
 
 
@@ -99,32 +99,32 @@ def test_merge_adds_to_a_day_and_inserts_another(spark, room):
 
 
 def test_role_gates(spark, room):
-    callers = ["admin1", "teacher1", "student_a", "deleted_s", "ghost"]
+    callers = ["root_a", "lena", "mira", "olga", "ghost"]
     asked = spark.createDataFrame(
         [(u, g) for u in callers for g in ("user", "teacher", "admin")], "user_id string, gate string"
     )
     got = as_set(gate.role_decisions(asked, room.users, "gate"), "user_id", "gate", "status")
     assert got == {
-        ("admin1", "user", 200), ("admin1", "teacher", 200), ("admin1", "admin", 200),
-        ("teacher1", "user", 200), ("teacher1", "teacher", 200), ("teacher1", "admin", 403),
-        ("student_a", "user", 200), ("student_a", "teacher", 403), ("student_a", "admin", 403),
-        ("deleted_s", "user", 401), ("deleted_s", "teacher", 401), ("deleted_s", "admin", 401),
+        ("root_a", "user", 200), ("root_a", "teacher", 200), ("root_a", "admin", 200),
+        ("lena", "user", 200), ("lena", "teacher", 200), ("lena", "admin", 403),
+        ("mira", "user", 200), ("mira", "teacher", 403), ("mira", "admin", 403),
+        ("olga", "user", 401), ("olga", "teacher", 401), ("olga", "admin", 401),
         ("ghost", "user", 401), ("ghost", "teacher", 401), ("ghost", "admin", 401),
     }
 
 
 def test_own_accounts(spark, room):
-    asked = spark.createDataFrame([("student_a",), ("deleted_s",), ("ghost",)], "user_id string")
+    asked = spark.createDataFrame([("mira",), ("olga",), ("ghost",)], "user_id string")
     assert as_set(gate.own_accounts(asked, room.users), "user_id", "username", "status") == {
-        ("student_a", "student_a", 200), ("deleted_s", None, 401), ("ghost", None, 401)
+        ("mira", "mira", 200), ("olga", None, 401), ("ghost", None, 401)
     }
 
 
 def test_areas_by_role(room):
     assert as_set(gate.areas(room.users), "id", "area") == {
-        ("admin1", "Admin Panel"), ("admin1", "Teacher Console"), ("admin1", "AI Chat"),
-        ("teacher1", "Teacher Console"), ("teacher1", "AI Chat"),
-        ("student_a", "AI Chat"), ("student_b", "AI Chat"),
+        ("root_a", "Admin Panel"), ("root_a", "Teacher Console"), ("root_a", "AI Chat"),
+        ("lena", "Teacher Console"), ("lena", "AI Chat"),
+        ("mira", "AI Chat"), ("tomas", "AI Chat"),
     }
 
 
@@ -135,7 +135,7 @@ def lounge(spark):
         spark,
         users=[user("one", quota=100), user("two", quota=100), user("zero", quota=0),
                user("gone", deleted=True)],
-        teacher_rules=[("r9", "t", "one", '{"instruction": "Always speak in French"}', True)],
+        teacher_rules=[("r9", "t", "one", '{"instruction": "Use metric units"}', True)],
         sessions=[
             ("s1", "one", None, None, False, at(0)),
             ("s2", "two", None, "", False, at(1)),
@@ -191,11 +191,11 @@ def test_session_read_gate(spark, lounge):
 
 def test_audit_gate(spark, room):
     asked = spark.createDataFrame(
-        [("student_a",), ("student_b",), ("teacher1",), ("deleted_s",), ("ghost",)],
+        [("mira",), ("tomas",), ("lena",), ("olga",), ("ghost",)],
         "student_id string",
     )
     assert as_dict(gate.audit_decisions(asked, room.users), "student_id", "status") == {
-        "student_a": 200, "student_b": 200, "teacher1": 404, "deleted_s": 404, "ghost": 404
+        "mira": 200, "tomas": 200, "lena": 404, "olga": 404, "ghost": 404
     }
 
 
@@ -249,9 +249,9 @@ def test_rules_of_a_teacher(staff):
 @pytest.mark.parametrize(
     ("raw", "text"),
     [
-        ('{"b":1,"a":[1,2]}', '{"b": 1, "a": [1, 2]}'),
+        ('{"b": 1, "a": [1, 2]}', '{"a":[1,2],"b":1}'),
         ("plain words", '"plain words"'),
-        ('"quoted é"', '"quoted \\u00e9"'),
+        ('"quoted é"', '"quoted é"'),
         ("not { json", '"not { json"'),
         ("[]", "[]"),
         ("1.50", "1.5"),
@@ -263,12 +263,20 @@ def test_rule_text(spark, raw, text):
     assert df.select(expr.rule_text("raw").alias("t")).collect()[0].t == text
 
 
+def test_a_broken_or_huge_rule_affects_its_own_row_only(spark):
+    rows = [(0, "[1]"), (1, "1" * 5000), (2, "[" * 3000 + "]" * 3000), (3, '{"a": '), (4, "x" * 100_000)]
+    df = spark.createDataFrame(rows, "i int, raw string")
+    got = as_dict(df.select("i", expr.rule_text("raw").alias("t")), "i", "t")
+    assert got[0] == "[1]" and got[3] == '"{\\"a\\": "' and got[4] == '"' + "x" * 100_000 + '"'
+    assert all(got[i] for i in (1, 2))
+
+
 def test_system_text(spark, staff):
     people = table(spark, "users", [user("a"), user("b")])
     base = "You are a helpful AI assistant."
     head = base + "\n\nTeacher Instructions:\n"
     assert as_dict(prompts.system_text(people, staff), "user_id", "system_prompt") == {
-        "a": head + '{"b": 1, "a": [1, 2]}', "b": head + '"plain words"'
+        "a": head + '{"a":[1,2],"b":1}', "b": head + '"plain words"'
     }
     off = staff.withColumn("is_active", F.lit(False))
     assert as_dict(prompts.system_text(people, off), "user_id", "system_prompt") == {
@@ -295,13 +303,13 @@ def test_question_before_answer_at_the_same_instant(spark):
 
 
 def test_payload(spark, lounge):
-    asked = _requests(spark, [("one", "s1", "my test message"), ("two", "s2", "first")])
+    asked = _requests(spark, [("one", "s1", "What is a prime?"), ("two", "s2", "first")])
     got = chat.prepare(lounge, asked, TODAY)
     lists = {r.request_id: [(m.role, m.content) for m in r.payload] for r in got.prompts.collect()}
-    french = '\n\nTeacher Instructions:\n{"instruction": "Always speak in French"}'
+    units = '\n\nTeacher Instructions:\n{"instruction":"Use metric units"}'
     assert lists[0] == [
-        ("system", "You are a helpful AI assistant." + french),
-        ("user", "hi"), ("assistant", "hello"), ("user", "my test message"),
+        ("system", "You are a helpful AI assistant." + units),
+        ("user", "hi"), ("assistant", "hello"), ("user", "What is a prime?"),
     ]
     assert lists[1] == [("system", "You are a helpful AI assistant."), ("user", "first")]
     assert as_dict(got.sessions, "id", "applied_rule_id") == {
@@ -310,16 +318,16 @@ def test_payload(spark, lounge):
 
 
 def test_settle_stores_pairs_and_charges_once(spark, lounge):
-    asked = _requests(spark, [("one", "s1", "my test message"), ("two", "s2", "cut off")])
+    asked = _requests(spark, [("one", "s1", "What is a prime?"), ("two", "s2", "cut off")])
     replies = spark.createDataFrame(
-        [(0, "Bonjour le", 10, 2)],
+        [(0, "A number with", 10, 2)],
         "request_id long, reply string, prompt_tokens int, completion_tokens int",
     )
     stats = table(spark, "usage_stats", [("two", TODAY, 1, 1)])
     got = chat.settle(asked, replies, stats)
     assert as_set(got.messages, "id", "sender", "content", "prompt_tokens", "completion_tokens", "total_tokens") == {
-        ("0:user", "user", "my test message", None, None, None),
-        ("0:llm", "llm", "Bonjour le", 10, 2, 12),
+        ("0:user", "user", "What is a prime?", None, None, None),
+        ("0:llm", "llm", "A number with", 10, 2, 12),
         ("1:user", "user", "cut off", None, None, None),
         ("1:llm", "llm", "", 10, 10, 20),
     }
@@ -328,7 +336,7 @@ def test_settle_stores_pairs_and_charges_once(spark, lounge):
     }
     both = lounge.messages.unionByName(got.messages)
     texts = [m.content for m in sessions.with_messages(lounge.sessions, both).where("id = 's1'").collect()[0].messages]
-    assert texts == ["hi", "hello", "my test message", "Bonjour le"]
+    assert texts == ["hi", "hello", "What is a prime?", "A number with"]
 
 
 # --- sessions --------------------------------------------------------------
@@ -352,18 +360,18 @@ def test_audit_is_for_live_students(spark, room):
     extra = table(
         spark,
         "sessions",
-        [("x1", "teacher1", None, "t", False, at(1)), ("x2", "deleted_s", None, "d", False, at(1)),
-         ("x3", "student_a", None, "", False, at(1)), ("x4", "student_a", None, "del", True, at(1))],
+        [("x1", "lena", None, "t", False, at(1)), ("x2", "olga", None, "d", False, at(1)),
+         ("x3", "mira", None, "", False, at(1)), ("x4", "mira", None, "del", True, at(1))],
     )
     every = room.sessions.unionByName(extra)
     assert [r.id for r in sessions.audit(every, room.users).collect()] == ["x3", "s1"]
     nested = audit.student_history(every, room.users, room.messages)
     assert {(r.id, r.label): len(r.messages) for r in nested.collect()} == {
-        ("s1", "Test Chat"): 2, ("x3", "Untitled Session"): 0
+        ("s1", "Fractions"): 2, ("x3", "Untitled Session"): 0
     }
     counts = sessions.summary(every, room.messages)
-    assert as_set(counts.where("user_id = 'student_a'"), "id", "title", "message_count") == {
-        ("s1", "Test Chat", 2), ("x3", "Untitled Session", 0)
+    assert as_set(counts.where("user_id = 'mira'"), "id", "title", "message_count") == {
+        ("s1", "Fractions", 2), ("x3", "Untitled Session", 0)
     }
 
 
@@ -382,8 +390,8 @@ def test_create_users(spark, room):
         [
             (1, "n1", "fresh", None, None),
             (2, "n2", "fresh", "teacher", 5),
-            (3, "n3", "student_a", None, None),
-            (4, "n4", "deleted_s", None, None),
+            (3, "n3", "mira", None, None),
+            (4, "n4", "olga", None, None),
             (5, "n5", "", None, None),
             (6, "n6", "x" * 151, None, None),
             (7, "n7", "neg", None, -5),
@@ -412,25 +420,25 @@ def test_seed_accounts_fit_an_empty_installation_once(spark):
 
 
 def test_set_quota(spark, room):
-    rows = [(1, "student_a", 10), (3, "student_a", 30), (2, "student_a", 20), (4, "student_a", -5),
-            (5, "deleted_s", 7), (6, "ghost", 7), (7, "teacher1", 0), (8, "admin1", None)]
+    rows = [(1, "mira", 10), (3, "mira", 30), (2, "mira", 20), (4, "mira", -5),
+            (5, "olga", 7), (6, "ghost", 7), (7, "lena", 0), (8, "root_a", None)]
     df = spark.createDataFrame(rows, "change_id long, user_id string, daily_token_quota int")
     got = changes.set_quota(room.users, df)
     assert as_dict(got.statuses, "change_id", "status") == {
         1: 200, 2: 200, 3: 200, 4: 422, 5: 404, 6: 404, 7: 200, 8: 422
     }
     assert as_dict(got.snapshot, "id", "daily_token_quota") == {
-        "student_a": 30, "student_b": 50_000, "deleted_s": 50_000, "teacher1": 0, "admin1": 50_000
+        "mira": 30, "tomas": 50_000, "olga": 50_000, "lena": 0, "root_a": 50_000
     }
 
 
 def test_soft_delete_keeps_the_row(spark, room):
-    rows = [(1, "student_a"), (2, "student_a"), (3, "deleted_s"), (4, "ghost")]
+    rows = [(1, "mira"), (2, "mira"), (3, "olga"), (4, "ghost")]
     df = spark.createDataFrame(rows, "change_id long, user_id string")
     got = changes.soft_delete(room.users, df)
     assert as_dict(got.statuses, "change_id", "status") == {1: 204, 2: 404, 3: 404, 4: 404}
     assert as_dict(got.snapshot, "id", "is_deleted") == {
-        "admin1": False, "teacher1": False, "student_a": True, "student_b": False, "deleted_s": True
+        "root_a": False, "lena": False, "mira": True, "tomas": False, "olga": True
     }
 
 
@@ -450,19 +458,19 @@ def test_toggles(spark, staff):
 
 def test_create_sessions_and_rules(spark, room):
     new = spark.createDataFrame(
-        [("n1", "student_b", None, at(1)), ("n2", "student_b", "t" * 256, at(1)), ("n3", "student_b", "t" * 255, at(1))],
+        [("n1", "tomas", None, at(1)), ("n2", "tomas", "t" * 256, at(1)), ("n3", "tomas", "t" * 255, at(1))],
         "id string, user_id string, title string, created_at timestamp",
     )
     got = changes.create_sessions(room.sessions, new)
     assert as_dict(got.statuses, "id", "status") == {"n1": 201, "n2": 422, "n3": 201}
     assert as_set(got.snapshot, "id", "is_deleted") == {("s1", False), ("n1", False), ("n3", False)}
     wanted = spark.createDataFrame(
-        [("q1", "teacher1", None, {"k": "v"}, None), ("q2", "teacher1", "student_b", {}, False)],
+        [("q1", "lena", None, {"k": "v"}, None), ("q2", "lena", "tomas", {}, False)],
         "id string, teacher_id string, student_id string, rules_json map<string,string>, is_active boolean",
     )
     got = changes.create_rules(room.teacher_rules, wanted)
     assert as_set(got.snapshot.where("id like 'q%'"), "id", "student_id", "rules_json", "is_active") == {
-        ("q1", None, '{"k":"v"}', True), ("q2", "student_b", "{}", False)
+        ("q1", None, '{"k":"v"}', True), ("q2", "tomas", "{}", False)
     }
 
 
@@ -477,21 +485,21 @@ def test_bind_needs_an_admitted_request(spark, room):
 def test_purge_takes_everything_along(spark, room):
     more = room._replace(
         sessions=room.sessions.unionByName(
-            table(spark, "sessions", [("s2", "student_b", "r1", None, False, at(1)),
-                                      ("s3", "student_b", "r2", None, False, at(1))])
+            table(spark, "sessions", [("s2", "tomas", "r1", None, False, at(1)),
+                                      ("s3", "tomas", "r2", None, False, at(1))])
         ),
         teacher_rules=room.teacher_rules.unionByName(
-            table(spark, "teacher_rules", [("r2", "admin1", None, "x", True)])
+            table(spark, "teacher_rules", [("r2", "root_a", None, "x", True)])
         ),
     )
-    gone = spark.createDataFrame([("student_a",), ("student_a",)], "user_id string")
+    gone = spark.createDataFrame([("mira",), ("mira",)], "user_id string")
     left = changes.purge_users(more, gone)
     assert left.users.count() == 4
     assert as_set(left.teacher_rules, "id") == {("r2",)}
     assert left.usage_stats.count() == 0 and left.messages.count() == 0
     assert as_dict(left.sessions, "id", "applied_rule_id") == {"s2": None, "s3": "r2"}
     by_teacher = changes.purge_users(
-        more, spark.createDataFrame([("teacher1",)], "user_id string")
+        more, spark.createDataFrame([("lena",)], "user_id string")
     )
     assert as_set(by_teacher.teacher_rules, "id") == {("r2",)}
     assert by_teacher.messages.count() == 2
@@ -519,7 +527,7 @@ def test_duplicates_and_orphans(spark, room):
     lost = table(
         spark,
         "sessions",
-        [("s8", "ghost", None, None, False, at(0)), ("s9", "student_a", "r7", None, False, at(0))],
+        [("s8", "ghost", None, None, False, at(0)), ("s9", "mira", "r7", None, False, at(0))],
     )
     bad = room._replace(sessions=room.sessions.unionByName(lost))
     assert as_set(checks.orphans(bad.sessions, "user_id", bad.users), "id") == {("s8",)}
@@ -531,7 +539,7 @@ def test_duplicates_and_orphans(spark, room):
 def test_stored_usage_drift(room):
     drift = checks.stored_usage_drift(room).collect()
     assert [(r.user_id, r.stored_tokens, r.expected_tokens) for r in drift] == [
-        ("student_a", 1234, 15)
+        ("mira", 1234, 15)
     ]
     exact = room._replace(usage_stats=usage.rollup(room.messages, room.sessions))
     assert checks.stored_usage_drift(exact).count() == 0

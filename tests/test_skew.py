@@ -1,4 +1,4 @@
-"""Hot keys: cut into slices, same rows as a loop over everything."""
+"""Hot keys: cut into grains, same rows as a loop over everything."""
 
 from __future__ import annotations
 
@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 from chalktally.operators import changes, gate, sessions, skew, usage
 from rows import as_dict, at, message, table, user
 
-SMALL = {"share": 0.005, "min_rows": 10}
-NEVER = {"share": 1.0, "min_rows": 10**9}
+
+@pytest.fixture(params=["second", "hour", "month"])
+def grains(request, monkeypatch):
+    """Grains of several sizes, of which the largest holds all rows of a key."""
+    size = {"second": (4, 1), "hour": (64, 2), "month": (10**6, 9)}[request.param]
+    monkeypatch.setattr(skew, "IDS", size[0])
+    monkeypatch.setattr(skew, "LETTERS", size[1])
+    whole = F.date_trunc
+    monkeypatch.setattr(skew.F, "date_trunc", lambda _, c: whole(request.param, c))
 
 
 @pytest.fixture(scope="module")
@@ -68,24 +75,15 @@ def loop(asked, admits):
     return out
 
 
-def test_only_the_hot_key_is_cut(requests):
+def test_a_hot_key_is_many_tasks(requests):
     rows = requests.withColumn("date", F.to_date("created_at"))
-    keys, order = ["user_id", "date"], ["created_at", "request_id"]
-    # Only a key above the larger of both limits counts as hot.
-    bounds = skew.cuts(rows, keys, order, share=0.01, min_rows=100)
-    assert {r.user_id for r in bounds.collect()} == {"hot"}
-    assert skew.cuts(rows, keys, order) is None
-    assert skew.cuts(rows, keys, order, share=0.9, min_rows=1) is None
-    bounds = skew.cuts(rows, keys, order, share=0.01, min_rows=1)
-    sizes = skew.slice_rows(rows, bounds, keys, order).groupBy(*keys, "_slice").count()
-    assert sizes.where("user_id = 'hot'").count() > 10
-    assert sizes.agg(F.max("count")).collect()[0][0] < 150
-    assert sizes.agg(F.sum("count")).collect()[0][0] == requests.count()
-
-
-@pytest.mark.parametrize("limits", [SMALL, NEVER])
-def test_quota_replay_is_the_loop(requests, people, asked, limits):
-    got = as_dict(gate.quota_replay(requests, people, **limits), "request_id", "refused")
+    cut = rows.withColumn("g", skew.grain(rows, "created_at")).groupBy("user_id", "date", "g").count()
+    assert cut.where("user_id = 'hot'").count() > 100
+
+
+@pytest.mark.usefixtures("grains")
+def test_quota_replay_is_the_loop(requests, people, asked):
+    got = as_dict(gate.quota_replay(requests, people), "request_id", "refused")
     want = loop(asked, lambda owner, session: 200)
     assert got == {i: status == 429 for i, status in want.items()}
     assert 100 < sum(got.values()) < len(got)
@@ -103,9 +101,9 @@ def _admits(owner, session):
     return 404 if session == "s-other" or owner == "u5" else 200
 
 
-@pytest.mark.parametrize("limits", [SMALL, NEVER])
-def test_replay_decisions_are_the_loop(spark, requests, people, asked, limits):
-    got = gate.replay_decisions(requests, people, _sessions(spark), **limits)
+@pytest.mark.usefixtures("grains")
+def test_replay_decisions_are_the_loop(spark, requests, people, asked):
+    got = gate.replay_decisions(requests, people, _sessions(spark))
     assert as_dict(got, "request_id", "status") == loop(asked, _admits)
 
 
@@ -116,22 +114,22 @@ def test_replay_with_earlier_usage(spark, requests, people, asked):
             F.col("created_at") > cut
         )
         owned = _sessions(spark)
-        one = gate.replay_decisions(first, people, owned, **SMALL)
+        one = gate.replay_decisions(first, people, owned)
         before = usage.daily(one.where("status = 200"))
-        two = gate.replay_decisions(rest, people, owned, before, **SMALL)
+        two = gate.replay_decisions(rest, people, owned, before)
         assert as_dict(one.unionByName(two), "request_id", "status") == loop(asked, _admits)
 
 
 def test_admitted_usage_overshoots_by_one_request_at_most(requests, people):
-    judged = gate.quota_replay(requests, people, **SMALL).where(~F.col("refused"))
+    judged = gate.quota_replay(requests, people).where(~F.col("refused"))
     daily = usage.daily(judged).join(people, F.col("id") == F.col("user_id"))
     for row in daily.collect():
         assert row.tokens_used < row.daily_token_quota + 30
 
 
-@pytest.mark.parametrize("limits", [SMALL, NEVER])
+@pytest.mark.usefixtures("grains")
 @pytest.mark.parametrize("subset", [False, True])
-def test_pages_hold_every_message_once_in_order(spark, limits, subset):
+def test_pages_hold_every_message_once_in_order(spark, subset):
     rng = random.Random(3)
     rows = [
         message(f"{i:04}", "hot" if i % 2 else f"c{i % 7}", rng.choice(["user", "llm"]), f"t{i}",
@@ -145,12 +143,12 @@ def test_pages_hold_every_message_once_in_order(spark, limits, subset):
         table(spark, "messages", rows).repartition(4),
         page_size=7,
         subset=subset,
-        **limits,
     ).collect()
     for session in ("hot", "empty", *(f"c{i}" for i in range(5))):
         pages = sorted((r.page, r.messages) for r in nested if r.id == session)
         assert [n for n, _ in pages] == list(range(len(pages)))
-        assert all(len(m) <= 7 for _, m in pages)
+        assert all(len(m) == 7 for _, m in pages[:-1])
+        assert len({n for n, _ in pages}) == len(pages)
         want = sorted(
             (r for r in rows if r[1] == session), key=lambda r: (r[7], r[2] != "user", r[0])
         )
@@ -158,8 +156,8 @@ def test_pages_hold_every_message_once_in_order(spark, limits, subset):
     assert {r.id for r in nested} == {"hot", "empty", *(f"c{i}" for i in range(5))}
 
 
-@pytest.mark.parametrize("limits", [SMALL, NEVER])
-def test_toggles_of_a_hot_rule(spark, limits):
+@pytest.mark.usefixtures("grains")
+def test_toggles_of_a_hot_rule(spark):
     rules = table(spark, "teacher_rules", [("hot", "t", None, "x", True), ("b", "t", None, "x", False)])
     rows = [(i, "hot" if i % 3 else ("b" if i % 2 else "none")) for i in range(400)]
     df = spark.createDataFrame(rows, "change_id long, rule_id string").repartition(4)
@@ -169,34 +167,24 @@ def test_toggles_of_a_hot_rule(spark, limits):
         if rule in state:
             state[rule] = not state[rule]
         want[i] = state.get(rule)
-    got = changes.toggle_rules(rules, df, **limits)
+    got = changes.toggle_rules(rules, df)
     assert as_dict(got.statuses, "change_id", "is_active") == want
     assert as_dict(got.snapshot, "id", "is_active") == state
 
 
-def test_slice_number_counts_bounds(spark):
-    """Also with more bounds than fit one block."""
-    cut = spark.createDataFrame(
-        [("k", [(at(0), i * 10) for i in range(1, 101)])],
-        "k string, _cuts array<struct<t:timestamp,i:int>>",
-    )
-    bounds = skew.ranges(cut, ["k"])
-    assert bounds.count() == 101 and bounds.where("_slice = _block").count() == 3
-    rows = spark.createDataFrame(
-        [("k", at(0), i) for i in range(0, 1010, 3)] + [("k", at(1), 0), ("o", at(0), 500)],
-        "k string, t timestamp, i int",
-    )
-    got = skew.slice_rows(rows, bounds, ["k"], ["t", "i"]).collect()
-    assert len(got) == rows.count()
-    for r in got:
-        want = 0 if r.k == "o" else 100 if r.t > at(0) else min(r.i // 10, 100)
-        assert r._slice == want
-    spread = skew.spread(spark.createDataFrame([("k",), ("o",)], "k string"), bounds, ["k"])
-    assert spread.where("k = 'k'").count() == 101 and spread.where("k = 'o'").count() == 1
+@pytest.mark.usefixtures("grains")
+def test_rows_without_key_or_time(spark):
+    rows = [(i, None if i % 2 else "u", None if i % 5 == 0 else at(i % 7), 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, k string, t timestamp, n long")
+    got = skew.earlier(df, ["k"], ["t", "id"], F.col("n"), "before").collect()
+    assert len(got) == 200
+    for key in (None, "u"):
+        own = sorted((r for r in got if r.k == key), key=lambda r: (r.t is not None, r.t or at(0), r.id))
+        assert [r.before for r in own] == [None, *range(1, 100)]
 
 
 def test_one_join_row_for_each_request(spark, requests, people):
-    judged = gate.quota_replay(requests, people, **SMALL)
+    judged = gate.quota_replay(requests, people)
     assert judged.count() == requests.count()
     assert judged.columns == [*requests.columns, "refused"] or set(judged.columns) == {
         *requests.columns, "refused"

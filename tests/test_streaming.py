@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chalktally.operators import gate, usage
 from chalktally.streaming import gate as gate_stream
@@ -19,8 +21,8 @@ def _chunk(request, seq, delta, minute, counts=None):
 
 
 CHUNKS = [
-    _chunk("happy", 0, "Bonjour", 0),
-    _chunk("happy", 1, " le", 0, (10, 2)),
+    _chunk("happy", 0, "A number", 0),
+    _chunk("happy", 1, " with", 0, (10, 2)),
     _chunk("twice", 2, "c", 1, (7, 0)),
     _chunk("twice", 0, "a", 1, (3, 3)),
     _chunk("twice", 1, "", 1),
@@ -32,7 +34,7 @@ CHUNKS = [
     *(_chunk("ten parts", i, "abcdefghij"[i], 4) for i in range(9, -1, -1)),
 ]
 WANT = {
-    ("happy", "Bonjour le", 10, 2, 12),
+    ("happy", "A number with", 10, 2, 12),
     # The last chunk with usage gives both counts, a zero counts as ten.
     ("twice", "ac", 7, 10, 17),
     ("silent", "", 10, 10, 20),
@@ -99,34 +101,43 @@ REQUEST_SCHEMA = (
 )
 
 
-def test_daily_usage_state_and_closed_days(spark, tmp_path):
+def test_ledger_and_closed_days(spark, tmp_path):
+    """Over months, in any order, some files a trigger: nothing is lost."""
     rng = random.Random(2)
+    start = dt.datetime(2023, 9, 1)
     rows = [
-        (i, f"u{rng.randrange(3)}", "s", at(rng.randrange(600), 1 + i // 40), rng.randrange(1, 9))
-        for i in range(120)
+        (i, f"u{rng.randrange(3)}", "s", start + dt.timedelta(hours=rng.randrange(6000)), rng.randrange(1, 9))
+        for i in range(300)
     ]
     df = spark.createDataFrame(rows, REQUEST_SCHEMA)
     source = str(tmp_path / "in")
-    stream = spark.readStream.schema(REQUEST_SCHEMA).parquet
-
-    state, days, closed = (str(tmp_path / n) for n in ("state", "days", "closed"))
-    for part in (df.where("request_id < 70"), df.where("request_id >= 70")):
-        part.write.mode("append").parquet(source)
-        usage_stream.run(
-            usage_stream.daily_usage(stream(source), "30 days"), state, available_now=True
-        ).awaitTermination()
-        usage_stream.write_closed_days(
-            usage_stream.daily_usage(stream(source)), days, closed, available_now=True
-        ).awaitTermination()
+    stream = spark.readStream.schema(REQUEST_SCHEMA).option("maxFilesPerTrigger", 1).parquet
+    ledger, check, days, closed = (str(tmp_path / n) for n in ("ledger", "check", "days", "closed"))
     columns = ("user_id", "date", "tokens_used", "request_count")
+    for part in (df.where("request_id < 170"), df.where("request_id >= 170")):
+        part.repartition(3).write.mode("append").parquet(source)
+        usage_stream.write_ledger(
+            stream(source), ledger, check, available_now=True
+        ).awaitTermination()
     want = as_set(usage.daily(df), *columns)
-    assert as_set(usage_stream.current(spark, state), *columns) == want
-    # The last day is still open.
-    got = as_set(spark.read.parquet(days), *columns)
-    assert got == {r for r in want if r[1].day < 3}
-
-
-def test_gate_batches_and_repeats(spark, tmp_path):
+    assert as_set(usage_stream.current(spark, ledger), *columns) == want
+    since = dt.date(2024, 2, 1)
+    late = as_set(usage_stream.current(spark, ledger, since), *columns)
+    assert late == {r for r in want if r[1] >= since}
+    # In order of time, a day is written when the next has begun.
+    ordered = str(tmp_path / "ordered")
+    for month in (9, 10, 11, 12, 1, 2, 3, 4, 5):
+        df.where(F.month("created_at") == month).coalesce(1).write.mode("append").parquet(ordered)
+    usage_stream.write_closed_days(
+        usage_stream.daily_usage(stream(ordered)), days, closed, available_now=True
+    ).awaitTermination()
+    last = max(r[1] for r in want)
+    assert as_set(spark.read.parquet(days), *columns) == {r for r in want if r[1] < last}
+
+
+@pytest.mark.parametrize("compact", [1, 2, 64])
+def test_gate_batches_and_repeats(spark, tmp_path, monkeypatch, compact):
+    monkeypatch.setattr(gate_stream, "COMPACT", compact)
     rng = random.Random(4)
     rows = sorted(
         ((i, f"u{i % 4}", f"s{i % 4}", at(rng.randrange(2000), 2), rng.randrange(1, 30))
@@ -151,3 +162,16 @@ def test_gate_batches_and_repeats(spark, tmp_path):
     assert got.count() == 300
     assert as_set(got, *columns) == as_set(want, *columns)
     assert {r.status for r in want.collect()} == {200, 429}
+
+
+def test_only_a_missing_store_is_an_empty_one(spark, tmp_path):
+    kind = T.StringType()
+    assert gate_stream.usage_before(spark, kind, 3, str(tmp_path / "none")).isEmpty()
+    with pytest.raises(Exception, match="nosuchscheme"):
+        gate_stream.usage_before(spark, kind, 3, "nosuchscheme://x")
+
+
+def test_replies_of_admitted_requests_only(spark, chunks):
+    wanted = spark.createDataFrame([("happy",), ("cut off",), ("unknown",)], "request_id string")
+    got = as_set(replies.assemble_for(wanted, chunks), *FIELDS)
+    assert got == {r for r in WANT if r[0] in ("happy", "cut off")}
