@@ -30,10 +30,10 @@ WINDOW, STEP = 48, 32
 HIDDEN, VECTOR = 8, 8
 GRAMS, BUCKETS = (3, 4), 1 << 16
 KNOWN_WORDS = 20_000
-#: Labelled documents that are learned from, picked by a hash of their id.
-LEARN_ROWS = 6000
+#: Clean and toxic documents that are learned from, picked by a hash of their id.
+LEARN_ROWS = (3000, 800)
 #: Words of them looked at on the driver, in whole documents.
-LEARN_WORDS = 2_000_000
+LEARN_WORDS = 2_200_000
 ROUNDS, EPOCHS, BATCH, RATE = 4, 4, 128, 0.01
 _SIGNS = ".,;:!?*#%&$\"'()[]{}|<>=+-_/\\~^`"
 
@@ -232,9 +232,10 @@ def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     hashes, owner = affixed_ngrams(plain, GRAMS)
     bounds = np.searchsorted(owner, np.arange(len(plain) + 1))
     grams = _odds(
-        *documents_with((hashes % np.uint64(BUCKETS)).astype(np.int64), bounds, BUCKETS),
+        *documents_with((hashes % np.uint64(BUCKETS)).astype(np.int32), bounds, BUCKETS),
         n_toxic, n_clean,
     )
+    del hashes, owner
     coded = plain.dictionary_encode()
     n_words = len(coded.dictionary)
     held = documents_with(
@@ -310,18 +311,21 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
-    """(doc_id, text, toxic) of up to ``LEARN_ROWS`` labelled documents outside
-    the held-out fold, the same ones wherever the rows lie."""
+    """(doc_id, text, toxic) of up to ``LEARN_ROWS`` labelled documents of each
+    kind outside the held-out fold, the same ones wherever the rows lie."""
     marked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .where(~shared.held_out("doc_id", folds))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(LEARN_ROWS)
+        .agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    )
+    clean, toxic = (
+        marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        for kind, n in enumerate(LEARN_ROWS)
     )
     # A bounded number of rows, whatever the tables hold.
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(marked), "doc_id")
+    picked = F.broadcast(clean.union(toxic))
+    return docs.select(F.col("doc_id").cast("long"), "text").join(picked, "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
@@ -335,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     texts, marks, size = [], [], 0
     for row in sample.toLocalIterator():
         texts.append(row.text)
-        marks.append(int(row.toxic > 0))
+        marks.append(row.toxic)
         size += len(row.text) // 6
         if size > LEARN_WORDS:
             break

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 8_000_000
+NGRAM_VALUES = 20_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -60,7 +61,16 @@ def affixed_ngrams(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all byte n-grams of each value with a mark before its first and
     after its last byte, so that those at the ends are its affixes, and the
-    number of the value each belongs to, ascending."""
+    number of the value each belongs to, ascending. Some values at a time, as
+    what is needed in between is many times their size."""
+    found = [
+        _affixed_ngrams(values.slice(i, NGRAM_VALUES), sizes, seed, i)
+        for i in range(0, max(len(values), 1), NGRAM_VALUES)
+    ]
+    return np.concatenate([h for h, _ in found]), np.concatenate([o for _, o in found])
+
+
+def _affixed_ngrams(values, sizes, seed, number) -> tuple[np.ndarray, np.ndarray]:
     data, starts = raw_bytes(values)
     n = len(values)
     lengths = np.diff(starts)
@@ -68,7 +78,7 @@ def affixed_ngrams(
     begin = starts[:-1] + 2 * np.arange(n)
     inside = np.arange(len(data)) + 1 + 2 * np.repeat(np.arange(n), lengths)
     marked[inside] = data.astype(np.uint64) + np.uint64(2)
-    of = np.repeat(np.arange(n), lengths + 2)
+    of = np.repeat(np.arange(n, dtype=np.int32), lengths + 2)
     end = np.repeat(begin + lengths + 2, lengths + 2)
     place = np.arange(len(marked))
     hashes, owners = [], []
@@ -82,4 +92,4 @@ def affixed_ngrams(
         owners.append(of[fits])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(hashes)[order], owner[order]
+    return np.concatenate(hashes)[order], owner[order] + np.int32(number)
