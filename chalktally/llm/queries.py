@@ -143,4 +143,50 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": _OP6_SQL}
+# Smallest id reachable by links (a, b), and n_links per node.
+_REACHED = """
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+walk(a, b) AS (SELECT a, b FROM ways UNION SELECT w.a, l.b FROM walk w JOIN ways l ON w.b = l.a),
+reached AS (SELECT a AS id, min(b) AS least FROM walk GROUP BY a),
+linked AS (SELECT a AS id, count(*) AS n FROM ways WHERE a <> b GROUP BY a)"""
+
+_OP3_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 3), ' ') x
+  FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(len(w) - 3, 0))) i
+        FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+links AS (
+  SELECT p.a, p.b FROM (
+    SELECT s.doc_id a, t.doc_id b, count(*) c FROM s JOIN s t ON s.x = t.x AND s.doc_id < t.doc_id
+    GROUP BY s.doc_id, t.doc_id) p JOIN n u ON u.doc_id = p.a JOIN n v ON v.doc_id = p.b
+  WHERE 100 * p.c >= 85 * (u.n + v.n - p.c)),{_REACHED}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(r.least, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(r.least, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reached r ON r.id = d.doc_id
+"""
+
+_OP8_SQL = f"""
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT x.vec_id a, y.vec_id b FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id
+    AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.98),{_REACHED}
+SELECT m.vec_id, coalesce(l.n, 0) AS n_links, least(m.vec_id, coalesce(r.least, m.vec_id)) AS component_id,
+  m.vec_id = least(m.vec_id, coalesce(r.least, m.vec_id)) AS kept
+FROM embeddings m LEFT JOIN linked l ON l.id = m.vec_id LEFT JOIN reached r ON r.id = m.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": _OP3_SQL,
+    "op6_benchmark_decontamination": _OP6_SQL,
+    "op8_embedding_near_dedup": _OP8_SQL,
+}
