@@ -10,13 +10,17 @@ from chalktally.sources import volume
 
 SF = "/root/testdata/sf0.001"
 QUERIES = contract.queries()
+# The others run jobs of their own and read what those wrote.
+PLANNED = sorted(
+    n for n in contract._QUERIES if not n.startswith("stream") and n != "stored_tables"
+)
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in contract._QUERIES if not n.startswith("st")))
+@pytest.mark.parametrize("name", PLANNED)
 def test_no_pairs_of_everything(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text
