@@ -11,7 +11,7 @@ terms are never stored, and none is left out that could start a window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalktally.llm import shared
@@ -22,13 +22,16 @@ BROADCAST_ROWS = 500_000
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words(text: str) -> Column:
-    """Lower-cased words, runs of ASCII letters and digits and of characters
-    beyond ASCII; none for a null text."""
-    parts = F.split(shared.lower_ascii(F.coalesce(text, F.lit(""))), _GAP)
-    first = (F.element_at(parts, 1) == "").cast("int")
-    last = (F.element_at(parts, -1) == "").cast("int")
-    return F.slice(parts, first + 1, F.greatest(F.size(parts) - first - last, F.lit(0)))
+def with_words(df: DataFrame) -> DataFrame:
+    """Adds ``words``: lower-cased runs of ASCII letters and digits and of
+    characters beyond ASCII in ``text``; none for a null text. The text is split
+    in a step of its own, as what uses the parts more than once would split it
+    as often."""
+    parts = F.split(shared.lower_ascii(F.coalesce("text", F.lit(""))), _GAP)
+    first = (F.element_at("_parts", 1) == "").cast("int")
+    last = (F.element_at("_parts", -1) == "").cast("int")
+    inner = F.slice("_parts", first + 1, F.greatest(F.size("_parts") - first - last, F.lit(0)))
+    return df.withColumn("_parts", parts).withColumn("words", inner).drop("_parts")
 
 
 def _checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -38,11 +41,11 @@ def _checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
 def item_windows(items: DataFrame, size: int) -> DataFrame:
     """(item_id, terms) per window of ``size`` words; an item of fewer, but not
     none, is one window. ``phrase`` is the terms with blanks between."""
-    split = items.select("item_id", words("text").alias("w")).where(F.size("w") > 0)
-    last = F.greatest(F.size("w") - size, F.lit(0))
+    split = with_words(items.select("item_id", "text")).where(F.size("words") > 0)
+    last = F.greatest(F.size("words") - size, F.lit(0))
     return (
         split.withColumn("at", F.explode(F.sequence(F.lit(0), last)))
-        .select("item_id", F.slice("w", F.col("at") + 1, F.lit(size)).alias("terms"))
+        .select("item_id", F.slice("words", F.col("at") + 1, F.lit(size)).alias("terms"))
         .withColumn("phrase", F.array_join("terms", " "))
         .distinct()
     )
@@ -57,7 +60,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _tokens(keyed: DataFrame) -> DataFrame:
-    return keyed.select("row", F.posexplode(words("text")).alias("pos", "term"))
+    # The outer form: the other one is filtered for non-empty arrays before, which
+    # splits every text again for each time the filter mentions its parts.
+    split = with_words(keyed).select("row", "words")
+    return split.select("row", F.posexplode_outer("words").alias("pos", "term")).where(
+        "term is not null"
+    )
 
 
 def probes(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -130,15 +138,12 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     there = F.filter(
         F.coalesce("_maybe", F.array().cast("array<struct<start:int,phrase:string>>")),
         lambda m: F.array_join(
-            F.slice("_words", m["start"] + 1, F.size(F.split(m["phrase"], " "))), " "
+            F.slice("words", m["start"] + 1, F.size(F.split(m["phrase"], " "))), " "
         )
         == m["phrase"],
     )
-    return (
-        _keyed(docs)
-        .join(by_row, "row", "left")
-        .select("doc_id", "row", words("text").alias("_words"), "_maybe")
-        .select("doc_id", "row", F.size("_words").alias("n_words"), there.alias("hits"))
+    return with_words(_keyed(docs).join(by_row, "row", "left")).select(
+        "doc_id", "row", F.size("words").alias("n_words"), there.alias("hits")
     )
 
 
@@ -208,13 +213,11 @@ def proximity(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 5)
         starts = F.sequence(F.greatest(m["pos"] - (span - 1), F.lit(0)), m["pos"])
         return F.exists(
             starts,
-            lambda s: F.size(F.array_except(terms, F.slice("_words", s + 1, F.lit(span)))) == 0,
+            lambda s: F.size(F.array_except(terms, F.slice("words", s + 1, F.lit(span)))) == 0,
         )
 
     return (
-        _keyed(docs)
-        .join(around, "row")
-        .select("doc_id", words("text").alias("_words"), "_maybe")
+        with_words(_keyed(docs).join(around, "row"))
         .select("doc_id", F.explode(F.filter("_maybe", close)).alias("m"))
         .select("doc_id", F.col("m.phrase").alias("phrase"))
         .join(windows.select("phrase", "item_id"), "phrase")
