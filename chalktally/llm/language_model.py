@@ -79,7 +79,8 @@ def _lowered(texts: pa.Array) -> pa.Array:
 def vocabulary(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     """((word, c) of all words of (text), what is sent to the executors)."""
     text = shared.lower_ascii(F.coalesce("text", F.lit("")))
-    each = docs.select(F.explode(F.split(text, _SPACE)).alias("word")).where("word <> ''")
+    # The outer form: the other one splits every text again to see if it has words.
+    each = docs.select(F.explode_outer(F.split(text, _SPACE)).alias("word")).where("word <> ''")
     ends = docs.agg(F.count("*").alias("c")).where("c > 0").select(F.lit("").alias("word"), "c")
     counted = each.groupBy("word").agg(F.count("*").alias("c")).union(ends)
     counts = shared.written(counted, "counts")

@@ -176,8 +176,9 @@ def _found(docs: DataFrame) -> DataFrame:
     return (
         docs.select(F.xxhash64("doc_id", "text").alias("row"), text.alias("_t"))
         .withColumn("_e", entities(F.col("_t")))
-        .where(F.size("_e") > 0)
-        .select("row", "_t", F.posexplode("_e").alias("at", "entity"))
+        # Outer, as a filter for non-empty arrays would search every text again.
+        .select("row", "_t", F.posexplode_outer("_e").alias("at", "entity"))
+        .where("entity is not null")
         .withColumn("kind", kind_of(F.col("entity")))
         .withColumn("gender", F.when(F.col("kind") == "name", gender).otherwise(""))
         .select("row", "at", "entity", "kind", "gender", normal(F.col("entity"), F.col("kind")).alias("norm"))
