@@ -6,10 +6,12 @@ and variety of words, shares of signs. A document of n tokens counts for domain
 k with n times its probability, times its rate. Rates are found by least squares
 with projected gradients,
 
-    1/2 sum_k ((total_k - target_k) / T)^2 + reg/2 sum_d n_d/T (rate_d - 1)^2
+    1/2 sum_k (total_k - target_k)^2 / (T now_k) + reg/2 sum_d n_d/T (rate_d - 1)^2
 
-over rates not below ``least``, T being the sum of targets. All that an
-iteration gathers is one sum per domain; the rates stay columns of the table.
+over rates not below ``least``, T being the sum of targets and now_k a domain's
+tokens at rate 1, so that a deviation counts by the size of its domain and few
+steps are needed. All that a step gathers is one sum per domain; the rates stay
+columns of the table.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ SIGNS = ("!", "&", "%", "$", "#", "*", "|", "=", ".", ",", "\n")
 FEATURES = ("size", "tokens", "word", "variety", *(f"sign{i}" for i in range(len(SIGNS))))
 #: Labelled documents that the classifier is fitted to, picked by a hash.
 LEARN_ROWS = 20_000
-REG, ITERATIONS, WRITE_EVERY, CLOSE = 0.01, 48, 6, 1e-4
+REG, STEPS, WRITE_EVERY, CLOSE = 0.01, 48, 6, 1e-5
 
 
 def shaped(docs: DataFrame) -> DataFrame:
@@ -141,21 +143,24 @@ def rates(
         total = max([tokens, *(now[share > 0] / share[share > 0])])
     aim = share * (tokens if total is None else total)
     size = max(float(aim.sum()), 1.0)
+    scale = np.maximum(now, 1e-6 * size)
     gram = np.zeros((k, k))
-    gram[np.triu_indices(k)] = sums[k + 1 :] / size
-    gram = gram + np.triu(gram, 1).T
+    gram[np.triu_indices(k)] = sums[k + 1 :]
+    gram = (gram + np.triu(gram, 1).T) / np.sqrt(scale[:, None] * scale)
     pace = 1 / (np.linalg.eigvalsh(gram).max() + REG)
-    rate = F.col("rate")
-    for i in range(ITERATIONS):
-        error = (_sums(table, *(n * x * rate for x in p)) - aim) / size
+    rate, before = F.col("rate"), np.inf
+    for i in range(STEPS):
+        error = (_sums(table, *(n * x * rate for x in p)) - aim) / scale
+        if np.abs(error - before).max() < CLOSE:
+            break
+        before = error
         step = reduce(add, (x * float(-pace * e) for x, e in zip(p, error, strict=True)))
         moved = F.greatest(rate * float(1 - pace * REG) + float(pace * REG) + step, F.lit(float(least)))
         rate = F.when(n > 0, moved).otherwise(1.0)
-        if (i + 1) % WRITE_EVERY == 0 or i + 1 == ITERATIONS:
+        if (i + 1) % WRITE_EVERY == 0:
             table = shared.written(table.withColumn("rate", rate), "rates")
             rate = F.col("rate")
-            if np.abs(error).max() < CLOSE:
-                break
+    table = table.withColumn("rate", rate)
     part = F.pmod(F.xxhash64("row", F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("int")
     return table.withColumn("copies", copies.cast("int"))

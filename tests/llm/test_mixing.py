@@ -11,9 +11,9 @@ POOR = "spam!!! $$$ spam!!! $$$ &&& "
 
 def solved(n, p, aim, least):
     """The same problem by many plain steps in memory."""
-    size, rate = aim.sum(), np.ones(len(n))
+    now, rate = n @ p, np.ones(len(n))
     for _ in range(20_000):
-        error = ((n * rate) @ p - aim) / size
+        error = ((n * rate) @ p - aim) / now
         rate = np.maximum(least, rate - 0.3 * (p @ error + mixing.REG * (rate - 1)))
     return rate
 
@@ -62,7 +62,8 @@ def test_copies_and_odd_rows(spark):
     counts = {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()}
     assert set(counts) == {r[0] for r in rows}
     poor = sum(n for i, n in counts.items() if i is not None and i < 400 and i % 5 == 0)
-    assert poor > 2 * 80 and all(counts[i] == 1 for i in range(1, 400) if i % 5 and i != 5)
+    good = [counts[i] for i in range(400) if i % 5]
+    assert poor > 20 * 80 and sum(good) < 1.1 * len(good)
 
 
 def test_without_labels_or_rows(spark):
