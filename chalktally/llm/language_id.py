@@ -208,17 +208,20 @@ def word_languages(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarra
 
 def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and its mean probability over the words with letters."""
+    n = len(texts)
+    if not model.languages:
+        return [UNKNOWN] * n, np.zeros(n)
     chances, starts, letters = word_languages(model, texts)
     before = np.concatenate([np.zeros((1, chances.shape[1])), np.cumsum(chances * letters[:, None], 0)])
     sums = before[starts[1:]] - before[starts[:-1]]
     counts = np.concatenate([[0], np.cumsum(letters)])
     counts = counts[starts[1:]] - counts[starts[:-1]]
-    best = sums.argmax(1) if len(model.languages) else np.zeros(len(sums), int)
+    best = sums.argmax(1)
     any_letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
-    known = any_letter.to_numpy(zero_copy_only=False).astype(bool) & (len(model.languages) > 0)
+    known = any_letter.to_numpy(zero_copy_only=False).astype(bool)
     named = [model.languages[b] if x else UNKNOWN for b, x in zip(best, known, strict=True)]
-    top = sums[np.arange(len(sums)), best] if len(model.languages) else np.zeros(len(sums))
-    return named, np.where(known, np.clip(top / np.maximum(counts, 1), 0, 1), 0.0)
+    score = np.clip(sums[np.arange(n), best] / np.maximum(counts, 1), 0, 1)
+    return named, np.where(known, score, 0.0)
 
 
 def learning_rows(docs: DataFrame, folds: int) -> DataFrame:
