@@ -34,7 +34,8 @@ KNOWN_WORDS = 20_000
 LEARN_ROWS = (3000, 800)
 #: Words of them looked at on the driver, in whole documents.
 LEARN_WORDS = 2_200_000
-ROUNDS, EPOCHS, BATCH, RATE = 4, 4, 128, 0.01
+#: A round goes over its windows so often that it makes ``STEPS`` steps at least.
+ROUNDS, EPOCHS, STEPS, BATCH, RATE = 4, 4, 150, 128, 0.01
 _SIGNS = ".,;:!?*#%&$\"'()[]{}|<>=+-_/\\~^`"
 
 
@@ -63,7 +64,7 @@ class Model:
                 out[some, 1] = np.maximum.reduceat(odds, at)
             place = pc.index_in(plain, value_set=pa.array(self.known, pa.string()))
             place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False)
-            out[:n, 2] = np.where(place >= 0, self.of_known[place], 0)
+            out[:n, 2] = np.append(self.of_known, np.float32(0))[place]
             out[:n, 3] = place >= 0
             size = pc.binary_length(plain).to_numpy(zero_copy_only=False)
             out[:n, 4] = np.log1p(size)
@@ -261,6 +262,8 @@ def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         ]
     )
     w = model.weights = _fresh(rng)
+    if not n_toxic or not n_clean:
+        w["w"][:], w["c"][:] = 0, -10
     memory = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in w.items()}
     step = 0
     for _ in range(ROUNDS if n_toxic and n_clean else 0):
@@ -274,7 +277,8 @@ def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         chosen = np.concatenate([bad, hard, others])
         taken = np.concatenate([window_words(codes, first[chosen], end[chosen]), none])
         label = np.append(toxic[chosen], False).astype(np.float32)
-        for _ in range(EPOCHS):
+        epochs = max(EPOCHS, -(-STEPS * BATCH // len(taken)))
+        for _ in range(epochs):
             shuffled = rng.permutation(len(taken))
             for i in range(0, len(taken), BATCH):
                 batch = shuffled[i : i + BATCH]
@@ -368,9 +372,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     fold; a null label or id isn't learned from, and of several labels of one
     document the largest counts. A null text is empty; an empty text has the
     score of an empty window, which is learned as clean. Rows with the same
-    doc_id are scored apart. Without labels of both kinds all scores come from
-    random weights. Other columns are not looked at; an empty table gives an
-    empty result.
+    doc_id are scored apart. Without labels of both kinds nothing is toxic.
+    Other columns are not looked at; an empty table gives an empty result.
     """
     model = fit(docs, labels, folds)
     return scores(docs, model).select(

@@ -6,7 +6,7 @@ import pytest
 
 from chalktally.llm import queries, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_query(spark):
@@ -17,7 +17,7 @@ def test_query(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
     out = [(marks[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in marks]
-    assert len(out) > 50 and sum(a == b for a, b in out) >= 0.95 * len(out)
+    assert len(out) > 500 and sum(a == b for a, b in out) >= 0.95 * len(out)
 
 
 def test_gradients_equal_differences():
@@ -56,7 +56,9 @@ def test_windows_cover_all_words():
 def test_odd_rows(spark):
     bad = "you are a wretched fool today "
     good = "a quiet walk in the green park "
-    docs = [(i, (bad if i % 3 == 0 else good) * (1 + i % 4), i % 3 == 0) for i in range(300)]
+    docs = [
+        (i, good * (i % 7) + (bad if i % 3 == 0 else "") + good * (i % 5), i % 3 == 0) for i in range(300)
+    ]
     more = [(1000, None), (1001, ""), (1002, good * 4000), (1003, good * 3000 + bad), (1004, " \n"), (5, good), (None, bad)]
     rows = [(i, t, 1, "x") for i, t, _ in docs] + [(*m, 1, "x") for m in more]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
@@ -72,7 +74,8 @@ def test_odd_rows(spark):
     kept = toxicity.clean(df, labels)
     assert kept.columns == df.columns and kept.count() == len(rows) - sum(r.predicted for r in got)
     assert toxicity.toxicity(df.limit(0), labels).isEmpty()
-    assert len(toxicity.toxicity(df, labels.limit(0)).collect()) == len(rows)
+    unlabelled = toxicity.toxicity(df, labels.limit(0)).collect()
+    assert [r.predicted for r in unlabelled] == [0] * len(rows)
 
 
 def test_empty_text_is_the_same_alone_or_not():
