@@ -125,9 +125,12 @@ def _survivors(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFram
     return left, postings
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+def matches(
+    docs: DataFrame, items: DataFrame, size: int = 10, all_rows: bool = True
+) -> DataFrame:
     """Per row of ``docs``: doc_id, row, n_words and ``hits``, the occurrences
-    (start, n, phrase) of windows of ``items`` in its text, each exact."""
+    (start, phrase) of windows of ``items`` in its text, each exact. Without
+    ``all_rows`` those whose postings fit no window are left out."""
     windows = item_windows(items, size)
     found, _ = _survivors(docs, windows)
     by_row = (
@@ -142,7 +145,8 @@ def matches(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
         )
         == m["phrase"],
     )
-    return with_words(_keyed(docs).join(by_row, "row", "left")).select(
+    joined = _keyed(docs).join(by_row, "row", "left" if all_rows else "inner")
+    return with_words(joined).select(
         "doc_id", "row", F.size("words").alias("n_words"), there.alias("hits")
     )
 
@@ -228,12 +232,14 @@ def proximity(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 5)
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs`` whose text holds no window of ``items``."""
-    found = (
-        matches(docs.select("doc_id", "text"), items, size)
-        .where(F.size("hits") > 0)
-        .select(F.col("row").alias("_row"))
-        .distinct()
+    # Written before it is filtered, as the filter would split each text again.
+    judged = shared.written(
+        matches(docs.select("doc_id", "text"), items, size, all_rows=False).select(
+            F.col("row").alias("_row"), F.size("hits").alias("n")
+        ),
+        "judged",
     )
+    found = judged.where("n > 0").select("_row").distinct()
     return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(
         found, "_row", "left_anti"
     ).drop("_row")
