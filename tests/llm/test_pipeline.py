@@ -36,7 +36,7 @@ def test_toxic_documents_go(spark, stages):
     marks = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     kept = {i for i, _ in texts(stages[1])}
     wrong = [i for i, m in marks.items() if (i in kept) == bool(m)]
-    assert len(wrong) <= 4 and len(kept) < stages[0].count()
+    assert len(wrong) <= 0.03 * len(marks) and len(kept) < stages[0].count()
 
 
 def test_one_of_each_group_stays(stages):
