@@ -33,8 +33,8 @@ from chalktally.llm import shared
 from chalktally.llm.words import mixed, pieces, raw_bytes, words
 
 SHORT, BUCKETS, SIZE = 383, 384, 16
-#: Frequent words whose counts are sent to all executors.
-SENT = 200_000
+#: Frequent words, at most, whose counts are sent to all executors.
+SENT = 100_000
 PILOT_DOCS, PILOT_EPOCHS = 1500, 3
 BATCH, NOISE, RATE = 2048, 32, 0.1
 ADDED = 0.1
@@ -85,8 +85,19 @@ def vocabulary(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     counted = each.groupBy("word").agg(F.count("*").alias("c")).union(ends)
     counts = shared.written(counted, "counts")
     tokens, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # Counts in steps of about a hundredth, of which there are a few thousand at
+    # most: the lowest step from which on the words are few enough.
+    steps = counts.groupBy(F.floor(F.log("c") * 64).alias("step")).count().collect()
+    least, above = np.inf, 0
+    for step, n in sorted(steps, reverse=True):
+        above += n
+        if above > SENT:
+            break
+        least = step
+    often = counts.where((F.floor(F.log("c") * 64) >= float(least)) | (F.col("word") == "")).toPandas()
     # The end first, so that it always is a class of its own.
-    often = counts.orderBy(F.col("word") != "", F.desc("c"), "word").limit(SENT).toPandas()
+    often["inner"] = often["word"] != ""
+    often = often.sort_values(["inner", "c", "word"], ascending=[True, False, True])
     listed = often["word"].tolist() or [""]
     numbers = often["c"].to_numpy(np.int64) if len(often) else np.zeros(1, np.int64)
     if listed[0] != "":
