@@ -14,17 +14,18 @@ and states rational functions of their input, which costs no exponentials.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalktally.llm import shared
-from chalktally.llm.words import affixed_ngrams, pieces, words
+from chalktally.llm.words import affixed_ngrams, mixed, pieces, words
 
 WINDOW, STEP = 48, 32
 HIDDEN, VECTOR = 8, 8
@@ -32,8 +33,11 @@ GRAMS, BUCKETS = (3, 4), 1 << 16
 KNOWN_WORDS = 20_000
 #: Clean and toxic documents that are learned from, picked by a hash of their id.
 LEARN_ROWS = (3000, 800)
-#: Words of them looked at on the driver, in whole documents.
-LEARN_WORDS = 2_200_000
+#: Characters of clean and of toxic documents that come to the driver. Each kind
+#: has its own part, and of a document longer than its share of it come stretches
+#: of ``STRETCH`` characters from all over it, picked by a hash in the tasks.
+LEARN_SIZE = (8_400_000, 4_800_000)
+STRETCH = 1400
 #: A round goes over its windows so often that it makes ``STEPS`` steps at least.
 ROUNDS, EPOCHS, STEPS, BATCH, RATE = 4, 4, 150, 128, 0.01
 _SIGNS = ".,;:!?*#%&$\"'()[]{}|<>=+-_/\\~^`"
@@ -202,22 +206,33 @@ def _odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> n
     return (ratio * (toxic + clean) / (toxic + clean + 4)).astype(np.float32)
 
 
-def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
-    """Fit to whole texts and their labels (1 toxic, 0 clean)."""
+def learn(
+    texts: list[str],
+    labels: np.ndarray,
+    seed: int = 7,
+    document: np.ndarray | None = None,
+    whole: np.ndarray | None = None,
+) -> Model:
+    """Fit to documents and their labels (1 toxic, 0 clean). A document is a text,
+    or the texts that ``document`` gives its number. Of one that isn't ``whole`` the
+    toxic passage may be missing: while whole toxic ones are there, its worst
+    window is taken as toxic only if the last round's weights say so too."""
     labels = np.asarray(labels, np.float32)
+    of_text = np.arange(len(texts)) if document is None else np.asarray(document, np.int64)
+    whole = np.ones(len(labels), bool) if whole is None else np.asarray(whole, bool)
     codes, starts, dictionary = words(pa.array(texts, pa.string()))
     plain = pc.utf8_trim(pc.utf8_lower(dictionary), characters=_SIGNS)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(starts))
+    text_of = np.repeat(of_text, np.diff(starts))
     pairs = np.unique(text_of * np.int64(len(dictionary) + 1) + codes)
     text_of, word_of = pairs // (len(dictionary) + 1), pairs % (len(dictionary) + 1)
     n_toxic = int(labels.sum())
     n_clean = len(labels) - n_toxic
 
     def documents_with(of_word: np.ndarray, owner_start: np.ndarray, n: int) -> np.ndarray:
-        """Per thing, in how many toxic and clean texts its words are. A few
-        texts at a time, as a text has many more things than words."""
+        """Per thing, in how many toxic and clean documents its words are. A few
+        at a time, as a document has many more things than words."""
         found = np.zeros((2, n), np.int64)
-        edges = np.searchsorted(text_of, np.arange(0, len(texts) + 200, 200))
+        edges = np.searchsorted(text_of, np.arange(0, len(labels) + 200, 200))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             word, text = word_of[a:b], text_of[a:b]
             sizes = np.diff(owner_start)[word]
@@ -250,6 +265,7 @@ def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     inputs = model.inputs(dictionary)
     first, end, text = windows(starts)
+    text = of_text[text]
     toxic = labels[text] > 0
     none = np.full((1, WINDOW), -1)
     # To begin with, a window is as bad as its most telling words.
@@ -266,10 +282,13 @@ def learn(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         w["w"][:], w["c"][:] = 0, -10
     memory = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in w.items()}
     step = 0
-    for _ in range(ROUNDS if n_toxic and n_clean else 0):
+    for round_ in range(ROUNDS if n_toxic and n_clean else 0):
         order = np.lexsort((-badness, text))
         worst = order[np.unique(text[order], return_index=True)[1]]
         bad = worst[toxic[worst]]
+        sure = whole[text[bad]]
+        if sure.any():
+            bad = bad[sure | (badness[bad] > 0)] if round_ else bad[sure]
         hard = worst[~toxic[worst]]
         hard = hard[np.argsort(-badness[hard], kind="stable")][: 2 * len(bad)]
         others = np.flatnonzero(~toxic)
@@ -315,7 +334,7 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
-    """(doc_id, text, toxic) of up to ``LEARN_ROWS`` labelled documents of each
+    """(doc_id, text, h, toxic) of up to ``LEARN_ROWS`` labelled documents of each
     kind outside the held-out fold, the same ones wherever the rows lie."""
     marked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -329,25 +348,100 @@ def learning_rows(docs: DataFrame, labels: DataFrame, folds: int) -> DataFrame:
     )
     # A bounded number of rows, whatever the tables hold.
     picked = F.broadcast(clean.union(toxic))
-    return docs.select(F.col("doc_id").cast("long"), "text").join(picked, "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("h")
+    ).join(picked, "doc_id")
+
+
+def share(sizes: np.ndarray, total: int) -> int:
+    """The largest size up to which each document may be taken so that all
+    together take at most ``total``; short ones leave the others more."""
+    sizes = np.sort(sizes).tolist()
+    left = total
+    for i, size in enumerate(sizes):
+        if size * (len(sizes) - i) > left:
+            return int(left // (len(sizes) - i))
+        left -= size
+    return max([total, *sizes[-1:]])
+
+
+def stretches(text: str, most: int, key: int) -> list[str]:
+    """The text, or if it is longer than ``most`` so many characters of it in
+    stretches picked by a hash; neighbours are one. A word that is cut by the
+    edge of a stretch is left out, unless the stretch is within that word."""
+    if len(text) <= most:
+        return [text]
+    n = -(-len(text) // STRETCH)
+    with np.errstate(over="ignore"):
+        order = np.argsort(mixed(np.arange(n, dtype=np.uint64) + mixed(np.uint64([key % (1 << 64)]))))
+    picked = np.sort(order[: max(1, most // STRETCH)])
+    out = []
+    for run in np.split(picked, np.flatnonzero(np.diff(picked) > 1) + 1):
+        a, b = int(run[0]) * STRETCH, min(len(text), (int(run[-1]) + 1) * STRETCH)
+        part = text[a:b]
+        inner = part
+        if a and not text[a - 1].isspace() and not inner[:1].isspace():
+            inner = "".join(inner.split(maxsplit=1)[1:])
+        if b < len(text) and not text[b].isspace() and not inner[-1:].isspace():
+            inner = "".join(inner.rsplit(maxsplit=1)[:-1])
+        out.append(inner if inner.strip() else part)
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
-    """A model from labelled rows. Texts come to the driver in whole documents,
-    as many as make up ``LEARN_WORDS`` words."""
-    sample = (
-        learning_rows(docs, labels, folds)
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        .select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+def sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[list, list, list, list]:
+    """What ``learn`` takes: texts and the document of each, labels of the documents and
+    whether all of a document is there. Rows of one doc_id and different text are
+    documents of their own, taken when every doc_id has had one before."""
+    rows = learning_rows(docs, labels, folds)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
+    sized = (
+        rows.groupBy("doc_id", "h", "toxic")
+        .agg(F.min(F.length("text")).alias("size"))
+        .withColumn("nth", nth)
+        .where(F.col("nth") <= max(LEARN_ROWS))
+    )
+    order = ("nth", F.xxhash64("doc_id"), "doc_id")
+    documents = []
+    for kind, n in enumerate(LEARN_ROWS):
+        found = sized.where(F.col("toxic") == kind).orderBy(*order).limit(n).collect()
+        most = share(np.array([r["size"] for r in found], np.int64), LEARN_SIZE[kind])
+        documents += [(r.doc_id, r.h, kind, most, r["size"] <= most) for r in found]
+    if not documents:
+        return [], [], [], []
+    # Kinds mixed, in the same order wherever the rows lie.
+    documents.sort(key=lambda d: (zlib.crc32(str(d[:2]).encode()), d))
+    chosen = docs.sparkSession.createDataFrame(
+        [(i, *d[:2], d[3]) for i, d in enumerate(documents)], "n int, doc_id long, h long, most long"
     )
-    texts, marks, size = [], [], 0
-    for row in sample.toLocalIterator():
-        texts.append(row.text)
-        marks.append(row.toxic)
-        size += len(row.text) // 6
-        if size > LEARN_WORDS:
-            break
-    return learn(texts, np.array(marks))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [
+                stretches(text.as_py(), most.as_py(), h.as_py())
+                for text, most, h in zip(batch["text"], batch["most"], batch["h"], strict=True)
+            ]
+            columns = [batch["n"], pa.array(parts, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "parts"])
+
+    found = (
+        rows.join(F.broadcast(chosen), ["doc_id", "h"])
+        .select("n", "text", "most", "h")
+        .mapInArrow(cut, "n int, parts array<string>")
+        .dropDuplicates(["n"])
+        .collect()
+    )
+    found.sort(key=lambda r: r.n)
+    texts = [t for r in found for t in r.parts]
+    document = [i for i, r in enumerate(found) for _ in r.parts]
+    of = [documents[r.n] for r in found]
+    return texts, document, [d[2] for d in of], [d[4] for d in of]
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
+    """A model from labelled rows, as many characters of them as ``LEARN_SIZE``."""
+    texts, document, marks, whole = sample(docs, labels, folds)
+    return learn(texts, np.array(marks), document=document, whole=whole)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -82,3 +82,25 @@ def test_empty_text_is_the_same_alone_or_not():
     model = toxicity.learn(["bad words", "fine words"] * 5, np.array([1, 0] * 5))
     alone = toxicity.score_texts(model, pa.array([""]))[0]
     assert toxicity.score_texts(model, pa.array(["x", None, ""]))[1:] == pytest.approx([alone] * 2)
+
+
+def test_no_text_uses_up_the_sample(spark, monkeypatch):
+    long = "a quiet walk in the park " * 600_000
+    rows = [(i, long if i in (4, 11, 23) else f"text of number {i}") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (7, "another text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 3)) for i, _ in rows], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda texts, marks, **_: seen.append((texts, list(marks))))
+    toxicity.fit(docs, labels)
+    [(texts, marks)] = seen
+    learned = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    whole = {t for t in texts if t.startswith(("text", "another"))}
+    assert {t for i, t in rows if i in learned and t != long} <= whole
+    assert marks.count(1) == sum(i % 5 == 3 for i in learned) and 0 in marks
+    assert sum(map(len, texts)) <= sum(toxicity.LEARN_SIZE)
+    spread = toxicity.stretches(" ".join(map(str, range(100_000))), 14_000, 5)
+    numbers = [int(w) for part in spread for w in part.split()]
+    assert set(numbers) <= set(range(100_000)) and max(numbers) - min(numbers) > 30_000
+    assert 10_000 < sum(map(len, spread)) <= 14_000
+    assert all(toxicity.stretches("y" * 50_000, 3000, 5)) and toxicity.stretches("x y", 9, 5) == ["x y"]
+    assert [toxicity.share(np.array(s), 100) for s in ([10, 20, 900], [50, 50], [])] == [70, 100, 100]
