@@ -229,9 +229,10 @@ def learn(
     n_clean = len(labels) - n_toxic
 
     def documents_with(of_word: np.ndarray, owner_start: np.ndarray, n: int) -> np.ndarray:
-        """Per thing, in how many toxic and clean documents its words are. A few
-        at a time, as a document has many more things than words."""
-        found = np.zeros((2, n), np.int64)
+        """Per thing, how many toxic and clean documents have it, and have it twice
+        or more in their distinct words. A few at a time, as a document has many
+        more things than words."""
+        found = np.zeros((2, 2, n), np.int64)
         edges = np.searchsorted(text_of, np.arange(0, len(labels) + 200, 200))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             word, text = word_of[a:b], text_of[a:b]
@@ -239,22 +240,22 @@ def learn(
             ends = np.cumsum(sizes)
             first = owner_start[word] - (ends - sizes)
             thing = of_word[np.repeat(first, sizes) + np.arange(sizes.sum())]
-            seen = np.unique(np.repeat(text, sizes) * np.int64(n) + thing)
+            seen, times = np.unique(np.repeat(text, sizes) * np.int64(n) + thing, return_counts=True)
             toxic = labels[seen // n] > 0
-            found[0] += np.bincount(seen[toxic] % n, minlength=n)
-            found[1] += np.bincount(seen[~toxic] % n, minlength=n)
+            for of_all, these in zip(found, (times > 0, times > 1), strict=True):
+                of_all[0] += np.bincount(seen[these & toxic] % n, minlength=n)
+                of_all[1] += np.bincount(seen[these & ~toxic] % n, minlength=n)
         return found
 
     hashes, owner = affixed_ngrams(plain, GRAMS)
     bounds = np.searchsorted(owner, np.arange(len(plain) + 1))
-    grams = _odds(
-        *documents_with((hashes % np.uint64(BUCKETS)).astype(np.int32), bounds, BUCKETS),
-        n_toxic, n_clean,
-    )
+    # What a clean document has once by chance, a toxic one has in several words.
+    once, twice = documents_with((hashes % np.uint64(BUCKETS)).astype(np.int32), bounds, BUCKETS)
+    grams = _odds(*once, n_toxic, n_clean) + _odds(*twice, n_toxic, n_clean)
     del hashes, owner
     coded = plain.dictionary_encode()
     n_words = len(coded.dictionary)
-    held = documents_with(
+    held, _ = documents_with(
         coded.indices.to_numpy(zero_copy_only=False), np.arange(len(plain) + 1), max(n_words, 1)
     )
     often = np.argsort(-held.sum(0), kind="stable")[:KNOWN_WORDS]
@@ -282,6 +283,8 @@ def learn(
         w["w"][:], w["c"][:] = 0, -10
     memory = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in w.items()}
     step = 0
+    # Steps get smaller to the end, so that the last few windows don't decide.
+    slower = 1.0
     for round_ in range(ROUNDS if n_toxic and n_clean else 0):
         order = np.lexsort((-badness, text))
         worst = order[np.unique(text[order], return_index=True)[1]]
@@ -297,17 +300,19 @@ def learn(
         taken = np.concatenate([window_words(codes, first[chosen], end[chosen]), none])
         label = np.append(toxic[chosen], False).astype(np.float32)
         epochs = max(EPOCHS, -(-STEPS * BATCH // len(taken)))
+        less = 0.9 / (ROUNDS * epochs * -(-len(taken) // BATCH))
         for _ in range(epochs):
             shuffled = rng.permutation(len(taken))
             for i in range(0, len(taken), BATCH):
                 batch = shuffled[i : i + BATCH]
                 step += 1
+                slower = max(0.1, slower - less)
                 g = _gradients(taken[batch], inputs, label[batch], np.float32(1 / len(batch)), w)
                 for name, x in w.items():
                     m, v = memory[name]
                     m += 0.1 * (g[name] - m)
                     v += 0.01 * (g[name] ** 2 - v)
-                    scale = RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+                    scale = RATE * slower * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
                     x -= (scale * m / (np.sqrt(v) + 1e-6)).astype(np.float32)
         table = model.projected(inputs)
         badness = np.concatenate(
