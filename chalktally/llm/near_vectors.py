@@ -15,6 +15,10 @@ is a group of its own, compared by a matrix product. A link counts only under
 the first filter that both vectors pass, so it is counted once, and a group
 returns per vector its number of links and the smallest vector it is connected
 to there: pairs are never written out. Small groups are handed over in bundles.
+
+In fewer than ``FEWEST`` dimensions random vectors are so close to each other, and
+so few of them reach the cut, that filters would lose links. There all vectors of
+a label are members of one filter, so every pair is compared, block by block.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from chalktally.llm import shared
 from chalktally.llm.components import components
 
 TURNS, CODES, CUT = 12, 1024, 4.1
+FEWEST = 48
 SPAN = 512
 #: Rows of groups that are handed to a function together, about.
 BUNDLE = 1500
@@ -53,6 +58,8 @@ def _codes(dimensions: int, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray
 
 def passed(units: np.ndarray, codes: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """All filters that each unit vector passes, ascending."""
+    if units.shape[1] < FEWEST:
+        return [np.zeros(1, np.int64) for _ in units]
     enough = CUT * np.sqrt(2 / units.shape[1])
     found: list[list[np.ndarray]] = [[] for _ in units]
     for turn, (first, second) in enumerate(codes):
@@ -157,7 +164,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     nothing, and neither do vectors of different length. Equal vectors are one
     to the search and count as so many links. Rows with the same vec_id are one
     node of several rows: each reports the links of all. Other columns are not
-    looked at; an empty table gives an empty result.
+    looked at; an empty table gives an empty result. With fewer than ``FEWEST``
+    dimensions no link is missed, but the work grows with the square of a label.
     """
     rows = vectors.select(
         F.col("vec_id").cast("long"),

@@ -71,3 +71,17 @@ def test_missing_ids_and_empty_table(spark):
     assert got[None].n_links == 0 and got[None].component_id is None and got[None].kept
     assert got[3].n_links == 0
     assert near_vectors.near_vectors(df.limit(0)).isEmpty()
+
+
+def test_few_dimensions(spark):
+    rng = np.random.default_rng(9)
+    data, want = [], {}
+    for size in (4, 16, 24, 32):
+        part = []
+        for i in range(size * 10_000, size * 10_000 + 300):
+            base = rng.standard_normal(size)
+            near = base / np.linalg.norm(base) + rng.uniform(0.15, 0.22) / np.sqrt(size) * rng.standard_normal(size)
+            part += [(i, np.float32(base).tolist(), 1), (i + 5000, np.float32(near).tolist(), 1)]
+        want |= expected(part)
+        data += part
+    assert rows(near_vectors.near_vectors(spark.createDataFrame(data, SCHEMA))) == want
