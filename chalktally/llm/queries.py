@@ -16,6 +16,8 @@ from chalktally.llm import (
     near_vectors,
     pii,
     records,
+    secrets,
+    secrets_sql,
     toxicity,
     url_filter,
 )
@@ -91,6 +93,10 @@ def op10_toxicity(spark, sf_dir):
     )
 
 
+def op11_secret_scan(spark, sf_dir):
+    return secrets.secrets(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -104,6 +110,7 @@ QUERIES: dict[str, Query] = {
         op8_embedding_near_dedup,
         op9_language_id,
         op10_toxicity,
+        op11_secret_scan,
     )
 }
 
@@ -189,4 +196,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": _OP3_SQL,
     "op6_benchmark_decontamination": _OP6_SQL,
     "op8_embedding_near_dedup": _OP8_SQL,
+    "op11_secret_scan": secrets_sql.sql(),
 }
