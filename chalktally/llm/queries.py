@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chalktally.llm import (
     contamination,
@@ -14,10 +15,12 @@ from chalktally.llm import (
     mixing,
     near_text,
     near_vectors,
+    periodic,
     pii,
     records,
     secrets,
     secrets_sql,
+    shared,
     toxicity,
     url_filter,
 )
@@ -97,6 +100,51 @@ def op11_secret_scan(spark, sf_dir):
     return secrets.secrets(_read(spark, sf_dir, "documents"))
 
 
+def _damaged(doc_id: Column, text: Column) -> Column:
+    """From word a on, one text in ten repeats itself with period p."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.transform(
+            F.sequence(a, n - 1), lambda i: F.get(words, (a + (i - a) % p).cast("int"))
+        )
+        whole = F.concat(F.slice(words, F.lit(1), a.cast("int")), again)
+        return F.when(n > 0, F.array_join(whole, " ")).otherwise(text)
+
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, shared.let(words, repeated)).otherwise(text)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    """One text in ten is made to repeat itself first."""
+    docs = _read(spark, sf_dir, "documents").select(
+        "doc_id", _damaged(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("text")
+    )
+    best = periodic.strongest("runs")
+    lines = F.transform(
+        "runs",
+        lambda r: F.concat_ws(",", *(r[f].cast("string") for f in ("start", "length", "period"))),
+    )
+    return (
+        periodic.periodic(docs, digest=True)
+        .withColumn("best", best)
+        .select(
+            "doc_id",
+            F.size("runs").cast("long").alias("n_runs"),
+            *(F.col(f"best.{f}") for f in ("start", "length", "period")),
+            F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias(
+                "runs_sha256"
+            ),
+            F.col("collapsed").alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -111,6 +159,7 @@ QUERIES: dict[str, Query] = {
         op9_language_id,
         op10_toxicity,
         op11_secret_scan,
+        op12_periodic_runs,
     )
 }
 

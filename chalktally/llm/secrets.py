@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chalktally.llm.shared import let
+
 TILE = 512
 BLOCK = 128
 MILLION = 1_000_000
@@ -91,11 +93,6 @@ def scaled(count: int) -> int:
     return round(count * math.log2(count) * MILLION) if count else 0
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _before(sizes: Column) -> Column:
     """For each size the sum of all before it, by blocks."""
 
@@ -115,7 +112,7 @@ def _before(sizes: Column) -> Column:
         totals = F.transform(parts, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
         return F.flatten(F.zip_with(parts, within(totals, F.lit(0)), within))
 
-    return _let(sizes, lambda s: _let(blocks(s), summed))
+    return let(sizes, lambda s: let(blocks(s), summed))
 
 
 def _spans_of(parts: Column, found: Column) -> Column:
@@ -135,7 +132,7 @@ def _spans_of(parts: Column, found: Column) -> Column:
             ),
         )
 
-    return _let(_before(sizes), placed)
+    return let(_before(sizes), placed)
 
 
 _SPANS = "array<struct<start:int,end:int,found:string,before:string>>"
@@ -149,10 +146,10 @@ def located(text: Column, pattern: str) -> Column:
     def at(found: Column) -> Column:
         none = F.array().cast(_SPANS)
         return F.when(F.size(found) == 0, none).otherwise(
-            _let(F.split(text, pattern, -1), lambda parts: _spans_of(parts, found))
+            let(F.split(text, pattern, -1), lambda parts: _spans_of(parts, found))
         )
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), at)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), at)
 
 
 def _long_enough(kind: str) -> Callable[[Column], Column]:
@@ -184,10 +181,10 @@ def _masked(text: Column, pattern: str, gone: Callable[[Column], Column]) -> Col
 
     def cut(found: Column) -> Column:
         return F.when(~F.exists(found, gone), text).otherwise(
-            _let(F.split(text, pattern, -1), lambda parts: filled(found, parts))
+            let(F.split(text, pattern, -1), lambda parts: filled(found, parts))
         )
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), cut)
 
 
 def _masking(kind: str, pattern: str) -> Callable[[Column], Column]:
@@ -214,9 +211,9 @@ def _marks(tile: Column, chars: CharClass) -> Column:
                     state["marks"].alias("marks"),
                 )
 
-            return _let(count, changed)
+            return let(count, changed)
 
-        return _let(F.instr(F.lit(chars.letters), letter), at)
+        return let(F.instr(F.lit(chars.letters), letter), at)
 
     def step(state: Column, i: Column) -> Column:
         def out(s: Column) -> Column:
@@ -232,7 +229,7 @@ def _marks(tile: Column, chars: CharClass) -> Column:
             )
 
         come = moved(state, F.substr(tile, i, F.lit(1)), 1)
-        return _let(_let(come, out), marked)
+        return let(let(come, out), marked)
 
     begin = F.struct(
         F.lit(chr(zero) * len(chars.letters)).alias("counts"),
@@ -256,7 +253,7 @@ def window_marks(candidate: Column, chars: CharClass) -> Column:
         whole = F.filter(follow, lambda t: F.length(t) >= chars.window)
         return F.array_join(F.transform(whole, lambda t: _marks(t, chars)), "")
 
-    return _let(
+    return let(
         F.regexp_extract_all(candidate, F.lit(f".{{1,{TILE}}}"), F.lit(0)), tiled
     )
 
@@ -349,9 +346,9 @@ def spans(
     ]
     left = text
     for kind, p in PATTERNS.items():
-        left = _let(left, _masking(kind, p))
+        left = let(left, _masking(kind, p))
     left = F.when(F.size(base) == 0, text).otherwise(left)
-    extra = _let(
+    extra = let(
         left,
         lambda t: F.concat(
             none,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,8 @@ def held_out(doc_id: str, folds: int) -> Column:
     """True where crc32 of the id as text leaves remainder 0; False without id."""
     text = F.col(doc_id).cast("string").cast("binary")
     return F.coalesce(F.crc32(text) % folds == 0, F.lit(False))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
