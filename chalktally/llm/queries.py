@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from chalktally.llm import (
     contamination,
+    conversations,
+    conversations_sql,
     language_id,
     language_model,
     mixing,
@@ -145,6 +147,53 @@ def op12_periodic_runs(spark, sf_dir):
     )
 
 
+def _torn(rows: DataFrame) -> DataFrame:
+    """By a hash of conversation and turn: one row in twenty is dropped, emptied, has
+    no stops, comes twice, or is the user's."""
+    space = F.lit(" ")
+    place = F.concat_ws(
+        ":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn"))
+    )
+    fate = F.crc32(place.cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    return (
+        rows.select(
+            "conv_id",
+            "turn",
+            F.when(fate == 4, "user").otherwise(role).alias("role"),
+            F.when(fate == 1, "")
+            .when(fate == 2, F.regexp_replace(text, "[.!?]", ""))
+            .otherwise(text)
+            .alias("text"),
+            F.explode(F.when(fate == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+            fate.alias("fate"),
+        )
+        .where("fate <> 0")
+        .drop("fate", "copy")
+    )
+
+
+def op13_conversation_repair(spark, sf_dir):
+    """Some rows are damaged first."""
+    given = _read(spark, sf_dir, "conversations")
+    mended = conversations.repaired(_torn(given), digest=True).withColumnRenamed("conv_id", "_of")
+    none = F.lit(0).cast("long")
+    return (
+        given.select("conv_id")
+        .distinct()
+        .join(mended, F.col("conv_id").eqNullSafe(F.col("_of")), "left")
+        .select(
+            "conv_id",
+            *(
+                F.coalesce(c, none).alias(c)
+                for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+            ),
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("repaired", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -160,6 +209,7 @@ QUERIES: dict[str, Query] = {
         op10_toxicity,
         op11_secret_scan,
         op12_periodic_runs,
+        op13_conversation_repair,
     )
 }
 
@@ -246,4 +296,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": _OP6_SQL,
     "op8_embedding_near_dedup": _OP8_SQL,
     "op11_secret_scan": secrets_sql.sql(),
+    "op13_conversation_repair": conversations_sql.sql(),
 }
