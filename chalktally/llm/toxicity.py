@@ -4,7 +4,11 @@ Every word has a character input (statistics of its byte n-grams) and a word
 input (its own statistics, if the learning rows know it). A layer turns them
 into a vector; a recurrent network with gates reads windows of ``WINDOW`` words
 in both directions; attention weighs its states; a document's score is that of
-its worst window. Windows start every ``STEP`` words and overlap.
+its worst window. Windows start every ``STEP`` words, half a window, so any
+passage of that length lies within one.
+
+What documents hold is counted in tasks, and so are the inputs of their words
+worked out; the driver gets tables of bounded size and numbers of words, no texts.
 
 Labels are known for documents only, so learning alternates: the worst window
 of a toxic document under the present weights is taken as toxic, and windows of
@@ -21,25 +25,30 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalktally.llm import shared
 from chalktally.llm.words import affixed_ngrams, mixed, pieces, words
 
-WINDOW, STEP = 48, 32
+WINDOW, STEP = 48, 24
 HIDDEN, VECTOR = 8, 8
 GRAMS, BUCKETS = (3, 4), 1 << 16
 KNOWN_WORDS = 20_000
 #: Clean and toxic documents that are learned from, picked by a hash of their id.
-LEARN_ROWS = (3000, 800)
-#: Characters of clean and of toxic documents that come to the driver. Each kind
+LEARN_ROWS = (4800, 1200)
+#: Characters of clean and of toxic documents that are learned from. Each kind
 #: has its own part, and of a document longer than its share of it come stretches
-#: of ``STRETCH`` characters from all over it, picked by a hash in the tasks.
-LEARN_SIZE = (8_400_000, 4_800_000)
+#: of ``STRETCH`` characters from all over it, picked by a hash.
+LEARN_SIZE = (16_000_000, 8_000_000)
 STRETCH = 1400
 #: A round goes over its windows so often that it makes ``STEPS`` steps at least.
 ROUNDS, EPOCHS, STEPS, BATCH, RATE = 4, 4, 150, 128, 0.01
+#: Weights shrink by this share of a step, so that few labels aren't learned by
+#: heart; those of the last round are averaged over its steps.
+DECAY = 0.05
+_SHRUNK = ("A", "W", "V", "w", "v")
 _SIGNS = ".,;:!?*#%&$\"'()[]{}|<>=+-_/\\~^`"
 
 
@@ -75,10 +84,10 @@ class Model:
             out[:n, 5] = 1
         return out
 
-    def projected(self, inputs: np.ndarray) -> np.ndarray:
-        w = self.weights
-        vectors = np.tanh(inputs @ w["A"] + w["a"])
-        return (vectors @ w["W"] + w["b"]).astype(np.float32)
+
+def projected(inputs: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """A word's share of the gates of both directions."""
+    return (np.tanh(inputs @ w["A"] + w["a"]) @ w["W"] + w["b"]).astype(np.float32)
 
 
 def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,67 +215,71 @@ def _odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> n
     return (ratio * (toxic + clean) / (toxic + clean + 4)).astype(np.float32)
 
 
-def learn(
-    texts: list[str],
-    labels: np.ndarray,
-    seed: int = 7,
-    document: np.ndarray | None = None,
-    whole: np.ndarray | None = None,
-) -> Model:
-    """Fit to documents and their labels (1 toxic, 0 clean). A document is a text,
-    or the texts that ``document`` gives its number. Of one that isn't ``whole`` the
-    toxic passage may be missing: while whole toxic ones are there, its worst
-    window is taken as toxic only if the last round's weights say so too."""
-    labels = np.asarray(labels, np.float32)
-    of_text = np.arange(len(texts)) if document is None else np.asarray(document, np.int64)
-    whole = np.ones(len(labels), bool) if whole is None else np.asarray(whole, bool)
-    codes, starts, dictionary = words(pa.array(texts, pa.string()))
+def held(parts: list[list[str]], toxic: np.ndarray) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
+    """How many toxic and clean documents, each a list of texts, have a bucket of
+    n-grams, and have it twice or more in their distinct words: (times, kind,
+    bucket). Then their distinct words without signs, and (kind, word)."""
+    codes, starts, dictionary = words(pa.array([t for p in parts for t in p], pa.string()))
     plain = pc.utf8_trim(pc.utf8_lower(dictionary), characters=_SIGNS)
-    text_of = np.repeat(of_text, np.diff(starts))
-    pairs = np.unique(text_of * np.int64(len(dictionary) + 1) + codes)
-    text_of, word_of = pairs // (len(dictionary) + 1), pairs % (len(dictionary) + 1)
-    n_toxic = int(labels.sum())
-    n_clean = len(labels) - n_toxic
-
-    def documents_with(of_word: np.ndarray, owner_start: np.ndarray, n: int) -> np.ndarray:
-        """Per thing, how many toxic and clean documents have it, and have it twice
-        or more in their distinct words. A few at a time, as a document has many
-        more things than words."""
-        found = np.zeros((2, 2, n), np.int64)
-        edges = np.searchsorted(text_of, np.arange(0, len(labels) + 200, 200))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            word, text = word_of[a:b], text_of[a:b]
-            sizes = np.diff(owner_start)[word]
-            ends = np.cumsum(sizes)
-            first = owner_start[word] - (ends - sizes)
-            thing = of_word[np.repeat(first, sizes) + np.arange(sizes.sum())]
-            seen, times = np.unique(np.repeat(text, sizes) * np.int64(n) + thing, return_counts=True)
-            toxic = labels[seen // n] > 0
-            for of_all, these in zip(found, (times > 0, times > 1), strict=True):
-                of_all[0] += np.bincount(seen[these & toxic] % n, minlength=n)
-                of_all[1] += np.bincount(seen[these & ~toxic] % n, minlength=n)
-        return found
-
+    document = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    pairs = np.unique(np.repeat(document, np.diff(starts)) * np.int64(len(plain) + 1) + codes)
+    of, word = pairs // (len(plain) + 1), pairs % (len(plain) + 1)
     hashes, owner = affixed_ngrams(plain, GRAMS)
+    bucket = (hashes % np.uint64(BUCKETS)).astype(np.int32)
     bounds = np.searchsorted(owner, np.arange(len(plain) + 1))
-    # What a clean document has once by chance, a toxic one has in several words.
-    once, twice = documents_with((hashes % np.uint64(BUCKETS)).astype(np.int32), bounds, BUCKETS)
-    grams = _odds(*once, n_toxic, n_clean) + _odds(*twice, n_toxic, n_clean)
-    del hashes, owner
+    grams = np.zeros((2, 2, BUCKETS), np.int64)
+    # Some documents at a time, as they have many more n-grams than words.
+    edges = np.searchsorted(of, np.arange(0, len(parts) + 100, 100))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        sizes = np.diff(bounds)[word[a:b]]
+        ends = np.cumsum(sizes)
+        at = np.repeat(bounds[word[a:b]] - (ends - sizes), sizes) + np.arange(sizes.sum())
+        key = np.repeat(of[a:b], sizes) * np.int64(BUCKETS) + bucket[at]
+        seen, times = np.unique(key, return_counts=True)
+        is_toxic = toxic[seen // BUCKETS]
+        for often in (0, 1):
+            for kind in (0, 1):
+                these = (times > often) & (is_toxic if kind == 0 else ~is_toxic)
+                grams[often, kind] += np.bincount(seen[these] % BUCKETS, minlength=BUCKETS)
     coded = plain.dictionary_encode()
-    n_words = len(coded.dictionary)
-    held, _ = documents_with(
-        coded.indices.to_numpy(zero_copy_only=False), np.arange(len(plain) + 1), max(n_words, 1)
+    n = max(len(coded.dictionary), 1)
+    same = coded.indices.to_numpy(zero_copy_only=False)
+    pairs = np.unique(of * np.int64(n) + (same[word] if len(word) else 0))
+    found = np.stack(
+        [np.bincount(pairs[toxic[pairs // n] == kind] % n, minlength=n) for kind in (True, False)]
     )
-    often = np.argsort(-held.sum(0), kind="stable")[:KNOWN_WORDS]
-    often = often[(held.sum(0)[often] >= 3) & (often < n_words)]
-    known = coded.dictionary.take(pa.array(often)).to_pylist()
-    model = Model(grams, known, _odds(*held[:, often], n_toxic, n_clean), {})
+    return grams, coded.dictionary, found
+
+
+def numbered(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of every word of the texts and where each text starts; the distinct
+    hashes and their inputs."""
+    codes, starts, dictionary = words(texts)
+    key = np.array([xxhash.xxh3_64_intdigest(w) for w in dictionary.to_pylist()], np.uint64)
+    return key[codes] if len(key) else np.zeros(0, np.uint64), starts, key, model.inputs(dictionary)[:-1]
 
+
+def learn(
+    codes: np.ndarray,
+    starts: np.ndarray,
+    of_text: np.ndarray,
+    inputs: np.ndarray,
+    labels: np.ndarray,
+    whole: np.ndarray,
+    seed: int = 7,
+) -> dict[str, np.ndarray]:
+    """Weights fitted to texts of word numbers and the documents they belong to,
+    each with its label (1 toxic, 0 clean). ``inputs`` are those of every word, a
+    row of zeros at the end. Of a document that isn't ``whole`` the toxic
+    passage may be missing: while whole toxic ones are there, its worst window is
+    taken as toxic only if the last round's weights say so too."""
+    labels = np.asarray(labels, np.float32)
+    whole = np.asarray(whole, bool)
+    n_toxic = int(labels.sum())
+    n_clean = len(labels) - n_toxic
     rng = np.random.default_rng(seed)
-    inputs = model.inputs(dictionary)
     first, end, text = windows(starts)
-    text = of_text[text]
+    text = np.asarray(of_text, np.int64)[text] if len(text) else text
     toxic = labels[text] > 0
     none = np.full((1, WINDOW), -1)
     # To begin with, a window is as bad as its most telling words.
@@ -278,7 +291,7 @@ def learn(
             for i in range(0, len(first), 4096)
         ]
     )
-    w = model.weights = _fresh(rng)
+    w = _fresh(rng)
     if not n_toxic or not n_clean:
         w["w"][:], w["c"][:] = 0, -10
     memory = {k: [np.zeros_like(x), np.zeros_like(x)] for k, x in w.items()}
@@ -301,6 +314,7 @@ def learn(
         label = np.append(toxic[chosen], False).astype(np.float32)
         epochs = max(EPOCHS, -(-STEPS * BATCH // len(taken)))
         less = 0.9 / (ROUNDS * epochs * -(-len(taken) // BATCH))
+        total, steps = {k: np.zeros_like(x) for k, x in w.items()}, 0
         for _ in range(epochs):
             shuffled = rng.permutation(len(taken))
             for i in range(0, len(taken), BATCH):
@@ -313,8 +327,15 @@ def learn(
                     m += 0.1 * (g[name] - m)
                     v += 0.01 * (g[name] ** 2 - v)
                     scale = RATE * slower * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                    x -= (scale * m / (np.sqrt(v) + 1e-6)).astype(np.float32)
-        table = model.projected(inputs)
+                    move = m / (np.sqrt(v) + 1e-6)
+                    if name in _SHRUNK:
+                        move = move + DECAY * x
+                    x -= (scale * move).astype(np.float32)
+                    total[name] += x
+                steps += 1
+        if round_ == ROUNDS - 1:
+            w.update({k: x / np.float32(steps) for k, x in total.items()})
+        table = projected(inputs, w)
         badness = np.concatenate(
             [np.zeros(0, np.float32)]
             + [
@@ -322,13 +343,13 @@ def learn(
                 for i in range(0, len(first), 8192)
             ]
         )
-    return model
+    return w
 
 
 def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     """Per text the score of its worst window, from 0 to 1."""
     codes, starts, dictionary = words(texts)
-    table = model.projected(model.inputs(dictionary))
+    table = projected(model.inputs(dictionary), model.weights)
     first, end, text = windows(starts)
     worst = np.full(len(texts), -np.inf)
     for i in range(0, len(first), 8192):
@@ -394,9 +415,9 @@ def stretches(text: str, most: int, key: int) -> list[str]:
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[list, list, list, list]:
-    """What ``learn`` takes: texts and the document of each, labels of the documents and
-    whether all of a document is there. Rows of one doc_id and different text are
+def sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+    """What is learned from, written: n, toxic, whole (all of the document is there)
+    and its parts, an array of texts. Rows of one doc_id and different text are
     documents of their own, taken when every doc_id has had one before."""
     rows = learning_rows(docs, labels, folds)
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("h"))
@@ -412,12 +433,11 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[list, li
         found = sized.where(F.col("toxic") == kind).orderBy(*order).limit(n).collect()
         most = share(np.array([r["size"] for r in found], np.int64), LEARN_SIZE[kind])
         documents += [(r.doc_id, r.h, kind, most, r["size"] <= most) for r in found]
-    if not documents:
-        return [], [], [], []
     # Kinds mixed, in the same order wherever the rows lie.
     documents.sort(key=lambda d: (zlib.crc32(str(d[:2]).encode()), d))
     chosen = docs.sparkSession.createDataFrame(
-        [(i, *d[:2], d[3]) for i, d in enumerate(documents)], "n int, doc_id long, h long, most long"
+        [(i, *d[:2], d[3], d[4]) for i, d in enumerate(documents)],
+        "n int, doc_id long, h long, most long, whole boolean",
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,27 +446,119 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = 5) -> tuple[list, li
                 stretches(text.as_py(), most.as_py(), h.as_py())
                 for text, most, h in zip(batch["text"], batch["most"], batch["h"], strict=True)
             ]
-            columns = [batch["n"], pa.array(parts, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["n", "parts"])
+            columns = [batch[c] for c in ("n", "toxic", "whole")]
+            columns.append(pa.array(parts, pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(columns, ["n", "toxic", "whole", "parts"])
 
-    found = (
+    # Rows that are the same have the same number; one of them is enough.
+    rows = rows.dropDuplicates(["doc_id", "h"])
+    return shared.written(
         rows.join(F.broadcast(chosen), ["doc_id", "h"])
-        .select("n", "text", "most", "h")
-        .mapInArrow(cut, "n int, parts array<string>")
-        .dropDuplicates(["n"])
-        .collect()
+        .select("n", "toxic", "whole", "text", "most", "h")
+        .mapInArrow(cut, "n int, toxic int, whole boolean, parts array<string>"),
+        "learning",
+    )
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket or word, counts) of the documents of a task."""
+    for batch in batches:
+        toxic = batch["toxic"].to_numpy(zero_copy_only=False) > 0
+        grams, known, found = held(batch["parts"].to_pylist(), toxic)
+        some = np.flatnonzero(grams[0].any(0))
+        blank = pa.nulls(len(some), pa.string())
+        columns = [pa.array(some), blank, *(pa.array(grams[i, k, some]) for i in (0, 1) for k in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, _COUNTED)
+        zero = pa.array(np.zeros(len(known), np.int64))
+        of = found[:, : len(known)]
+        columns = [pa.nulls(len(known), pa.int64()), known, pa.array(of[0]), pa.array(of[1]), zero, zero]
+        yield pa.RecordBatch.from_arrays(columns, _COUNTED)
+
+
+_COUNTED = ["bucket", "word", "toxic", "clean", "twice_toxic", "twice_clean"]
+
+
+def _statistics(drawn: DataFrame, n_toxic: int, n_clean: int) -> Model:
+    """A model without weights yet, from counts over the tasks' documents."""
+    shape = "bucket long, word string, toxic long, clean long, twice_toxic long, twice_clean long"
+    counts = shared.written(
+        drawn.select("toxic", "parts")
+        .mapInArrow(_counted, shape)
+        .groupBy("bucket", "word")
+        .agg(*(F.sum(c).alias(c) for c in _COUNTED[2:])),
+        "held",
+    )
+    found = counts.where("bucket is not null").toArrow()
+    table = np.zeros((4, BUCKETS), np.int64)
+    at = found["bucket"].to_numpy()
+    for i, name in enumerate(_COUNTED[2:]):
+        table[i, at] = found[name].to_numpy()
+    # What a clean document has once by chance, a toxic one has in several words.
+    grams = _odds(*table[:2], n_toxic, n_clean) + _odds(*table[2:], n_toxic, n_clean)
+    known = (
+        counts.where("bucket is null and toxic + clean >= 3")
+        .orderBy(F.desc(F.col("toxic") + F.col("clean")), "word")
+        .limit(KNOWN_WORDS)
+        .toArrow()
     )
-    found.sort(key=lambda r: r.n)
-    texts = [t for r in found for t in r.parts]
-    document = [i for i, r in enumerate(found) for _ in r.parts]
-    of = [documents[r.n] for r in found]
-    return texts, document, [d[2] for d in of], [d[4] for d in of]
+    of_known = _odds(known["toxic"].to_numpy(), known["clean"].to_numpy(), n_toxic, n_clean)
+    return Model(grams, known["word"].to_pylist(), of_known, {})
+
+
+def _taught(drawn: DataFrame, model: Model, n: int) -> tuple:
+    """What ``learn`` takes of the texts: their words as numbers of a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["n", "hashes", "starts", "key", "inputs"]
+        for batch in batches:
+            parts = batch["parts"].to_pylist()
+            hashes, starts, key, inputs = numbered(model, pa.array([t for p in parts for t in p], pa.string()))
+            sizes = np.cumsum([0, *(len(p) for p in parts)])
+            rows = []
+            for number, a, b in zip(batch["n"].to_pylist(), sizes[:-1], sizes[1:], strict=True):
+                own = starts[a : b + 1]
+                data = hashes[own[0] : own[-1]].tobytes()
+                rows.append((number, data, (own - own[0]).astype(np.int64).tobytes(), None, None))
+            rows.append((None, None, None, key.tobytes(), inputs.tobytes()))
+            kinds = [pa.int32(), *[pa.binary()] * 4]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    shape = "n int, hashes binary, starts binary, key binary, inputs binary"
+    made = shared.written(drawn.select("n", "parts").mapInArrow(run, shape), "taught")
+    keys, inputs = np.zeros(0, np.uint64), np.zeros((0, 6), np.float32)
+    for row in made.where("n is null").select("key", "inputs").toLocalIterator():
+        more = np.frombuffer(row["key"], np.uint64)
+        keys, at = np.unique(np.concatenate([keys, more]), return_index=True)
+        inputs = np.concatenate([inputs, np.frombuffer(row["inputs"], np.float32).reshape(-1, 6)])[at]
+    texts = made.where("n is not null").select("n", "hashes", "starts").toArrow().sort_by("n")
+    codes, starts, document = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+    total = 0
+    for number, hashes, own in zip(texts["n"], texts["hashes"], texts["starts"], strict=True):
+        found = np.frombuffer(hashes.as_py(), np.uint64)
+        codes.append(np.searchsorted(keys, found).astype(np.int32))
+        own = np.frombuffer(own.as_py(), np.int64)
+        starts.append(own[1:] + total)
+        document.append(np.full(len(own) - 1, number.as_py()))
+        total += len(found)
+    inputs = np.concatenate([inputs, np.zeros((1, 6), np.float32)])
+    return np.concatenate(codes), np.concatenate(starts), np.concatenate(document), inputs
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     """A model from labelled rows, as many characters of them as ``LEARN_SIZE``."""
-    texts, document, marks, whole = sample(docs, labels, folds)
-    return learn(texts, np.array(marks), document=document, whole=whole)
+    drawn = sample(docs, labels, folds)
+    marks = drawn.select("n", "toxic", "whole").toArrow().sort_by("n")
+    # Documents whose text is nowhere leave gaps in the numbers.
+    n = marks.num_rows
+    toxic = marks["toxic"].to_numpy()
+    n_toxic = int((toxic > 0).sum())
+    model = _statistics(drawn, n_toxic, n - n_toxic)
+    codes, starts, document, inputs = _taught(drawn, model, n)
+    place = np.searchsorted(marks["n"].to_numpy(), document)
+    whole = marks["whole"].to_numpy(zero_copy_only=False)
+    model.weights = learn(codes, starts, place, inputs, toxic, whole)
+    return model
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -88,8 +88,10 @@ def test_odd_rows(spark):
     assert [r.predicted for r in unlabelled] == [0] * len(rows)
 
 
-def test_empty_text_is_the_same_alone_or_not():
-    model = toxicity.learn(["bad words", "fine words"] * 5, np.array([1, 0] * 5))
+def test_empty_text_is_the_same_alone_or_not(spark):
+    docs = spark.createDataFrame([(i, ["bad words", "fine words"][i % 2]) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
     alone = toxicity.score_texts(model, pa.array([""]))[0]
     assert toxicity.score_texts(model, pa.array(["x", None, ""]))[1:] == pytest.approx([alone] * 2)
 
@@ -99,10 +101,14 @@ def test_no_text_uses_up_the_sample(spark, monkeypatch):
     rows = [(i, long if i in (4, 11, 23) else f"text of number {i}") for i in range(40)]
     docs = spark.createDataFrame([*rows, (7, "another text")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 5 == 3)) for i, _ in rows], "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "learn", lambda texts, marks, **_: seen.append((texts, list(marks))))
-    toxicity.fit(docs, labels)
-    [(texts, marks)] = seen
+    monkeypatch.setattr(toxicity, "LEARN_SIZE", (200_000, 100_000))
+    drawn = toxicity.sample(docs, labels).collect()
+    assert sorted(r.n for r in drawn) == list(range(len(drawn)))
+    texts = [part for r in drawn for part in r.parts]
+    marks = [r.toxic for r in drawn]
+    assert [r.whole for r in drawn if sum(map(len, r.parts)) > 1000] == [False] * sum(
+        zlib.crc32(str(i).encode()) % 5 > 0 for i in (4, 11, 23)
+    )
     learned = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
     whole = {t for t in texts if t.startswith(("text", "another"))}
     assert {t for i, t in rows if i in learned and t != long} <= whole
