@@ -593,18 +593,41 @@ def stream_closed_days(spark, sf):
     return spark.read.parquet(f"{out}/table")
 
 
+def _three_parts(requests: DataFrame) -> list[DataFrame]:
+    """By time of arrival, the bounds in the middle of a day."""
+    at = F.col("created_at")
+    bounds = [F.lit(f"2024-01-{day} 12:00:00").cast("timestamp") for day in (10, 20)]
+    return _by_part(requests, (at >= bounds[0]).cast("int") + (at >= bounds[1]).cast("int"), 3)
+
+
 @_register
 def stream_gate(spark, sf):
-    """The requests in three batches by arrival time, the bounds in the middle
-    of a day, each judged with what the earlier ones left behind."""
+    """Requests that arrive in three parts; the stream stops after each and goes on
+    from its checkpoint, so usage of the day that a bound cuts is kept in state."""
     requests = volume.requests(spark, sf)
-    accounts, owned = volume.users(spark, sf), volume.sessions(spark, sf)
+    folder = session.work_dir(spark, "gate")
+    for part in _three_parts(requests):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{folder}/in")
+        decided = gate_stream.decide(
+            stream, volume.users(spark, sf), volume.sessions(spark, sf), delay="2 days"
+        )
+        gate_stream.write_decisions(
+            decided, f"{folder}/out", f"{folder}/checkpoint", available_now=True
+        ).awaitTermination()
+    out = spark.read.schema(decided.schema).parquet(f"{folder}/out")
+    return out.select("request_id", "user_id", "session_id", "status")
+
+
+@_register
+def gate_batches(spark, sf):
+    """The requests in three batches, each judged with what the earlier ones left in
+    a store."""
     store = session.work_dir(spark, "gate")
-    bounds = [F.lit(f"2024-01-{day} 12:00:00").cast("timestamp") for day in (10, 20)]
-    at = F.col("created_at")
-    part = (at >= bounds[0]).cast("int") + (at >= bounds[1]).cast("int")
-    for number, batch in enumerate(_by_part(requests, part, 3)):
-        gate_stream.process_batch(batch, number, accounts, owned, store)
+    for number, batch in enumerate(_three_parts(volume.requests(spark, sf))):
+        gate_stream.process_batch(
+            batch, number, volume.users(spark, sf), volume.sessions(spark, sf), store
+        )
     decided = gate_stream.decisions(spark, store)
     return decided.select("request_id", "user_id", "session_id", "status")
 

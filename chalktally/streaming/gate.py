@@ -1,25 +1,33 @@
 """The chat gate on a stream of requests.
 
-A store has the decisions and the usage of each micro-batch under its id, and
+``decide`` is a stream from requests to decisions: the tokens a user has used on a
+day are the state of (user, day), kept by Spark from one micro-batch to the next,
+restored after a restart, and dropped when the day is over.
+
+``process_batch`` judges a batch against usage that lies in tables. A store has the decisions and the usage of each micro-batch under its id, and
 every ``COMPACT`` batches a snapshot of all usage so far under the id of its last
 batch. A batch sees the newest snapshot before it and the batches in between.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chalktally.functions import expr
 from chalktally.operators import gate, usage
 from chalktally.sources.tables import Tables
 
 COMPACT = 64
+DAY_MS = 86_400_000
 
 
 def _usage_schema(user_type: T.DataType) -> T.StructType:
@@ -101,3 +109,88 @@ def start(
     return (
         requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).start()
     )
+
+
+def _judge(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """The requests of one user and day that came in a micro-batch, in order. The
+    sum of all that reach the quota gives the verdicts of summing the admitted
+    ones, as in a replay."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    rows = pd.concat(list(batches)).sort_values(["created_at", "request_id"])
+    tokens = rows["tokens"].fillna(0).to_numpy(np.int64)
+    asked = rows["refusal"].isna().to_numpy()
+    known = state.exists
+    before = (state.get[0] if known else 0) + np.cumsum(tokens) - tokens
+    # Before the first request that reaches the quota nothing counts as used.
+    counted = known | (np.cumsum(asked) - asked > 0)
+    quota = rows["quota"].to_numpy(np.float64)
+    full = asked & counted & (before >= quota)
+    status = np.where(full, 429, np.where(asked, 200, rows["refusal"].fillna(0)))
+    if asked.any():
+        end = before[-1] + tokens[-1]
+        state.update((int(end),))
+        # The day's end in event time; the watermark comes later by its delay.
+        day_end = (pd.Timestamp(key[1]).value // 1_000_000) + DAY_MS
+        state.setTimeoutTimestamp(max(day_end, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(
+        {
+            "request_id": rows["request_id"].to_numpy(),
+            "user_id": key[0],
+            "session_id": rows["session_id"].to_numpy(),
+            "created_at": rows["created_at"].to_numpy(),
+            "status": status.astype(np.int32),
+        }
+    )
+
+
+def decide(
+    requests: DataFrame, users: DataFrame, sessions: DataFrame, delay: str = "1 day"
+) -> DataFrame:
+    """Decisions on a stream of requests (request_id, user_id, session_id, created_at,
+    total_tokens): request_id, user_id, session_id, created_at, status.
+
+    Requests of a user and day are judged in the order in which micro-batches
+    bring them, within one by time and id. What comes when the day has been over
+    for ``delay``, by the newest request seen, is dropped, as Spark does with late
+    rows: its day's usage is forgotten by then. In a task is what one user asks in
+    one micro-batch, which the source's limits bound.
+    """
+    callers = gate._callers(users, F.col("daily_token_quota").alias("_quota"))
+    door = gate._door(requests.withWatermark("created_at", delay), callers, sessions)
+    types = {f.name: f.dataType for f in requests.schema.fields}
+    rows = door.select(
+        "user_id",
+        F.date_format("created_at", "yyyy-MM-dd").alias("day"),
+        "request_id",
+        "session_id",
+        "created_at",
+        F.when(F.col("_refusal").isNull(), F.col("total_tokens")).cast("long").alias("tokens"),
+        F.col("_refusal").cast("int").alias("refusal"),
+        F.col("_quota").cast("long").alias("quota"),
+    )
+    shape = T.StructType(
+        [T.StructField(n, types[n]) for n in ("request_id", "user_id", "session_id", "created_at")]
+        + [T.StructField("status", T.IntegerType())]
+    )
+    return rows.groupBy("user_id", "day").applyInPandasWithState(
+        _judge, shape, "used long", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def write_decisions(
+    decided: DataFrame, out: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Append every decision to a table, once."""
+    writer = (
+        decided.writeStream.outputMode("append")
+        .format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

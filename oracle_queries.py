@@ -259,6 +259,7 @@ SQL = {
     "quota_replay": "SELECT request_id, user_id, refused FROM v_replay",
     "replay_decisions": "SELECT * FROM v_in_order",
     "stream_gate": "SELECT * FROM v_in_order",
+    "gate_batches": "SELECT * FROM v_in_order",
     "chat_decisions": "SELECT request_id, user_id, session_id, status FROM v_decided",
     "session_read_decisions": """
         SELECT r.request_id, r.user_id, r.session_id,
