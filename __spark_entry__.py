@@ -21,6 +21,7 @@ from chalktally.operators import (
     checks,
     gate,
     prompts,
+    replay,
     rules,
     sessions,
     usage,
@@ -150,6 +151,30 @@ def quota_replay(spark, sf):
     return judged.select("request_id", "user_id", "refused")
 
 
+@_register
+def landing_replay(spark, sf):
+    """Usage is written when a reply ends."""
+    judged = replay.landing_replay(volume.timed_requests(spark, sf), volume.users(spark, sf))
+    return judged.select("request_id", "user_id", "refused")
+
+
+@_register
+def quota_in_force(spark, sf):
+    found = replay.quota_in_force(
+        volume.requests(spark, sf), volume.users(spark, sf), volume.quota_history(spark, sf)
+    )
+    return found.select("request_id", "user_id", "version", "quota")
+
+
+@_register
+def history_replay(spark, sf):
+    """The quota is edited within the day."""
+    judged = replay.history_replay(
+        volume.requests(spark, sf), volume.users(spark, sf), volume.quota_history(spark, sf)
+    )
+    return judged.select("request_id", "user_id", "refused")
+
+
 @_register
 def replay_decisions(spark, sf):
     judged = gate.replay_decisions(

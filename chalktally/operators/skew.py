@@ -57,6 +57,13 @@ def earlier(
     )
 
 
+def numbered(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Add ``name``: the place, from 1, of a row among those of its keys; ``order`` is
+    unique within them."""
+    before = earlier(df, keys, [order], F.lit(1), "_place")
+    return before.select(*df.columns, (F.coalesce("_place", F.lit(0)) + 1).cast("int").alias(name))
+
+
 def plus(a: str, b: str) -> Column:
     """Sum that is NULL only if both sides are."""
     return F.coalesce(F.col(a) + F.col(b), a, b)

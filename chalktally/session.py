@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Days are UTC days. AQE splits hot keys in joins of a fact table to a
 # dimension, also where that costs one more exchange further up.
@@ -63,3 +63,12 @@ def shared_folder(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder in the shared one, for tables a job writes and reads back."""
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written to a new folder, in folders by some columns if named, and read
+    back: computed once, and still there if executors are lost."""
+    path = work_dir(df.sparkSession, purpose)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

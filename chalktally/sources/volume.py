@@ -64,6 +64,36 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests_of(_read(spark, sf_dir, "events"))
 
 
+def timed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with the end of their replies: up to five hours later, some over
+    midnight, and every 41st a day and a quarter after that."""
+    key = F.col("request_id")
+    minutes = (key % 97 * 3 + F.when(key % 41 == 0, 1800).otherwise(0)).cast("int")
+    return requests(spark, sf_dir).select(
+        "request_id",
+        "user_id",
+        F.col("created_at").alias("started_at"),
+        F.timestamp_add("MINUTE", minutes, F.col("created_at")).alias("ended_at"),
+        "total_tokens",
+    )
+
+
+def quota_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases edit the buyer's quota when they happen, and every 60th event, if it
+    is one, that of the user who asks most."""
+    user = F.when(F.col("event_id") % 60 == 0, HOT_USER).otherwise(F.col("user_id"))
+    return (
+        _read(spark, sf_dir, "events")
+        .where(F.col("event_type") == "purchase")
+        .select(
+            F.col("event_id").alias("change_id"),
+            user.alias("user_id"),
+            F.col("ts").cast("timestamp").alias("changed_at"),
+            (F.floor("value") * 4).cast("int").alias("daily_token_quota"),
+        )
+    )
+
+
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the text of the new message, some of them empty."""
     asked = F.concat(F.lit("Question "), F.col("request_id").cast("string"))

@@ -41,6 +41,21 @@ VIEWS = {
         SELECT user_id, usage_date AS date, CAST(SUM(total_tokens) AS BIGINT) AS tokens_used,
           CAST(COUNT(*) AS INT) AS request_count
         FROM v_requests GROUP BY user_id, usage_date""",
+    "v_quota_history": """
+        SELECT event_id AS change_id, CASE WHEN event_id % 60 = 0 THEN 2 ELSE user_id END AS user_id,
+          ts AS changed_at, CAST(FLOOR(value) * 4 AS INT) AS daily_token_quota
+        FROM events WHERE event_type = 'purchase'""",
+    "v_in_force": """
+        SELECT r.request_id, r.user_id, r.created_at, r.usage_date, r.total_tokens,
+          CAST(coalesce(h.version, 0) AS INT) AS version,
+          CASE WHEN h.version IS NULL THEN u.daily_token_quota ELSE h.daily_token_quota END AS quota
+        FROM v_requests r
+        LEFT JOIN v_users u ON u.id = r.user_id
+        ASOF LEFT JOIN (
+          SELECT user_id, changed_at, max(version) AS version, max_by(daily_token_quota, version) AS daily_token_quota
+          FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY changed_at, change_id) AS version
+                FROM v_quota_history) x GROUP BY user_id, changed_at) h
+          ON h.user_id = r.user_id AND r.created_at >= h.changed_at""",
     "v_today": "SELECT * FROM v_usage WHERE date = DATE '2024-01-15'",
     "v_rules": """
         SELECT event_id AS id, CAST(FLOOR(user_id / 10) * 10 + 1 AS BIGINT) AS teacher_id,
@@ -258,6 +273,49 @@ SQL = {
           OR s.request_count IS DISTINCT FROM e.requests""",
     "quota_replay": "SELECT request_id, user_id, refused FROM v_replay",
     "replay_decisions": "SELECT * FROM v_in_order",
+    "landing_replay": """
+        WITH RECURSIVE timed AS (
+          SELECT request_id, user_id, created_at AS started_at, total_tokens,
+            created_at + to_minutes(request_id % 97 * 3
+              + CASE WHEN request_id % 41 = 0 THEN 1800 ELSE 0 END) AS ended_at
+          FROM v_requests),
+        moves AS (
+          SELECT request_id, user_id, started_at AS moment, 1 AS kind, 0 AS tokens FROM timed
+          UNION ALL SELECT request_id, user_id, ended_at, 0, total_tokens FROM timed),
+        e AS (
+          SELECT m.*, CAST(moment AS DATE) AS day, u.daily_token_quota AS quota,
+            row_number() OVER (PARTITION BY user_id ORDER BY moment, kind, request_id) AS n
+          FROM moves m LEFT JOIN v_users u ON u.id = m.user_id),
+        w AS (
+          SELECT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS DATE) AS day, CAST(NULL AS BIGINT) AS used,
+            CAST([] AS BIGINT[]) AS lost, CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS refused
+          FROM (SELECT DISTINCT user_id FROM e) x
+          UNION ALL
+          SELECT user_id, n, day,
+            CASE WHEN kind = 0 AND NOT list_contains(lost, request_id)
+              THEN coalesce(was, 0) + tokens ELSE was END,
+            CASE WHEN kind = 1 AND coalesce(was >= quota, false) THEN list_append(lost, request_id)
+              ELSE lost END,
+            CASE WHEN kind = 1 THEN request_id END, coalesce(was >= quota, false)
+          FROM (SELECT e.*, w.lost, CASE WHEN w.day = e.day THEN w.used END AS was
+                FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1) s)
+        SELECT request_id, user_id, refused FROM w WHERE request_id IS NOT NULL""",
+    "quota_in_force": "SELECT request_id, user_id, version, quota FROM v_in_force",
+    "history_replay": """
+        WITH RECURSIVE e AS (
+          SELECT *, row_number() OVER (PARTITION BY user_id, usage_date ORDER BY created_at, request_id) AS n
+          FROM v_in_force),
+        w AS (
+          SELECT user_id, usage_date, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS used,
+            CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS BOOLEAN) AS refused
+          FROM (SELECT DISTINCT user_id, usage_date FROM e) x
+          UNION ALL
+          SELECT e.user_id, e.usage_date, e.n,
+            CASE WHEN coalesce(w.used >= e.quota, false) THEN w.used
+              ELSE coalesce(w.used, 0) + e.total_tokens END,
+            e.request_id, coalesce(w.used >= e.quota, false)
+          FROM w JOIN e ON e.user_id = w.user_id AND e.usage_date = w.usage_date AND e.n = w.n + 1)
+        SELECT request_id, user_id, refused FROM w WHERE request_id IS NOT NULL""",
     "stream_gate": "SELECT * FROM v_in_order",
     "gate_batches": "SELECT * FROM v_in_order",
     "chat_decisions": "SELECT request_id, user_id, session_id, status FROM v_decided",
@@ -519,5 +577,9 @@ def all_sql() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():
         views = ", ".join(f"{view} AS ({VIEWS[view]})" for view in _used(sql))
-        out[name] = f"WITH {views} {sql.strip()}" if views else sql.strip()
+        sql, recursive = sql.strip(), "WITH RECURSIVE "
+        if views and sql.startswith(recursive):
+            out[name] = f"{recursive}{views}, {sql.removeprefix(recursive)}"
+        else:
+            out[name] = f"WITH {views} {sql}" if views else sql
     return out
