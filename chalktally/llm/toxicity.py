@@ -7,8 +7,8 @@ in both directions; attention weighs its states; a document's score is that of
 its worst window. Windows start every ``STEP`` words, half a window, so any
 passage of that length lies within one.
 
-What documents hold is counted in tasks, and so are the inputs of their words
-worked out; the driver gets tables of bounded size and numbers of words, no texts.
+What documents hold is counted in tasks; the network is trained in one task, on a
+sample of bounded size. The driver gets tables of bounded size and weights, no texts.
 
 Labels are known for documents only, so learning alternates: the worst window
 of a toxic document under the present weights is taken as toxic, and windows of
@@ -87,7 +87,11 @@ class Model:
 
 def projected(inputs: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     """A word's share of the gates of both directions."""
-    return (np.tanh(inputs @ w["A"] + w["a"]) @ w["W"] + w["b"]).astype(np.float32)
+    out = np.empty((len(inputs), 6 * HIDDEN), np.float32)
+    for i in range(0, len(inputs), 16384):
+        part = np.tanh(inputs[i : i + 16384] @ w["A"] + w["a"])
+        out[i : i + 16384] = part @ w["W"] + w["b"]
+    return out
 
 
 def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -505,62 +509,62 @@ def _statistics(drawn: DataFrame, n_toxic: int, n_clean: int) -> Model:
     return Model(grams, known["word"].to_pylist(), of_known, {})
 
 
-def _taught(drawn: DataFrame, model: Model, n: int) -> tuple:
-    """What ``learn`` takes of the texts: their words as numbers of a table."""
+def _trained(drawn: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """Weights, learned in one task from the sample, whose size is bounded, so that
+    neither texts nor their words come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["n", "hashes", "starts", "key", "inputs"]
+        keys, inputs = np.zeros(0, np.uint64), np.zeros((0, 6), np.float32)
+        found, starts, document = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], []
+        toxic, whole = [], []
+        total = 0
         for batch in batches:
             parts = batch["parts"].to_pylist()
-            hashes, starts, key, inputs = numbered(model, pa.array([t for p in parts for t in p], pa.string()))
-            sizes = np.cumsum([0, *(len(p) for p in parts)])
-            rows = []
-            for number, a, b in zip(batch["n"].to_pylist(), sizes[:-1], sizes[1:], strict=True):
-                own = starts[a : b + 1]
-                data = hashes[own[0] : own[-1]].tobytes()
-                rows.append((number, data, (own - own[0]).astype(np.int64).tobytes(), None, None))
-            rows.append((None, None, None, key.tobytes(), inputs.tobytes()))
-            kinds = [pa.int32(), *[pa.binary()] * 4]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            texts = pa.array([t for p in parts for t in p], pa.string())
+            hashes, own, more, of_more = numbered(model, texts)
+            keys, at = np.unique(np.concatenate([keys, more]), return_index=True)
+            inputs = np.concatenate([inputs, of_more])[at]
+            found.append(hashes)
+            starts.append(own[1:] + total)
+            total += len(hashes)
+            for p, is_toxic, all_there in zip(parts, batch["toxic"], batch["whole"], strict=True):
+                document += [len(toxic)] * len(p)
+                toxic.append(is_toxic.as_py())
+                whole.append(all_there.as_py())
+        codes = np.searchsorted(keys, np.concatenate(found)).astype(np.int32)
+        del found, keys
+        inputs = np.concatenate([inputs, np.zeros((1, 6), np.float32)])
+        weights = learn(
+            codes, np.concatenate(starts), np.array(document, np.int64), inputs, np.array(toxic), np.array(whole, bool)
+        )
+        data = [w.astype(np.float32).tobytes() for w in weights.values()]
+        shapes = [list(w.shape) for w in weights.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(weights)), pa.array(shapes, pa.list_(pa.int32())), pa.array(data, pa.binary())],
+            ["name", "shape", "data"],
+        )
 
-    shape = "n int, hashes binary, starts binary, key binary, inputs binary"
-    made = shared.written(drawn.select("n", "parts").mapInArrow(run, shape), "taught")
-    keys, inputs = np.zeros(0, np.uint64), np.zeros((0, 6), np.float32)
-    for row in made.where("n is null").select("key", "inputs").toLocalIterator():
-        more = np.frombuffer(row["key"], np.uint64)
-        keys, at = np.unique(np.concatenate([keys, more]), return_index=True)
-        inputs = np.concatenate([inputs, np.frombuffer(row["inputs"], np.float32).reshape(-1, 6)])[at]
-    texts = made.where("n is not null").select("n", "hashes", "starts").toArrow().sort_by("n")
-    codes, starts, document = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
-    total = 0
-    for number, hashes, own in zip(texts["n"], texts["hashes"], texts["starts"], strict=True):
-        found = np.frombuffer(hashes.as_py(), np.uint64)
-        codes.append(np.searchsorted(keys, found).astype(np.int32))
-        own = np.frombuffer(own.as_py(), np.int64)
-        starts.append(own[1:] + total)
-        document.append(np.full(len(own) - 1, number.as_py()))
-        total += len(found)
-    inputs = np.concatenate([inputs, np.zeros((1, 6), np.float32)])
-    return np.concatenate(codes), np.concatenate(starts), np.concatenate(document), inputs
+    rows = drawn.repartition(1).sortWithinPartitions("n").select("toxic", "whole", "parts")
+    found = rows.mapInArrow(run, "name string, shape array<int>, data binary").collect()
+    return {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in found}
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> Model:
     """A model from labelled rows, as many characters of them as ``LEARN_SIZE``."""
     drawn = sample(docs, labels, folds)
-    marks = drawn.select("n", "toxic", "whole").toArrow().sort_by("n")
-    # Documents whose text is nowhere leave gaps in the numbers.
-    n = marks.num_rows
-    toxic = marks["toxic"].to_numpy()
-    n_toxic = int((toxic > 0).sum())
+    n_toxic, n = drawn.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     model = _statistics(drawn, n_toxic, n - n_toxic)
-    codes, starts, document, inputs = _taught(drawn, model, n)
-    place = np.searchsorted(marks["n"].to_numpy(), document)
-    whole = marks["whole"].to_numpy(zero_copy_only=False)
-    model.weights = learn(codes, starts, place, inputs, toxic, whole)
+    # Without rows a task may see nothing at all.
+    model.weights = _trained(drawn, model) or learn(*_NOTHING)
     return model
 
 
+_NOTHING = (
+    np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64),
+    np.zeros((1, 6), np.float32), np.zeros(0), np.zeros(0, bool),
+)
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row of (doc_id, text)."""
 
