@@ -579,12 +579,7 @@ def stream_reply_assembly(spark, sf):
     and last a chunk of nobody from which on all requests count as closed."""
     chunks = volume.chunks(spark, sf)
     week = F.floor((F.dayofmonth("started_at") - 1) / 8) + (F.col("seq") % 4 == 3).cast("int")
-    last = spark.range(1).select(
-        *(
-            F.lit("2024-06-01" if f.name == "started_at" else None).cast(f.dataType).alias(f.name)
-            for f in chunks.schema.fields
-        )
-    )
+    last = _nobody(spark, chunks, "started_at")
     stream = _arriving(spark, [*_by_part(chunks, week, 5), last], "chunks")
     out = session.work_dir(spark, "replies")
     replies = stream_replies.assemble(stream, delay="20 days")
@@ -594,6 +589,64 @@ def stream_reply_assembly(spark, sf):
     return spark.read.parquet(f"{out}/table").where("request_id is not null")
 
 
+def _nobody(spark: SparkSession, like: DataFrame, *times: str) -> DataFrame:
+    """A row of nobody at a time after which all that came before is over."""
+    return spark.range(1).select(
+        *(
+            F.lit("2024-06-01" if f.name in times else None).cast(f.dataType).alias(f.name)
+            for f in like.schema.fields
+        )
+    )
+
+
+@_register
+def stream_replies_by_silence(spark, sf):
+    """Chunks in the order of their arrival, in five parts."""
+    chunks = volume.arriving_chunks(spark, sf)
+    week = F.floor((F.dayofmonth("arrived_at") - 1) / 8)
+    last = _nobody(spark, chunks, "arrived_at", "started_at")
+    stream = _arriving(spark, [*_by_part(chunks, week, 4), last], "chunks")
+    out = session.work_dir(spark, "replies")
+    replies = stream_replies.assemble_by_silence(stream, "5 minutes", delay="20 days")
+    stream_replies.write_replies(
+        replies, f"{out}/table", f"{out}/checkpoint", available_now=True
+    ).awaitTermination()
+    return spark.read.schema(replies.schema).parquet(f"{out}/table").where("request_id is not null")
+
+
+@_register
+def stream_settle_messages(spark, sf):
+    """Admitted requests and their replies, both while they arrive; some replies never
+    begin."""
+    asked, chunks = volume.chat_requests(spark, sf), volume.reply_chunks(spark, sf)
+    week = F.floor(F.dayofmonth("created_at") / 8)
+    # Joins filter missing keys before the watermark sees them: a row of nobody needs some.
+    last = _nobody(spark, asked, "created_at").fillna(-1, ["user_id", "session_id"])
+    requests = _arriving(spark, [*_by_part(asked, week, 4), last], "asked")
+    pieces = _arriving(
+        spark,
+        [
+            *_by_part(chunks, F.floor(F.dayofmonth("started_at") / 8), 4),
+            _nobody(spark, chunks, "started_at").fillna(-1, ["request_id", "session_id"]),
+        ],
+        "chunks",
+    )
+    judged = gate.chat_decisions(
+        requests.withWatermark("created_at", "20 days"),
+        volume.users(spark, sf),
+        volume.sessions(spark, sf),
+        volume.usage_stats(spark, sf),
+        TODAY,
+    ).where(F.col("status") == 200)
+    replies = stream_replies.assemble(pieces, delay="20 days")
+    out = session.work_dir(spark, "answered")
+    pairs = chat.message_pairs(chat.answers_in_time(judged, replies, "10 minutes"))
+    stream_replies.write_replies(
+        pairs, f"{out}/table", f"{out}/checkpoint", available_now=True
+    ).awaitTermination()
+    return spark.read.schema(pairs.schema).parquet(f"{out}/table")
+
+
 def _requests_arriving(spark: SparkSession, sf: str) -> DataFrame:
     rows = volume.requests(spark, sf)
     return _arriving(spark, _by_part(rows, F.floor(F.dayofmonth("created_at") / 8), 4), "requests")

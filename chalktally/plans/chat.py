@@ -56,9 +56,30 @@ def answers(admitted: DataFrame, replies: DataFrame) -> DataFrame:
     """
     asked = admitted.select("request_id", "user_id", "session_id", "message", "created_at")
     got = replies.select("request_id", "reply", "prompt_tokens", "completion_tokens")
+    return _filled(asked.join(got, "request_id", "left"))
+
+
+def answers_in_time(admitted: DataFrame, replies: DataFrame, within: str) -> DataFrame:
+    """``answers`` on two streams, each with its watermark on ``created_at`` and
+    ``started_at``: a reply belongs to a request if it starts with it or up to
+    ``within`` later. A request is kept until its reply comes or, by both
+    watermarks, no longer can; then it has an empty reply."""
+    asked = admitted.select("request_id", "user_id", "session_id", "message", "created_at")
+    got = replies.select(
+        F.col("request_id").alias("_of"), "started_at", "reply", "prompt_tokens", "completion_tokens"
+    )
+    late = F.col("created_at") + F.expr(f"INTERVAL {within}")
+    same = (
+        (F.col("request_id") == F.col("_of"))
+        & (F.col("started_at") >= F.col("created_at"))
+        & (F.col("started_at") <= late)
+    )
+    return _filled(asked.join(got, same, "left").drop("_of", "started_at"))
+
+
+def _filled(answered: DataFrame) -> DataFrame:
     return (
-        asked.join(got, "request_id", "left")
-        .withColumn("reply", F.coalesce("reply", F.lit("")))
+        answered.withColumn("reply", F.coalesce("reply", F.lit("")))
         .withColumn("prompt_tokens", expr.tokens_or_default("prompt_tokens"))
         .withColumn("completion_tokens", expr.tokens_or_default("completion_tokens"))
         .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))

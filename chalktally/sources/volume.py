@@ -205,6 +205,16 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks_of(messages(spark, sf_dir))
 
 
+def arriving_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with the time they came at: forty seconds apart, and every fifth reply
+    is silent for ten minutes before its sixth chunk."""
+    pause = F.when((F.col("request_id") % 5 == 0) & (F.col("seq") >= 5), 600).otherwise(0)
+    seconds = (F.col("seq") * 40 + pause).cast("int")
+    return chunks(spark, sf_dir).withColumn(
+        "arrived_at", F.timestamp_add("SECOND", seconds, F.col("started_at"))
+    )
+
+
 def reply_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies to the requests: each gets the first model message of its session,
     but every eleventh nothing at all."""

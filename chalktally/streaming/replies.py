@@ -98,6 +98,36 @@ def assemble(chunks: DataFrame, delay: str | None = None) -> DataFrame:
     return _finish(grouped)
 
 
+def assemble_by_silence(chunks: DataFrame, gap: str, delay: str | None = None) -> DataFrame:
+    """Replies that end when no chunk has come for ``gap``: chunks carry the time
+    they came at, ``arrived_at``, and a slow reply stays open as long as it goes
+    on. What comes after a longer silence is a further row of the request; rows
+    have ``begun``, the arrival of their first chunk, and its token counts are
+    those of its own chunks.
+
+    With ``delay`` (streams) a row is written when the newest arrival lies that
+    far behind its gap; state is kept per request that isn't silent yet.
+    """
+    if delay is not None:
+        chunks = chunks.withWatermark("arrived_at", delay)
+    part = F.when(_has_text(), F.struct("seq", F.col("delta").alias("text")))
+    grouped = chunks.groupBy(
+        "request_id", "session_id", F.session_window("arrived_at", gap).alias("_open")
+    ).agg(
+        F.collect_list(part).alias("parts"),
+        F.max_by(_usage(), _usage_seq()).alias("usage"),
+    )
+    return _counts(grouped).select(
+        "request_id",
+        "session_id",
+        F.col("_open.start").alias("begun"),
+        _text("parts").alias("reply"),
+        "prompt_tokens",
+        "completion_tokens",
+        (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
+    )
+
+
 def assemble_batch(chunks: DataFrame, piece: int = PIECE) -> DataFrame:
     """``assemble`` for chunks at rest. Chunks are first joined to pieces of
     ``piece`` chunks, so even one endless reply is spread over many tasks and
@@ -129,7 +159,7 @@ def assemble_for(admitted: DataFrame, chunks: DataFrame, piece: int = PIECE) ->
 def write_replies(
     replies: DataFrame, out: str, checkpoint: str, available_now: bool = False
 ) -> StreamingQuery:
-    """Append every completed reply to a table, once."""
+    """Append every completed reply, or other rows of a stream, to a table, once."""
     writer = (
         replies.writeStream.outputMode("append")
         .format("parquet")

@@ -534,6 +534,33 @@ SQL = {
           d.reply, d.prompt_tokens, d.completion_tokens,
           d.prompt_tokens + d.completion_tokens, strftime(d.created_at, {_STAMP})
         FROM v_answers d""",
+    "stream_settle_messages": f"""
+        SELECT CONCAT(CAST(d.request_id AS VARCHAR), ':user') AS id, d.session_id,
+          'user' AS sender, CONCAT('Question ', CAST(d.request_id AS VARCHAR)) AS content,
+          CAST(NULL AS INT) AS prompt_tokens, CAST(NULL AS INT) AS completion_tokens,
+          CAST(NULL AS INT) AS total_tokens, strftime(d.created_at, {_STAMP}) AS created_at
+        FROM v_answers d
+        UNION ALL SELECT CONCAT(CAST(d.request_id AS VARCHAR), ':llm'), d.session_id, 'llm',
+          d.reply, d.prompt_tokens, d.completion_tokens,
+          d.prompt_tokens + d.completion_tokens, strftime(d.created_at, {_STAMP})
+        FROM v_answers d""",
+    "stream_replies_by_silence": f"""
+        SELECT request_id, session_id, strftime(min(arrived_at), {_STAMP}) AS begun,
+          string_agg(delta, '' ORDER BY seq) AS reply,
+          CASE WHEN max(p) IS NULL OR max(p) = 0 THEN 10 ELSE max(p) END AS prompt_tokens,
+          CASE WHEN max(c) IS NULL OR max(c) = 0 THEN 10 ELSE max(c) END AS completion_tokens,
+          CASE WHEN max(p) IS NULL OR max(p) = 0 THEN 10 ELSE max(p) END
+            + CASE WHEN max(c) IS NULL OR max(c) = 0 THEN 10 ELSE max(c) END AS total_tokens
+        FROM (
+          SELECT id AS request_id, session_id, seq,
+            words[seq + 1] || CASE WHEN seq < pieces - 1 THEN ' ' ELSE '' END AS delta,
+            CASE WHEN seq = pieces - 1 AND id % 3 <> 0 THEN prompt_tokens END AS p,
+            CASE WHEN seq = pieces - 1 AND id % 3 <> 0 THEN completion_tokens END AS c,
+            CAST(created_date AS TIMESTAMP) + to_minutes(turn) + to_seconds(seq * 40 + CASE WHEN id % 5 = 0 AND seq >= 5 THEN 600 ELSE 0 END) AS arrived_at
+          FROM (SELECT *, len(words) AS pieces, unnest(generate_series(0, len(words) - 1)) AS seq
+                FROM (SELECT *, string_split(content, ' ') AS words FROM v_messages WHERE sender = 'llm') a) b
+          WHERE id % 7 <> 0 OR seq < 3) x
+        GROUP BY request_id, session_id, CASE WHEN request_id % 5 = 0 AND seq >= 5 THEN 1 ELSE 0 END""",
     "settle_usage": """
         SELECT user_id, strftime(date, '%Y-%m-%d') AS date,
           CAST(SUM(tokens) AS BIGINT) AS tokens_used, CAST(SUM(n) AS INT) AS request_count
