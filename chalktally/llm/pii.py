@@ -38,7 +38,12 @@ _NAME = r"\p{Lu}[\p{L}'’-]+(?:[ ]\p{Lu}[\p{L}'’-]+){0,2}"
 _TITLE = "|".join((*MALE_TITLES, *FEMALE_TITLES))
 # In the order in which a piece of text is judged.
 PATTERNS = {
-    "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # Bounds of the format: 64 characters before the sign, labels of 63, at most 127 of
+    # them. It starts at an edge, so a long run is not tried from each of its letters.
+    "email": (
+        r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?"
+        r"@(?:[A-Za-z0-9-]{1,63}+\.){1,127}[A-Za-z]{2,63}"
+    ),
     "secret": (
         r"(?<=\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key|key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
         r"[A-Za-z0-9_+/=-]{8,}"
@@ -105,23 +110,84 @@ def _spelled(entity: Column, stream: Column, keep: Column, hexadecimal: Column)
     ``keep`` of them and all signs stay. The draw goes by how many letters and
     digits stand before, so it is the same in every spelling."""
 
-    def one(i):
-        c = F.substr(entity, i, F.lit(1))
-        place = F.length(F.regexp_replace(F.substr(entity, F.lit(1), i), r"[^0-9A-Za-z]", "")) - 1
-        letter = F.when(hexadecimal, _number(stream, place, 6)).otherwise(_number(stream, place, 26))
-        return (
-            F.when(place < keep, c)
-            .when(c.rlike("[0-9]"), F.char(_number(stream, place, 10) + 48))
-            .when(c.rlike("[a-z]"), F.char(letter + 97))
-            .when(c.rlike("[A-Z]"), F.char(letter + 65))
-            .otherwise(c)
-        )
+    # Bound once: in a function of a character they would be worked out for each.
+    given = F.struct(
+        entity.alias("text"), stream.alias("stream"), keep.alias("keep"), hexadecimal.alias("hex")
+    )
+
+    def spelled(g: Column) -> Column:
+        def one(c: Column, place: Column) -> Column:
+            letter = F.when(g["hex"], _number(g["stream"], place, 6)).otherwise(
+                _number(g["stream"], place, 26)
+            )
+            return (
+                F.when(place < g["keep"], c)
+                .when(c.rlike("[0-9]"), F.char(_number(g["stream"], place, 10) + 48))
+                .when(c.rlike("[a-z]"), F.char(letter + 97))
+                .when(c.rlike("[A-Z]"), F.char(letter + 65))
+                .otherwise(c)
+            )
+
+        def drawn(chars: Column) -> Column:
+            counts = F.transform(chars, lambda c: c.rlike("[0-9A-Za-z]").cast("int"))
+            return F.array_join(F.zip_with(chars, shared.sums_before(counts), one), "")
+
+        return shared.let(_characters(g["text"]), drawn)
+
+    return shared.let(given, spelled)
+
+
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def _checksum(digits: Column) -> Column:
+    """Sum of the digits of a card, every second one from the last doubled."""
+    turned = F.reverse(_characters(digits))
+
+    def value(d: Column, i: Column) -> Column:
+        n = d.cast("int") * (1 + i % 2)
+        return F.when(n > 9, n - 9).otherwise(n)
+
+    return F.aggregate(F.transform(turned, value), F.lit(0), lambda a, n: a + n) % 10
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), one), "")
 
+def _checked_card(entity: Column, drawn: Column) -> Column:
+    """The last digit such that the checksum is right, if it was before."""
 
-def _name(entity: Column, gender: Column, stream: Column) -> Column:
-    """A given name of the gender, and a family name if there are two words."""
+    def digits(text: Column) -> Column:
+        return F.regexp_replace(text, "[^0-9]", "")
+
+    head = F.left(drawn, F.length(drawn) - 1)
+    last = F.pmod(10 - _checksum(F.concat(digits(head), F.lit("0"))), F.lit(10))
+    return F.when(
+        _checksum(digits(entity)) == 0, F.concat(head, last.cast("string"))
+    ).otherwise(drawn)
+
+
+def _checked_iban(entity: Column, drawn: Column) -> Column:
+    """Both check digits such that the rest modulo 97 is right, if it was before."""
+
+    def rest(text: Column, check: Column) -> Column:
+        bare = F.regexp_replace(text, " ", "")
+        turned = F.concat(F.substr(bare, F.lit(5)), F.left(bare, F.lit(2)), check)
+
+        def on(left: Column, c: Column) -> Column:
+            letter = F.ascii(c) - 55
+            return F.when(c.rlike("[0-9]"), left * 10 + c.cast("int")).otherwise(left * 100 + letter) % 97
+
+        return F.aggregate(_characters(turned), F.lit(0), on)
+
+    given = F.substr(entity, F.lit(3), F.lit(2))
+    check = F.lpad((98 - rest(drawn, F.lit("00"))).cast("string"), 2, "0")
+    return F.when(
+        rest(entity, given) == 1, F.concat(F.left(drawn, F.lit(2)), check, F.substr(drawn, F.lit(5)))
+    ).otherwise(drawn)
+
+
+def _name(entity: Column, gender: Column, stream: Column, attempt: Column) -> Column:
+    """A given name of the gender, and a family name if there are two words. Every
+    further draw has a syllable more to choose, so there are always free names."""
     cyrillic = entity.rlike(r"\p{IsCyrillic}")
     two = F.contains(entity, F.lit(" "))
 
@@ -133,7 +199,12 @@ def _name(entity: Column, gender: Column, stream: Column) -> Column:
         ).otherwise(F.get(lists["male"], _number(stream, F.lit(0), size)))
         parts = F.array(*map(F.lit, SYLLABLES[script].split()))
         family = F.initcap(
-            F.concat(*(F.get(parts, _number(stream, F.lit(i), 20)) for i in range(1, 5)))
+            F.array_join(
+                F.transform(
+                    F.sequence(F.lit(1), attempt + 4), lambda i: F.get(parts, _number(stream, i, 20))
+                ),
+                "",
+            )
         )
         return F.when(two, F.concat_ws(" ", given, family)).otherwise(family)
 
@@ -161,20 +232,28 @@ def surrogate(entity: Column, kind: Column, gender: Column, attempt: Column, key
             F.concat(_spelled(local, stream, none, plain), F.lit("@"), _spelled(rest, of_domain, none, plain), top),
         )
         .when(kind == "ip", octets)
-        .when(kind == "name", _name(entity, gender, stream))
+        .when(kind == "name", _name(entity, gender, stream, attempt))
         .when(kind == "phone", _spelled(entity, stream, code, plain))
-        .when(kind == "iban", _spelled(entity, stream, F.lit(2), plain))
+        .when(kind == "iban", shared.let(_spelled(entity, stream, F.lit(2), plain), lambda d: _checked_iban(entity, d)))
+        .when(kind == "card", shared.let(_spelled(entity, stream, none, plain), lambda d: _checked_card(entity, d)))
         .otherwise(_spelled(entity, stream, none, entity.rlike("^[0-9a-fA-F]+$")))
     )
 
 
+def _row() -> Column:
+    """128 bits of a row's id and text, by which it is found again."""
+    return F.struct(
+        F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b")
+    )
+
+
 def _found(docs: DataFrame) -> DataFrame:
     """(row, at, entity, kind, gender, norm) per entity of every document."""
     text = F.col("text").cast("string")
     before = F.get(F.split("_t", ANY, -1), F.col("at"))
     gender = F.when(before.rlike(rf"\b(?:{'|'.join(FEMALE_TITLES)})\.?[ ]$"), "female").otherwise("male")
     return (
-        docs.select(F.xxhash64("doc_id", "text").alias("row"), text.alias("_t"))
+        docs.select(_row().alias("row"), text.alias("_t"))
         .withColumn("_e", entities(F.col("_t")))
         # Outer, as a filter for non-empty arrays would search every text again.
         .select("row", "_t", F.posexplode_outer("_e").alias("at", "entity"))
@@ -219,7 +298,8 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text with surrogates,
     n_entities, and kinds, the kinds found, in order, with commas between.
 
-    Texts without entities come back as they are, a null text as null. The same
+    Texts without entities come back as they are, a null text as null. Work grows with
+    the length of a text, also of one without blanks. The same
     entity has the same surrogate in all documents; whoever has the key can draw
     it again, others can't. Rows with the same doc_id are treated apart. Other
     columns are not looked at; an empty table gives an empty result.
@@ -239,7 +319,7 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
         "",
     )
     return (
-        docs.select("doc_id", F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("row"))
+        docs.select("doc_id", F.col("text").cast("string"), _row().alias("row"))
         .join(by_row, "row", "left")
         .select(
             "doc_id",

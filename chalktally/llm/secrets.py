@@ -25,10 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalktally.llm.shared import let
+from chalktally.llm.shared import let, sums_before
 
 TILE = 512
-BLOCK = 128
 MILLION = 1_000_000
 
 # The base kinds, in the order of their report.
@@ -93,28 +92,6 @@ def scaled(count: int) -> int:
     return round(count * math.log2(count) * MILLION) if count else 0
 
 
-def _before(sizes: Column) -> Column:
-    """For each size the sum of all before it, by blocks."""
-
-    def within(block: Column, start: Column) -> Column:
-        sums = F.aggregate(
-            block,
-            F.array(start),
-            lambda acc, x: F.array_append(acc, F.element_at(acc, F.lit(-1)) + x),
-        )
-        return F.slice(sums, F.lit(1), F.size(block))
-
-    def blocks(sizes: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(BLOCK))
-        return F.transform(starts, lambda i: F.slice(sizes, i + 1, F.lit(BLOCK)))
-
-    def summed(parts: Column) -> Column:
-        totals = F.transform(parts, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-        return F.flatten(F.zip_with(parts, within(totals, F.lit(0)), within))
-
-    return let(sizes, lambda s: let(blocks(s), summed))
-
-
 def _spans_of(parts: Column, found: Column) -> Column:
     """(start, end, found, before) from the pieces between matches and the matches."""
     # A piece and the match after it are one step.
@@ -132,7 +109,7 @@ def _spans_of(parts: Column, found: Column) -> Column:
             ),
         )
 
-    return let(_before(sizes), placed)
+    return let(sums_before(sizes), placed)
 
 
 _SPANS = "array<struct<start:int,end:int,found:string,before:string>>"

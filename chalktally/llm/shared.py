@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BLOCK = 128
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,3 +51,26 @@ def held_out(doc_id: str, folds: int) -> Column:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each size the sum of all before it, by blocks, so that the work grows
+    with the number of sizes."""
+
+    def within(block: Column, start: Column) -> Column:
+        sums = F.aggregate(
+            block,
+            F.array(start),
+            lambda acc, x: F.array_append(acc, F.element_at(acc, F.lit(-1)) + x),
+        )
+        return F.slice(sums, F.lit(1), F.size(block))
+
+    def blocks(sizes: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(BLOCK))
+        return F.transform(starts, lambda i: F.slice(sizes, i + 1, F.lit(BLOCK)))
+
+    def summed(parts: Column) -> Column:
+        totals = F.transform(parts, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(parts, within(totals, F.lit(0)), within))
+
+    return let(sizes, lambda s: let(blocks(s), summed))

@@ -1,4 +1,5 @@
 import re
+import time
 
 from chalktally.llm import pii, queries
 
@@ -76,3 +77,49 @@ def test_empty_table_and_repeated_ids(spark):
     got = pii.with_surrogates(df, "k").collect()
     assert len(got) == 3 and len({r.text for r in got}) == 2
     assert pii.with_surrogates(df.limit(0), "k").isEmpty()
+
+
+def luhn(digits):
+    turned = [int(d) * (1 + i % 2) for i, d in enumerate(digits[::-1])]
+    return sum(n - 9 if n > 9 else n for n in turned) % 10 == 0
+
+
+def iban_rest(text):
+    bare = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97
+
+
+def test_check_digits(spark):
+    cards = ["4539 5787 6362 1486", "4539578763621486", "5500-0000-0000-0004", "4444 3333 2222 1112"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "DE00370400440532013000"]
+    assert [luhn(re.sub(r"\D", "", c)) for c in cards] == [True] * 3 + [False]
+    assert [iban_rest(i) for i in ibans][:2] == [1, 1]
+    got = replaced(spark, [f"pay {x} now" for x in cards + ibans])
+    new = [t[4:-4] for t in got]
+    for old, text in zip(cards + ibans, new, strict=True):
+        assert old != text and re.sub("[0-9]", "0", old) == re.sub("[0-9]", "0", text) or old.startswith("GB")
+    assert all(luhn(re.sub(r"\D", "", t)) for t in new[:3])
+    assert new[0].replace(" ", "") == new[1]
+    assert [iban_rest(t) for t in new[4:6]] == [1, 1]
+
+
+def test_long_runs_take_seconds(spark):
+    texts = [
+        "x" * 1_000_000,
+        "0123456789abcdef" * 6000,
+        "x@" + "a." * 10_000 + "com",
+        'token = "' + "aB3" * 33_000 + '"',
+        "a.b_" * 100_000 + "@example.org",
+        "-" * 500_000 + "@" * 1000,
+        "Mr " + "A" * 200_000,
+        "1" * 300_000,
+        "+1 " * 100_000,
+        "see ann@example.org." + " " * 500_000,
+    ]
+    started = time.time()
+    got = replaced(spark, texts)
+    assert time.time() - started < 180
+    assert got[0] == texts[0] and got[7] == texts[7]
+    assert len(got[1]) == len(texts[1]) and got[1] != texts[1] and re.fullmatch("[0-9a-f]+", got[1])
+    assert len(got[3]) == len(texts[3]) and got[3] != texts[3]
+    assert "ann@example.org" not in got[9] and got[9].endswith(".org." + " " * 500_000)
