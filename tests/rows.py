@@ -31,24 +31,39 @@ def tables(spark, **given) -> tb.Tables:
     return tb.Tables(*(table(spark, name, given.get(name, ())) for name in tb.Tables._fields))
 
 
-def school(spark) -> tb.Tables:
-    """One class: admin, teacher, two students and a deleted one; the first
-    student has usage, a session with two messages and a rule."""
+def academy(spark) -> tb.Tables:
+    """A music course: an admin, two teachers, three students and one who left. One
+    student is close to a small quota and has two sessions, another only asked
+    yesterday and waits for an answer, the third has nothing. One rule is for a
+    student, one for all, one is switched off."""
     return tables(
         spark,
         users=[
-            user("root_a", "admin"),
-            user("lena", "teacher"),
-            user("mira"),
-            user("tomas"),
-            user("olga", deleted=True),
+            user("vega", "admin"),
+            user("pilar", "teacher"),
+            user("quentin", "teacher", quota=900),
+            user("chen", quota=300),
+            user("ana"),
+            user("boris", quota=0),
+            user("dora", deleted=True),
+        ],
+        teacher_rules=[
+            ("r1", "pilar", "chen", '{"style": "haiku", "max": 3}', True),
+            ("r2", "quentin", None, "no spoilers", True),
+            ("r3", "pilar", "ana", "[]", False),
+        ],
+        usage_stats=[("chen", TODAY, 280, 9), ("ana", TODAY - dt.timedelta(days=1), 77, 3)],
+        sessions=[
+            ("s1", "chen", None, "Scales", False, at(0)),
+            ("s2", "ana", None, None, False, at(2)),
+            ("s3", "chen", None, "Chords", False, at(4)),
         ],
-        teacher_rules=[("r1", "lena", "mira", '{"instruction": "Answer in two lines"}', True)],
-        usage_stats=[("mira", TODAY, 1234, 5)],
-        sessions=[("s1", "mira", None, "Fractions", False, at(0))],
         messages=[
-            message("m1", "s1", "user", "Hello", 0),
-            message("m2", "s1", "llm", "Hi there!", 0, (10, 5)),
+            message("m1", "s1", "user", "What is a fifth?", 0),
+            message("m2", "s1", "llm", "Seven semitones.", 0, (40, 8)),
+            message("m3", "s3", "user", "And a fourth?", 4),
+            message("m4", "s3", "llm", "Five.", 4, (12, 3)),
+            message("m5", "s2", "user", "Which key is this in?", 2),
         ],
     )
 

@@ -21,12 +21,12 @@ from chalktally.operators import (
 from chalktally.plans import audit, chat, overview
 from chalktally.sources import seed
 from chalktally.sources import tables as tb
-from rows import TODAY, as_dict, as_set, at, message, school, table, tables, user
+from rows import TODAY, academy, as_dict, as_set, at, message, table, tables, user
 
 
 @pytest.fixture
 def room(spark):
-    return school(spark)
+    return academy(spark)
 
 
 # --- users and usage -------------------------------------------------------
@@ -34,29 +34,29 @@ def room(spark):
 
 def test_active_users_leave_out_the_deleted(room):
     assert as_set(users.active(room.users), "id") == {
-        ("root_a",), ("lena",), ("mira",), ("tomas",)
+        ("vega",), ("pilar",), ("quentin",), ("chen",), ("ana",), ("boris",)
     }
-    assert users.active_count(room.users).collect()[0].active_users == 4
+    assert users.active_count(room.users).collect()[0].active_users == 6
     assert "hashed_password" not in users.active(room.users).columns
 
 
-def test_overview_has_every_live_mirand_zero_without_usage(room):
+def test_overview_shows_students_without_usage_as_zero(room):
     got = overview.student_overview(room.users, room.usage_stats, TODAY)
     assert as_set(got, "id", "tokens_used_today", "request_count_today", "band") == {
-        ("mira", 1234, 5, "ok"), ("tomas", 0, 0, "ok")
+        ("chen", 280, 9, "danger"), ("ana", 0, 0, "ok"), ("boris", 0, 0, "ok")
     }
 
 
 def test_overview_does_not_count_other_days(room):
     got = usage.student_overview(room.users, room.usage_stats, TODAY - dt.timedelta(days=1))
-    assert as_dict(got, "id", "tokens_used_today") == {"mira": 0, "tomas": 0}
+    assert as_dict(got, "id", "tokens_used_today") == {"chen": 0, "ana": 77, "boris": 0}
 
 
 def test_quota_use_is_for_every_role(room):
     got = usage.quota_use(room.users, room.usage_stats, TODAY)
     assert as_set(got, "id", "used", "limit") == {
-        ("root_a", 0, 50_000), ("lena", 0, 50_000),
-        ("mira", 1234, 50_000), ("tomas", 0, 50_000),
+        ("vega", 0, 50_000), ("pilar", 0, 50_000), ("quentin", 0, 900),
+        ("chen", 280, 300), ("ana", 0, 50_000), ("boris", 0, 0),
     }
 
 
@@ -72,26 +72,26 @@ def test_quota_share_bounds(spark):
 
 
 def test_resolve_names_ignores_deleted_accounts(spark, room):
-    names = spark.createDataFrame([("mira",), ("olga",), ("nobody",)], "username string")
+    names = spark.createDataFrame([("chen",), ("dora",), ("nobody",)], "username string")
     assert as_dict(users.resolve_names(names, room.users), "username", "user_id") == {
-        "mira": "mira", "olga": None, "nobody": None
+        "chen": "chen", "dora": None, "nobody": None
     }
 
 
 def test_usage_of_messages_counts_model_rows_only(room):
     got = usage.rollup(room.messages, room.sessions)
     assert as_set(got, "user_id", "date", "tokens_used", "request_count") == {
-        ("mira", TODAY, 15, 1)
+        ("chen", TODAY, 63, 2)
     }
 
 
 def test_merge_adds_to_a_day_and_inserts_another(spark, room):
     delta = table(
-        spark, "usage_stats", [("mira", TODAY, 6, 1), ("tomas", TODAY, 20, 1)]
+        spark, "usage_stats", [("chen", TODAY, 6, 1), ("ana", TODAY, 20, 1)]
     )
     twice = usage.merge(usage.merge(room.usage_stats, delta), delta)
     assert as_set(twice, "user_id", "tokens_used", "request_count") == {
-        ("mira", 1246, 7), ("tomas", 40, 2)
+        ("chen", 292, 11), ("ana", 40, 2), ("ana", 77, 3)
     }
 
 
@@ -99,32 +99,32 @@ def test_merge_adds_to_a_day_and_inserts_another(spark, room):
 
 
 def test_role_gates(spark, room):
-    callers = ["root_a", "lena", "mira", "olga", "ghost"]
+    callers = ["vega", "quentin", "boris", "dora", "ghost"]
     asked = spark.createDataFrame(
         [(u, g) for u in callers for g in ("user", "teacher", "admin")], "user_id string, gate string"
     )
     got = as_set(gate.role_decisions(asked, room.users, "gate"), "user_id", "gate", "status")
     assert got == {
-        ("root_a", "user", 200), ("root_a", "teacher", 200), ("root_a", "admin", 200),
-        ("lena", "user", 200), ("lena", "teacher", 200), ("lena", "admin", 403),
-        ("mira", "user", 200), ("mira", "teacher", 403), ("mira", "admin", 403),
-        ("olga", "user", 401), ("olga", "teacher", 401), ("olga", "admin", 401),
+        ("vega", "user", 200), ("vega", "teacher", 200), ("vega", "admin", 200),
+        ("quentin", "user", 200), ("quentin", "teacher", 200), ("quentin", "admin", 403),
+        ("boris", "user", 200), ("boris", "teacher", 403), ("boris", "admin", 403),
+        ("dora", "user", 401), ("dora", "teacher", 401), ("dora", "admin", 401),
         ("ghost", "user", 401), ("ghost", "teacher", 401), ("ghost", "admin", 401),
     }
 
 
 def test_own_accounts(spark, room):
-    asked = spark.createDataFrame([("mira",), ("olga",), ("ghost",)], "user_id string")
+    asked = spark.createDataFrame([("ana",), ("dora",), ("ghost",)], "user_id string")
     assert as_set(gate.own_accounts(asked, room.users), "user_id", "username", "status") == {
-        ("mira", "mira", 200), ("olga", None, 401), ("ghost", None, 401)
+        ("ana", "ana", 200), ("dora", None, 401), ("ghost", None, 401)
     }
 
 
 def test_areas_by_role(room):
     assert as_set(gate.areas(room.users), "id", "area") == {
-        ("root_a", "Admin Panel"), ("root_a", "Teacher Console"), ("root_a", "AI Chat"),
-        ("lena", "Teacher Console"), ("lena", "AI Chat"),
-        ("mira", "AI Chat"), ("tomas", "AI Chat"),
+        ("vega", "Admin Panel"), ("vega", "Teacher Console"), ("vega", "AI Chat"),
+        *((t, area) for t in ("pilar", "quentin") for area in ("Teacher Console", "AI Chat")),
+        ("chen", "AI Chat"), ("ana", "AI Chat"), ("boris", "AI Chat"),
     }
 
 
@@ -191,11 +191,11 @@ def test_session_read_gate(spark, lounge):
 
 def test_audit_gate(spark, room):
     asked = spark.createDataFrame(
-        [("mira",), ("tomas",), ("lena",), ("olga",), ("ghost",)],
+        [("chen",), ("boris",), ("pilar",), ("dora",), ("ghost",)],
         "student_id string",
     )
     assert as_dict(gate.audit_decisions(asked, room.users), "student_id", "status") == {
-        "mira": 200, "tomas": 200, "lena": 404, "olga": 404, "ghost": 404
+        "chen": 200, "boris": 200, "pilar": 404, "dora": 404, "ghost": 404
     }
 
 
@@ -320,23 +320,23 @@ def test_payload(spark, lounge):
 def test_settle_stores_pairs_and_charges_once(spark, lounge):
     asked = _requests(spark, [("one", "s1", "What is a prime?"), ("two", "s2", "cut off")])
     replies = spark.createDataFrame(
-        [(0, "A number with", 10, 2)],
+        [(0, "One with two divisors.", 33, 6)],
         "request_id long, reply string, prompt_tokens int, completion_tokens int",
     )
     stats = table(spark, "usage_stats", [("two", TODAY, 1, 1)])
     got = chat.settle(asked, replies, stats)
     assert as_set(got.messages, "id", "sender", "content", "prompt_tokens", "completion_tokens", "total_tokens") == {
         ("0:user", "user", "What is a prime?", None, None, None),
-        ("0:llm", "llm", "A number with", 10, 2, 12),
+        ("0:llm", "llm", "One with two divisors.", 33, 6, 39),
         ("1:user", "user", "cut off", None, None, None),
         ("1:llm", "llm", "", 10, 10, 20),
     }
     assert as_set(got.usage_stats, "user_id", "tokens_used", "request_count") == {
-        ("one", 12, 1), ("two", 21, 2)
+        ("one", 39, 1), ("two", 21, 2)
     }
     both = lounge.messages.unionByName(got.messages)
     texts = [m.content for m in sessions.with_messages(lounge.sessions, both).where("id = 's1'").collect()[0].messages]
-    assert texts == ["hi", "hello", "What is a prime?", "A number with"]
+    assert texts == ["hi", "hello", "What is a prime?", "One with two divisors."]
 
 
 # --- sessions --------------------------------------------------------------
@@ -344,11 +344,11 @@ def test_settle_stores_pairs_and_charges_once(spark, lounge):
 
 def test_listing_newest_first(spark):
     rows = [
-        ("a", "u", None, "Math Help", False, at(0)),
-        ("b", "u", None, "Science Help", False, at(5)),
+        ("a", "u", None, "Tides", False, at(0)),
+        ("b", "u", None, "Moons", False, at(5)),
         ("d", "u", None, None, False, at(5)),
         ("c", "u", None, "gone", True, at(9)),
-        ("e", "v", None, "History Help", False, at(1)),
+        ("e", "v", None, "Comets", False, at(1)),
     ]
     df = table(spark, "sessions", rows)
     got = [(r.user_id, r.id) for r in sessions.listing(df).collect()]
@@ -360,18 +360,19 @@ def test_audit_is_for_live_students(spark, room):
     extra = table(
         spark,
         "sessions",
-        [("x1", "lena", None, "t", False, at(1)), ("x2", "olga", None, "d", False, at(1)),
-         ("x3", "mira", None, "", False, at(1)), ("x4", "mira", None, "del", True, at(1))],
+        [("x1", "pilar", None, "t", False, at(1)), ("x2", "dora", None, "d", False, at(1)),
+         ("x3", "boris", None, "", False, at(1)), ("x4", "chen", None, "del", True, at(1))],
     )
     every = room.sessions.unionByName(extra)
-    assert [r.id for r in sessions.audit(every, room.users).collect()] == ["x3", "s1"]
+    assert [r.id for r in sessions.audit(every, room.users).collect()] == ["s2", "x3", "s3", "s1"]
     nested = audit.student_history(every, room.users, room.messages)
     assert {(r.id, r.label): len(r.messages) for r in nested.collect()} == {
-        ("s1", "Fractions"): 2, ("x3", "Untitled Session"): 0
+        ("s1", "Scales"): 2, ("s2", "Untitled Session"): 1, ("s3", "Chords"): 2,
+        ("x3", "Untitled Session"): 0,
     }
     counts = sessions.summary(every, room.messages)
-    assert as_set(counts.where("user_id = 'mira'"), "id", "title", "message_count") == {
-        ("s1", "Fractions", 2), ("x3", "Untitled Session", 0)
+    assert as_set(counts.where("user_id in ('chen', 'boris')"), "id", "title", "message_count") == {
+        ("s1", "Scales", 2), ("s3", "Chords", 2), ("x3", "Untitled Session", 0)
     }
 
 
@@ -390,8 +391,8 @@ def test_create_users(spark, room):
         [
             (1, "n1", "fresh", None, None),
             (2, "n2", "fresh", "teacher", 5),
-            (3, "n3", "mira", None, None),
-            (4, "n4", "olga", None, None),
+            (3, "n3", "chen", None, None),
+            (4, "n4", "dora", None, None),
             (5, "n5", "", None, None),
             (6, "n6", "x" * 151, None, None),
             (7, "n7", "neg", None, -5),
@@ -409,7 +410,7 @@ def test_create_users(spark, room):
     assert as_set(fresh, "id", "username", "role", "daily_token_quota", "is_deleted") == {
         ("n1", "fresh", "student", 50_000, False), ("n10", "later", "admin", 0, False)
     }
-    assert got.snapshot.count() == 7
+    assert got.snapshot.count() == 9
 
 
 def test_seed_accounts_fit_an_empty_installation_once(spark):
@@ -420,25 +421,26 @@ def test_seed_accounts_fit_an_empty_installation_once(spark):
 
 
 def test_set_quota(spark, room):
-    rows = [(1, "mira", 10), (3, "mira", 30), (2, "mira", 20), (4, "mira", -5),
-            (5, "olga", 7), (6, "ghost", 7), (7, "lena", 0), (8, "root_a", None)]
+    rows = [(1, "chen", 10), (3, "chen", 35), (2, "chen", 20), (4, "chen", -5),
+            (5, "dora", 7), (6, "ghost", 7), (7, "quentin", 0), (8, "vega", None)]
     df = spark.createDataFrame(rows, "change_id long, user_id string, daily_token_quota int")
     got = changes.set_quota(room.users, df)
     assert as_dict(got.statuses, "change_id", "status") == {
         1: 200, 2: 200, 3: 200, 4: 422, 5: 404, 6: 404, 7: 200, 8: 422
     }
     assert as_dict(got.snapshot, "id", "daily_token_quota") == {
-        "mira": 30, "tomas": 50_000, "olga": 50_000, "lena": 0, "root_a": 50_000
+        "vega": 50_000, "pilar": 50_000, "quentin": 0,
+        "chen": 35, "ana": 50_000, "boris": 0, "dora": 50_000,
     }
 
 
 def test_soft_delete_keeps_the_row(spark, room):
-    rows = [(1, "mira"), (2, "mira"), (3, "olga"), (4, "ghost")]
+    rows = [(1, "ana"), (2, "ana"), (3, "dora"), (4, "ghost")]
     df = spark.createDataFrame(rows, "change_id long, user_id string")
     got = changes.soft_delete(room.users, df)
     assert as_dict(got.statuses, "change_id", "status") == {1: 204, 2: 404, 3: 404, 4: 404}
     assert as_dict(got.snapshot, "id", "is_deleted") == {
-        "root_a": False, "lena": False, "mira": True, "tomas": False, "olga": True
+        **dict.fromkeys(("vega", "pilar", "quentin", "chen", "boris"), False), "ana": True, "dora": True
     }
 
 
@@ -458,51 +460,51 @@ def test_toggles(spark, staff):
 
 def test_create_sessions_and_rules(spark, room):
     new = spark.createDataFrame(
-        [("n1", "tomas", None, at(1)), ("n2", "tomas", "t" * 256, at(1)), ("n3", "tomas", "t" * 255, at(1))],
+        [("n1", "boris", None, at(1)), ("n2", "boris", "t" * 256, at(1)), ("n3", "boris", "t" * 255, at(1))],
         "id string, user_id string, title string, created_at timestamp",
     )
     got = changes.create_sessions(room.sessions, new)
     assert as_dict(got.statuses, "id", "status") == {"n1": 201, "n2": 422, "n3": 201}
-    assert as_set(got.snapshot, "id", "is_deleted") == {("s1", False), ("n1", False), ("n3", False)}
+    assert as_set(got.snapshot, "id", "is_deleted") == {
+        *((s, False) for s in ("s1", "s2", "s3", "n1", "n3"))
+    }
     wanted = spark.createDataFrame(
-        [("q1", "lena", None, {"k": "v"}, None), ("q2", "lena", "tomas", {}, False)],
+        [("q1", "pilar", None, {"k": "v"}, None), ("q2", "pilar", "boris", {}, False)],
         "id string, teacher_id string, student_id string, rules_json map<string,string>, is_active boolean",
     )
     got = changes.create_rules(room.teacher_rules, wanted)
     assert as_set(got.snapshot.where("id like 'q%'"), "id", "student_id", "rules_json", "is_active") == {
-        ("q1", None, '{"k":"v"}', True), ("q2", "tomas", "{}", False)
+        ("q1", None, '{"k":"v"}', True), ("q2", "boris", "{}", False)
     }
 
 
 def test_bind_needs_an_admitted_request(spark, room):
-    some = spark.createDataFrame([("s1",), ("s1",)], "session_id string")
+    some = spark.createDataFrame([("s1",), ("s2",), ("s1",)], "session_id string")
     got = changes.bind_rules(room.sessions, room.users, room.teacher_rules, some)
-    assert as_dict(got, "id", "applied_rule_id") == {"s1": "r1"}
+    assert as_dict(got, "id", "applied_rule_id") == {
+        "s1": "r1", "s2": "r2", "s3": None
+    }
     got = changes.bind_rules(room.sessions, room.users, room.teacher_rules, some.limit(0))
-    assert as_dict(got, "id", "applied_rule_id") == {"s1": None}
+    assert as_dict(got, "id", "applied_rule_id") == dict.fromkeys(("s1", "s2", "s3"))
 
 
 def test_purge_takes_everything_along(spark, room):
     more = room._replace(
         sessions=room.sessions.unionByName(
-            table(spark, "sessions", [("s2", "tomas", "r1", None, False, at(1)),
-                                      ("s3", "tomas", "r2", None, False, at(1))])
-        ),
-        teacher_rules=room.teacher_rules.unionByName(
-            table(spark, "teacher_rules", [("r2", "root_a", None, "x", True)])
+            table(spark, "sessions", [("s7", "boris", "r1", None, False, at(1)),
+                                      ("s8", "boris", "r2", None, False, at(1))])
         ),
     )
-    gone = spark.createDataFrame([("mira",), ("mira",)], "user_id string")
+    gone = spark.createDataFrame([("chen",), ("chen",)], "user_id string")
     left = changes.purge_users(more, gone)
-    assert left.users.count() == 4
-    assert as_set(left.teacher_rules, "id") == {("r2",)}
-    assert left.usage_stats.count() == 0 and left.messages.count() == 0
-    assert as_dict(left.sessions, "id", "applied_rule_id") == {"s2": None, "s3": "r2"}
-    by_teacher = changes.purge_users(
-        more, spark.createDataFrame([("lena",)], "user_id string")
-    )
+    assert left.users.count() == 6
+    assert as_set(left.teacher_rules, "id") == {("r2",), ("r3",)}
+    assert as_set(left.usage_stats, "user_id") == {("ana",)}
+    assert as_set(left.messages, "id") == {("m5",)}
+    assert as_dict(left.sessions, "id", "applied_rule_id") == {"s2": None, "s7": None, "s8": "r2"}
+    by_teacher = changes.purge_users(more, spark.createDataFrame([("pilar",)], "user_id string"))
     assert as_set(by_teacher.teacher_rules, "id") == {("r2",)}
-    assert by_teacher.messages.count() == 2
+    assert by_teacher.messages.count() == 5
 
 
 # --- checks ----------------------------------------------------------------
@@ -522,12 +524,13 @@ def test_validate(spark):
 
 def test_duplicates_and_orphans(spark, room):
     again = room.usage_stats.unionByName(room.usage_stats)
-    assert checks.duplicates(again, checks.UNIQUE_KEYS["usage_stats"]).collect()[0].n == 2
+    found = checks.duplicates(again, checks.UNIQUE_KEYS["usage_stats"]).collect()
+    assert [r.n for r in found] == [2, 2]
     assert checks.duplicates(room.users, checks.UNIQUE_KEYS["users"]).count() == 0
     lost = table(
         spark,
         "sessions",
-        [("s8", "ghost", None, None, False, at(0)), ("s9", "mira", "r7", None, False, at(0))],
+        [("s8", "ghost", None, None, False, at(0)), ("s9", "ana", "r7", None, False, at(0))],
     )
     bad = room._replace(sessions=room.sessions.unionByName(lost))
     assert as_set(checks.orphans(bad.sessions, "user_id", bad.users), "id") == {("s8",)}
@@ -537,9 +540,9 @@ def test_duplicates_and_orphans(spark, room):
 
 
 def test_stored_usage_drift(room):
-    drift = checks.stored_usage_drift(room).collect()
+    drift = checks.stored_usage_drift(room).orderBy("user_id").collect()
     assert [(r.user_id, r.stored_tokens, r.expected_tokens) for r in drift] == [
-        ("mira", 1234, 15)
+        ("ana", 77, None), ("chen", 280, 63)
     ]
     exact = room._replace(usage_stats=usage.rollup(room.messages, room.sessions))
     assert checks.stored_usage_drift(exact).count() == 0
@@ -555,7 +558,7 @@ def test_tables_round_trip(spark, room, tmp_path):
     assert [df.count() for df in empty] == [0] * 5
     tb.append_messages(room.messages, str(tmp_path / "new"))
     tb.append_messages(room.messages, str(tmp_path / "new"))
-    assert tb.load(spark, str(tmp_path / "new")).messages.count() == 4
+    assert tb.load(spark, str(tmp_path / "new")).messages.count() == 10
     tb.save(room, str(tmp_path / "copy"))
     back = tb.load(spark, str(tmp_path / "copy"))
     for name, schema in tb.SCHEMAS.items():

@@ -21,8 +21,10 @@ def _chunk(request, seq, delta, minute, counts=None):
 
 
 CHUNKS = [
-    _chunk("happy", 0, "A number", 0),
-    _chunk("happy", 1, " with", 0, (10, 2)),
+    _chunk("whole", 0, "Un", 0, (4, 1)),
+    _chunk("whole", 1, "der the ", 0),
+    _chunk("whole", 2, "bridge", 0, (61, 17)),
+    _chunk("whole", 3, ".", 0),
     _chunk("twice", 2, "c", 1, (7, 0)),
     _chunk("twice", 0, "a", 1, (3, 3)),
     _chunk("twice", 1, "", 1),
@@ -34,7 +36,7 @@ CHUNKS = [
     *(_chunk("ten parts", i, "abcdefghij"[i], 4) for i in range(9, -1, -1)),
 ]
 WANT = {
-    ("happy", "A number with", 10, 2, 12),
+    ("whole", "Under the bridge.", 61, 17, 78),
     # The last chunk with usage gives both counts, a zero counts as ten.
     ("twice", "ac", 7, 10, 17),
     ("silent", "", 10, 10, 20),
@@ -172,6 +174,6 @@ def test_only_a_missing_store_is_an_empty_one(spark, tmp_path):
 
 
 def test_replies_of_admitted_requests_only(spark, chunks):
-    wanted = spark.createDataFrame([("happy",), ("cut off",), ("unknown",)], "request_id string")
+    wanted = spark.createDataFrame([("whole",), ("cut off",), ("unknown",)], "request_id string")
     got = as_set(replies.assemble_for(wanted, chunks), *FIELDS)
-    assert got == {r for r in WANT if r[0] in ("happy", "cut off")}
+    assert got == {r for r in WANT if r[0] in ("whole", "cut off")}
