@@ -142,6 +142,16 @@ def usage_drift(spark, sf):
     return checks.usage_drift(usage.daily(rows), usage.daily(admitted))
 
 
+@_register
+def usage_drift_by_digests(spark, sf):
+    """The same of two tables that lie stored."""
+    rows = volume.requests(spark, sf)
+    admitted = gate.quota_replay(rows, volume.users(spark, sf)).where(~F.col("refused"))
+    return checks.usage_drift_by_digests(
+        session.stored(usage.daily(rows), "usage"), session.stored(usage.daily(admitted), "usage")
+    )
+
+
 # --- decisions -------------------------------------------------------------
 
 
@@ -661,6 +671,20 @@ def stream_daily_usage(spark, sf):
     return stream_usage.current(spark, f"{out}/ledger")
 
 
+@_register
+def stream_folded_usage(spark, sf):
+    """Rows that land up to three days late; two folds, and the rest from the ledger."""
+    out = session.work_dir(spark, "usage")
+    ledger, snapshot = f"{out}/ledger", f"{out}/snapshot"
+    late = F.date_add(expr.day("created_at"), (F.col("request_id") % 4).cast("int"))
+    stream_usage.write_ledger(
+        _requests_arriving(spark, sf), ledger, f"{out}/checkpoint", available_now=True, landed=late
+    ).awaitTermination()
+    for until in (dt.date(2024, 1, 10), dt.date(2024, 1, 20)):
+        stream_usage.fold(spark, ledger, snapshot, until)
+    return stream_usage.current(spark, ledger, snapshot=snapshot)
+
+
 @_register
 def stream_closed_days(spark, sf):
     out = session.work_dir(spark, "days")

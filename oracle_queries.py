@@ -580,6 +580,7 @@ SQL = {
         SELECT request_id, CASE WHEN request_id % 23 = 0 THEN 'message' END AS reason
         FROM v_requests""",
     "stream_daily_usage": _USAGE,
+    "stream_folded_usage": _USAGE,
     "stream_closed_days": f"""
         SELECT * FROM ({_USAGE}) x
         WHERE CAST(date AS DATE) <= (SELECT MAX(usage_date) - 8 FROM v_requests)""",
@@ -600,6 +601,9 @@ def _mentions(sql: str, name: str) -> bool:
     return name in words
 
 
+SQL["usage_drift_by_digests"] = SQL["usage_drift"]
+
+
 def all_sql() -> dict[str, str]:
     out = {}
     for name, sql in SQL.items():

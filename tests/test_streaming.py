@@ -137,6 +137,57 @@ def test_ledger_and_closed_days(spark, tmp_path):
     assert as_set(spark.read.parquet(days), *columns) == {r for r in want if r[1] < last}
 
 
+def test_folds_write_touched_days_only(spark, tmp_path):
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [
+        (i, f"u{rng.randrange(4)}", "s", start + dt.timedelta(hours=rng.randrange(480)), rng.randrange(1, 9))
+        for i in range(400)
+    ] + [(400, "u1", "s", None, 5)]
+    df = spark.createDataFrame(rows, REQUEST_SCHEMA)
+    source, ledger, check, snapshot = (str(tmp_path / n) for n in ("in", "ledger", "check", "snap"))
+    df.repartition(2).write.parquet(source)
+    late = F.date_add(F.to_date("created_at"), (F.col("request_id") % 3).cast("int"))
+    usage_stream.write_ledger(
+        spark.readStream.schema(REQUEST_SCHEMA).parquet(source), ledger, check, True, late
+    ).awaitTermination()
+    columns = ("user_id", "date", "tokens_used", "request_count")
+    want = as_set(usage.daily(df), *columns)
+
+    def files():
+        return {
+            day.name: {f.name for f in day.glob("*.parquet")}
+            for day in (tmp_path / "snap").glob("date=*")
+        }
+
+    def now():
+        return usage_stream.current(spark, ledger, snapshot=snapshot)
+
+    assert as_set(now(), *columns) == want and files() == {}
+    usage_stream.fold(spark, ledger, snapshot, dt.date(2024, 1, 8))
+    first = files()
+    assert set(first) == {f"date=2024-01-{d:02d}" for d in range(1, 9)}
+    assert as_set(now(), *columns) == want
+    usage_stream.fold(spark, ledger, snapshot, dt.date(2024, 1, 9))
+    second = files()
+    # Of the days before, those of the last two take rows on the ninth.
+    changed = {day for day in first if first[day] != second[day]}
+    assert changed == {"date=2024-01-07", "date=2024-01-08"}
+    assert set(second) == set(first) | {"date=2024-01-09"}
+    assert as_set(now(), *columns) == want
+    since = dt.date(2024, 1, 8)
+    some = usage_stream.current(spark, ledger, since, snapshot)
+    assert as_set(some, *columns) == {r for r in want if r[1] and r[1] >= since}
+    usage_stream.fold(spark, ledger, snapshot, dt.date(2024, 1, 9))
+    assert files() == second
+    tail = usage_stream._tail(spark.read.parquet(ledger), spark.read.parquet(snapshot))
+    left = [r for i, r in enumerate(rows) if not r[3] or (r[3] + dt.timedelta(i % 3)).date() > dt.date(2024, 1, 9)]
+    assert tail.count() == len(left)
+    # By folders alone, before a row is read.
+    plan = tail._jdf.queryExecution().executedPlan().toString()
+    assert "map(keys" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+
+
 @pytest.mark.parametrize("compact", [1, 2, 64])
 def test_gate_batches_and_repeats(spark, tmp_path, monkeypatch, compact):
     monkeypatch.setattr(gate_stream, "COMPACT", compact)
