@@ -571,8 +571,10 @@ def test_drift_by_digests_is_the_drift(spark, buckets):
     one, other = checks.digests(side(kept), *args), checks.digests(side(seen), *args)
     assert 1 <= checks.differing(one, other).count() <= 3
     assert checks.differing(one, checks.digests(side(kept).repartition(5), *args)).isEmpty()
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("LeftSemi") == 2 and "FullOuter" in plan
+    # Both sides lose the buckets that are the same before they are joined.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 2
+    assert plan.index("Join FullOuter") < plan.index("Join LeftSemi")
 
 
 def test_digests_tell_nulls_and_copies_apart(spark):
