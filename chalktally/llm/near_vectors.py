@@ -146,9 +146,11 @@ def _compare(cosine: float):
                     g["unit"].to_list(), g["filters"].to_list(), cosine,
                 )
                 some = (links > 0) | (least != ids)
-                out.append((ids[some], links[some], least[some]))
-        columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*out, strict=True)] or [[]] * 3
-        return pd.DataFrame(dict(zip(("node", "links", "least"), columns, strict=True)), dtype="int64")
+                vector = g["vector"].to_numpy(np.int64)
+                out.append((ids[some], vector[some], links[some], least[some]))
+        columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*out, strict=True)] or [[]] * 4
+        names = ("node", "vector", "links", "least")
+        return pd.DataFrame(dict(zip(names, columns, strict=True)), dtype="int64")
 
     return run
 
@@ -163,7 +165,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     or hold null or non-finite components, and those without vec_id, link with
     nothing, and neither do vectors of different length. Equal vectors are one
     to the search and count as so many links. Rows with the same vec_id are one
-    node of several rows: each reports the links of all. Other columns are not
+    node of several rows: each reports the sum of the links of all, be their vectors
+    and labels equal or not. Other columns are not
     looked at; an empty table gives an empty result. With fewer than ``FEWEST``
     dimensions no link is missed, but the work grows with the square of a label.
     """
@@ -181,24 +184,27 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     usable = decoded.where("unit is not null and label is not null and vec_id is not null")
     same = ["label", "u1", "u2"]
     hashed = usable.withColumns({"u1": F.xxhash64("unit"), "u2": F.hash("unit")})
+    # A node may have several vectors and labels; ``vector`` tells them apart.
+    hashed = hashed.withColumn("vector", F.xxhash64(*same))
+    key = ["node", "vector"]
     nodes = hashed.groupBy(*same).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     one = (
         hashed.join(nodes, same)
         .where(F.col("vec_id") == F.col("node"))
-        .select("node", "label", "copies", "unit", "filters", F.size("unit").alias("size"))
-        .dropDuplicates(["node", "label"])
+        .select(*key, "label", "copies", "unit", "filters", F.size("unit").alias("size"))
+        .dropDuplicates(key)
     )
     one = shared.written(one, "vectors")
-    filed = one.select("node", "label", "size", F.explode("filters").alias("filter"))
-    key = ["label", "size", "filter"]
-    shared_ones = filed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    met = shared.written(filed.join(shared_ones, key), "met")
+    filed = one.select(*key, "label", "size", F.explode("filters").alias("filter"))
+    place = ["label", "size", "filter"]
+    shared_ones = filed.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1")
+    met = shared.written(filed.join(shared_ones, place), "met")
     # Only filters that somebody else passes can be the first common one.
-    sent = met.groupBy("node", "label").agg(F.collect_list("filter").alias("filters")).join(
-        one.select("node", "label", "copies", "unit"), ["node", "label"]
+    sent = met.groupBy(*key).agg(F.collect_list("filter").alias("filters")).join(
+        one.select(*key, "copies", "unit"), key
     )
     parts = F.ceil(F.col("n") / SPAN).cast("int")
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    part = F.pmod(F.xxhash64(*key), parts).cast("int")
     # A member goes to the groups of its block with each block, its own included.
     others = F.transform(
         F.sequence(F.lit(0), parts - 1),
@@ -206,26 +212,26 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     )
     groups = (
         met.withColumn("part", part)
-        .select(*key, "node", "part", F.explode(others).alias("g"))
-        .select(*key, "node", "part", "g.i", "g.j")
-        .join(sent, ["node", "label"])
+        .select(*place, *key, "part", F.explode(others).alias("g"))
+        .select(*place, *key, "part", "g.i", "g.j")
+        .join(sent, key)
     )
     size = shared_ones.agg(F.sum(F.col("n") * F.ceil(F.col("n") / SPAN))).first()[0] or 0
     bundles = 1 + int(size) // BUNDLE
     found = shared.written(
-        groups.withColumn("bundle", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(bundles)))
+        groups.withColumn("bundle", F.pmod(F.xxhash64(*place, "i", "j"), F.lit(bundles)))
         .groupBy("bundle")
-        .applyInPandas(_compare(cosine), "node long, links long, least long"),
+        .applyInPandas(_compare(cosine), "node long, vector long, links long, least long"),
         "found",
     )
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    counts = found.groupBy(*key).agg(F.sum("links").alias("links"))
     copies = hashed.join(nodes, same)
     edges = found.select(F.col("node").alias("a"), F.col("least").alias("b")).union(
         copies.select("node", "vec_id")
     )
     reached = shared.written(components(edges), "groups").withColumnRenamed("node", "vec_id")
     linked = (
-        copies.join(counts, "node", "left")
+        copies.join(counts, key, "left")
         .select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
         .groupBy("vec_id")
         .agg(F.sum("n").alias("n_links"))

@@ -21,7 +21,7 @@ def expected(data, cosine=0.98):
         links = [(usable[a][0], usable[b][0]) for a, b in zip(*np.nonzero(np.triu(near, 1)))]
     ids = [i for i, _, _ in data]
     found = brute.smallest_reachable(ids, links)
-    n = {i: sum(i in pair for pair in links) for i in ids}
+    n = {i: sum(pair.count(i) for pair in links) for i in ids}
     return {i: (n[i], found[i], found[i] == i) for i in ids}
 
 
@@ -85,3 +85,19 @@ def test_few_dimensions(spark):
         want |= expected(part)
         data += part
     assert rows(near_vectors.near_vectors(spark.createDataFrame(data, SCHEMA))) == want
+
+
+def test_one_id_with_several_vectors_and_labels(spark):
+    rng = np.random.default_rng(12)
+    for size in (8, 64):
+        a, b, c = np.float32(rng.standard_normal((3, size)))
+        close = np.float32(0.01 * rng.standard_normal(size))
+        data = [
+            (1, a, 1), (1, b, 1), (1, a, 2), (1, a, 1), (1, a + close, 1),
+            (2, a + 2 * close, 1), (3, b + close, 1), (4, b, 1), (5, a - close, 2),
+            (6, c, 1), (6, c, 3), (7, c + close, 3), (8, c + close, 1),
+        ]
+        data = [(i, v.tolist(), label) for i, v, label in data]
+        want = expected(data)
+        assert want[1][0] > 6
+        assert rows(near_vectors.near_vectors(spark.createDataFrame(data, SCHEMA))) == want
