@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalktally.llm import shared
@@ -28,9 +28,11 @@ GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 15
 LEXICON = 10_000
 #: Documents that are learned from per language, picked by a hash of their id.
 LEARN_ROWS = 500
-#: Languages there may be; that many are a mistake in the column.
+#: More languages than this are a mistake in the column; ``fit`` then raises ValueError.
 MOST_LANGUAGES = 1000
 SEQUENCE, EPOCHS, BATCH, RATE = 40, 3, 64, 0.5
+#: Stretches that a text of that many or more gives to an epoch.
+STRETCHES = 12
 UNKNOWN = "und"
 _SIGNS = ".,;:!?*#%&$\"'()[]{}|<>=+-_/\\~^`0123456789@"
 
@@ -100,9 +102,30 @@ def _pair_sums(marginals, behind, evidence, transitions) -> np.ndarray:
     return (joint / joint.sum((2, 3), keepdims=True)).sum((0, 1))
 
 
+def _pooled(codes, starts, label, stretch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, starts, label) in which texts of fewer than ``stretch`` words stand in
+    rows with others of their language, as texts behind the longer ones. A language
+    that has fewer words than that altogether repeats them."""
+    lengths = np.diff(starts)
+    short = lengths < stretch
+    rows = [codes[starts[i] : starts[i + 1]] for i in np.flatnonzero(~short)]
+    marks = label[~short].tolist()
+    for j in np.unique(label[short & (lengths > 0)]):
+        pool = np.concatenate(
+            [codes[starts[i] : starts[i + 1]] for i in np.flatnonzero(short & (label == j))]
+        )
+        pool = np.tile(pool, -(-stretch // len(pool)))
+        cut = np.array_split(pool, max(1, len(pool) // (STRETCHES * stretch)))
+        rows += cut
+        marks += [j] * len(cut)
+    starts = np.concatenate([[0], np.cumsum([len(r) for r in rows], dtype=np.int64)])
+    return np.concatenate([codes[:0], *rows]), starts, np.array(marks, np.int64)
+
+
 def learn(texts: list[str], languages: list[str], seed: int = 7) -> Model:
     """Fit to whole texts of known languages by stochastic gradients with steps
-    that shrink per weight."""
+    that shrink per weight. Short texts of one language are learned from together,
+    so a language of short texts, or one written without blanks, is learned too."""
     names = sorted(set(languages))
     label = np.array([names.index(x) for x in languages], np.int64)
     k = len(names)
@@ -124,8 +147,9 @@ def learn(texts: list[str], languages: list[str], seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     # Stretches of ten words of known language, from all over each text.
     stretch = SEQUENCE // 4
+    codes, starts, label = _pooled(codes, starts, label, stretch)
     sizes = np.diff(starts) // stretch
-    text = np.repeat(np.arange(len(texts)), np.minimum(sizes, 12))
+    text = np.repeat(np.arange(len(sizes)), np.minimum(sizes, STRETCHES))
     if not len(text):
         return model
     first = starts[text] + stretch * rng.integers(0, sizes[text])
@@ -231,15 +255,18 @@ def learning_rows(docs: DataFrame, folds: int) -> DataFrame:
     rows = docs.where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~shared.held_out("doc_id", folds)
     ).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    languages = [r.lang for r in rows.select("lang").distinct().limit(MOST_LANGUAGES).collect()]
-    picked = None
-    for name in sorted(languages):
-        part = rows.where(F.col("lang") == name).select("lang", "h").orderBy("h").limit(LEARN_ROWS)
-        picked = part if picked is None else picked.union(part)
-    if picked is None:
-        return rows.limit(0)
-    # A bounded number of rows, whatever the table holds.
-    return rows.join(F.broadcast(picked.distinct()), ["lang", "h"]).orderBy("lang", "h")
+    languages = len(rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in lang")
+    # The limit by rank is applied in each task before the exchange too.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = (
+        rows.select("lang", "h").withColumn("_place", place).where(F.col("_place") <= LEARN_ROWS)
+    )
+    # At most LEARN_ROWS * MOST_LANGUAGES rows, whatever the table holds.
+    picked = picked.select("lang", "h").distinct()
+    found = rows.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    return found.orderBy("lang", "h")
 
 
 def fit(docs: DataFrame, folds: int = 5) -> Model:
@@ -257,7 +284,8 @@ def language(docs: DataFrame, folds: int = 5) -> DataFrame:
 
     ``lang`` is only learned from, and only outside the held-out fold. A text
     that is null or has no letter is ``und`` with score 0, as is every text if
-    no language is known. Rows with the same doc_id are judged apart. Other
+    no language is known; more than ``MOST_LANGUAGES`` languages are a ValueError,
+    none is left out silently. Rows with the same doc_id are judged apart. Other
     columns are not looked at; an empty table gives an empty result.
     """
     model = fit(docs, folds)

@@ -67,3 +67,50 @@ def test_odd_rows(spark):
 def test_no_language_known(spark):
     df = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, lang string")
     assert language_id.language(df).first().lang_pred == "und"
+
+
+def test_short_texts_and_scripts_without_blanks_are_learned(spark):
+    zh = ["我们今天在学校里读书", "他昨天去了北京的图书馆", "这本书是我的朋友写的", "天气很好我们去公园"]
+    rows = [(i, EN * 3, "en") for i in range(40)]
+    rows += [(100 + i, ("maison avec le", "chat dans un", "roi que voici")[i % 3], "fr") for i in range(40)]
+    rows += [(200 + i, zh[i % 4], "zh") for i in range(40)]
+    rows += [(300, "þetta er", "is"), (301, "þetta er", "is"), (302, "þetta er", "is")]
+    rows += [(900, "le roi avec un chat", None), (901, "我的朋友今天去图书馆", None), (902, "the king", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    named = {r.doc_id: r.lang_pred for r in language_id.language(df).collect()}
+    assert [named[i] for i in (900, 901, 902, 300)] == ["fr", "zh", "en", "is"]
+
+
+def test_pooled_keeps_every_word():
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 3, 25, 9, 10, 1, 7, 0, 400, 2])
+    label = np.array([0, 1, 0, 1, 1, 2, 0, 2, 2, 3])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    codes = rng.integers(0, 50, starts[-1])
+    got, at, marks = language_id._pooled(codes, starts, label, 10)
+    assert (np.diff(at) >= 10).all() and len(marks) == len(at) - 1 and at[-1] == len(got)
+    for j in range(4):
+        had = [codes[starts[i] : starts[i + 1]] for i in np.flatnonzero(label == j)]
+        has = [got[at[i] : at[i + 1]] for i in np.flatnonzero(marks == j)]
+        assert set(np.concatenate(had)) == set(np.concatenate(has))
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 2)
+    rows = [(i, EN, f"l{i % 5}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2"):
+        language_id.language(df)
+
+
+def test_learning_rows_are_the_first_by_hash(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LEARN_ROWS", 3)
+    rows = [(i, f"{EN} {i}", "en" if i % 3 else "fr") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r.lang, r.text) for r in language_id.learning_rows(df, 5).collect()]
+    hashes = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id, text) h").collect()}
+    want = []
+    for name in ("en", "fr"):
+        some = [r for r in rows if r[2] == name and zlib.crc32(str(r[0]).encode()) % 5]
+        want += [(name, r[1]) for r in sorted(some, key=lambda r: hashes[r[0]])[:3]]
+    assert got == want
