@@ -28,7 +28,7 @@ from chalktally.operators import (
     users,
 )
 from chalktally.plans import audit, chat, overview
-from chalktally.sources import tables, volume
+from chalktally.sources import by_session, tables, volume
 from chalktally.streaming import gate as gate_stream
 from chalktally.streaming import replies as stream_replies
 from chalktally.streaming import usage as stream_usage
@@ -334,6 +334,37 @@ def sessions_with_messages(spark, sf):
     )
 
 
+def _by_session(spark: SparkSession, sf: str, long: int) -> by_session.BySession:
+    folder = session.work_dir(spark, "by_session")
+    name = folder.rsplit("/", 1)[1].replace("-", "_")
+    by_session.save(volume.sessions(spark, sf), volume.messages(spark, sf), name, folder, long=long)
+    return by_session.load(spark, name)
+
+
+@_register
+def stored_session_summary(spark, sf):
+    """Counted where the messages lie; sessions of more than 8 messages apart."""
+    return by_session.summary(_by_session(spark, sf, 8))
+
+
+@_register
+def stored_sessions_with_messages(spark, sf):
+    return _nested(by_session.with_messages(_by_session(spark, sf, by_session.LONG)))
+
+
+@_register
+def stored_sessions_in_pages(spark, sf):
+    """Pages of three messages; sessions of more than 8 messages are split in grains."""
+    return _nested(by_session.with_messages(_by_session(spark, sf, 8), page_size=3))
+
+
+@_register
+def stored_history_last_20(spark, sf):
+    return by_session.history(_by_session(spark, sf, 8)).select(
+        "session_id", "position", "id", "role"
+    )
+
+
 @_register
 def sessions_in_pages(spark, sf):
     return _nested(

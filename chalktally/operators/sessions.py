@@ -74,7 +74,11 @@ def summary(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def with_messages(
-    sessions: DataFrame, messages: DataFrame, page_size: int = PAGE_SIZE, subset: bool = False
+    sessions: DataFrame,
+    messages: DataFrame,
+    page_size: int = PAGE_SIZE,
+    subset: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Sessions with their messages as an array, oldest first.
 
@@ -83,7 +87,9 @@ def with_messages(
     array grows without limit. Sessions without messages have an empty array.
     Messages are numbered over the whole session, from their place in their
     grain and the messages of earlier grains. ``subset`` says that ``sessions``
-    are only some of all: messages of the others are then dropped first.
+    are only some of all: messages of the others are then dropped first. ``bounded``
+    says that a task can hold any one session's messages: they are then numbered by a
+    window over the session, and nothing moves if they lie in buckets by session.
     """
     rows = messages.select(expr.sender_rank("sender").alias("_rank"), *_MESSAGE_FIELDS)
     owners = sessions.select(F.col("id").alias("session_id"), *(c for c in COLUMNS if c != "id"))
@@ -92,18 +98,29 @@ def with_messages(
         rows = rows.join(owners.select("session_id"), "session_id", "left_semi")
     order = ["created_at", "_rank", "id"]
     entry = F.struct(*order, *(c for c in _MESSAGE_FIELDS if c not in order))
+    if bounded:
+        window = Window.partitionBy("session_id").orderBy(*order)
+        counted = rows.withColumn("_before", F.row_number().over(window) - 1)
+    else:
+        counted = skew.earlier(rows, ["session_id"], order, F.lit(1), "_before")
     pages = (
-        skew.earlier(rows, ["session_id"], order, F.lit(1), "_before")
-        .withColumn("page", F.floor(F.coalesce("_before", F.lit(0)) / page_size).cast("int"))
+        counted.withColumn("page", F.floor(F.coalesce("_before", F.lit(0)) / page_size).cast("int"))
         .groupBy("session_id", "page")
         .agg(F.sort_array(F.collect_list(entry)).alias("messages"))
     )
-    # The many pages of a hot session are on the side that can be split.
-    full = pages.join(owners, "session_id")
-    silent = owners.join(messages.select("session_id"), "session_id", "left_anti")
     nothing = F.array().cast(pages.schema["messages"].dataType)
-    empty = silent.withColumn("page", F.lit(0)).withColumn("messages", nothing)
-    return full.unionByName(empty).select(
+    if bounded:
+        nested = owners.join(pages, "session_id", "left").withColumns(
+            {"page": F.coalesce("page", F.lit(0)), "messages": F.coalesce("messages", nothing)}
+        )
+    else:
+        # The many pages of a hot session are on the side that can be split.
+        full = pages.join(owners, "session_id")
+        heard = messages.select("session_id").distinct()
+        silent = owners.join(heard, "session_id", "left_anti")
+        empty = silent.withColumn("page", F.lit(0)).withColumn("messages", nothing)
+        nested = full.unionByName(empty)
+    return nested.select(
         F.col("session_id").alias("id"),
         *(c for c in COLUMNS if c not in ("id", "created_at")),
         F.col("_opened").alias("created_at"),

@@ -602,6 +602,8 @@ def _mentions(sql: str, name: str) -> bool:
 
 
 SQL["usage_drift_by_digests"] = SQL["usage_drift"]
+for _name in ("session_summary", "sessions_with_messages", "sessions_in_pages", "history_last_20"):
+    SQL[f"stored_{_name}"] = SQL[_name]
 
 
 def all_sql() -> dict[str, str]:
