@@ -7,7 +7,7 @@ import random
 
 from chalktally.operators import gate, replay
 from chalktally.streaming import gate as gate_stream
-from rows import as_dict, table, user
+from rows import as_dict, as_set, table, user
 
 START = dt.datetime(2024, 3, 1)
 QUOTAS = {"often": 500, "some": 120, "none": 0, "much": 10_000}
@@ -91,6 +91,34 @@ def test_quota_edited_within_the_day(spark):
     assert plain == as_dict(gate.quota_replay(df, accounts), "request_id", "refused")
 
 
+def test_state_of_the_gate_is_by_bucket(spark, tmp_path):
+    n = 3 * gate_stream.BUCKETS
+    large = 1 << 60
+    accounts = table(spark, "users", [user(f"u{i}", quota=i % 3 * 40) for i in range(n)])
+    owned = table(spark, "sessions", [(f"s{i}", f"u{i}", None, None, False, START) for i in range(n)])
+    rows = [
+        (large + i, f"u{i % n}" if i % 11 else None, f"s{i % n}" if i % 7 else None, START + dt.timedelta(minutes=i % 600), 30)
+        for i in range(3 * n)
+    ] + [(None, "u1", "s1", START, 1)]
+    df = spark.createDataFrame(
+        rows, "request_id long, user_id string, session_id string, created_at timestamp, total_tokens int"
+    )
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    decided = gate_stream.decide(stream, accounts, owned)
+    query = gate_stream.write_decisions(
+        decided, f"{tmp_path}/out", f"{tmp_path}/checkpoint", available_now=True
+    )
+    query.awaitTermination()
+    entries = [o.numRowsTotal for p in query.recentProgress for o in p.stateOperators]
+    assert 0 < max(entries) <= gate_stream.BUCKETS
+    columns = ("request_id", "user_id", "session_id", "status")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    want = gate.replay_decisions(df, accounts, owned)
+    assert got.count() == len(rows) and as_set(got, *columns) == as_set(want, *columns)
+    assert {r.status for r in want.collect()} == {200, 401, 404, 429}
+
+
 def test_stream_keeps_usage_over_restarts(spark, tmp_path):
     accounts = table(spark, "users", [user("often", quota=100), user("gone", deleted=True)])
     owned = table(spark, "sessions", [("s", "often", None, None, False, START)])
