@@ -2,17 +2,20 @@
 
 A refused request uses nothing. Where usage is written when a reply ends, perhaps on
 a later day, or where the quota is edited within the day, what counts as used is
-no plain sum over all earlier requests. Both replays are a few sums over all rows
-and a loop over a small table; the loop's length follows from how outcomes hang
-together, not from the number of rows.
+no plain sum over all earlier requests. Both replays take a few sums over all rows.
+Replies that end on another day are then judged in a loop over a small table, whose
+length follows from how outcomes hang together, not from the number of rows; edits
+within the day in one pass over the stretches between them.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chalktally import session
 from chalktally.functions import expr
@@ -137,43 +140,69 @@ def history_replay(requests: DataFrame, users: DataFrame, history: DataFrame) ->
 
     Between two edits the quota stands still, so sums within such a stretch, over
     all rows at once, tell where it is reached for any usage at its beginning. What
-    a stretch begins with depends on what the one before admitted: the n-th
-    stretches of all users and days are settled together, each row is read in its
-    own turn only, and there are as many turns as stretches with requests in the
-    day that has most.
+    a stretch begins with depends on what the one before admitted: one pass over
+    the stretches of each user and day in their order settles that, however many
+    there are. Totals are not negative, so what its own stretch alone has brought
+    to the quota is refused whatever came before, and takes no part in the pass; in
+    a task are the others of one user and day, of which nothing is kept but a sum.
     """
     keys = ["user_id", "date"]
     rows = quota_in_force(requests, users, history).withColumn("date", expr.day("created_at"))
+    rows = rows.where(F.col("user_id").isNotNull() & F.col("date").isNotNull())
     stretch = [*keys, "version"]
     inside = skew.earlier(
         rows, stretch, ["created_at", "request_id"], F.col("total_tokens"), "_inside"
     )
-    order = skew.numbered(rows.select(*stretch).distinct(), keys, "version", "_turn")
-    slim = inside.join(order, stretch).select(
-        *keys, "_turn", "request_id", F.col("total_tokens").cast("long").alias("tokens"), "quota", "_inside"
+    slim = inside.select(
+        *stretch, "request_id", F.col("total_tokens").cast("long").alias("tokens"), "quota", "_inside"
     )
-    stored = session.stored(slim, "stretches", ["_turn"])
-    turns = stored.agg(F.max("_turn")).first()[0] or 0
-    none = F.lit(None).cast("long")
-    used = stored.where("false").select(*keys, F.lit(0).alias("_turn"), none.alias("_used"))
-    begins: list[DataFrame] = []
-    refused = _reached(skew.plus("_used", "_inside"), "quota")
-    for turn in range(1, turns + 1):
-        part = stored.where(F.col("_turn") == turn)
-        part = part.join(used.select(*keys, "_used"), keys, "left")
-        added = part.groupBy(*keys).agg(
-            F.max("_used").alias("_before"), F.sum(F.when(~refused, F.col("tokens"))).alias("_more")
-        )
-        if turn < turns:
-            used = session.stored(
-                added.select(
-                    *keys, F.lit(turn + 1).alias("_turn"), skew.plus("_before", "_more").alias("_used")
-                ),
-                "used",
-            )
-            begins.append(used)
-    begin = reduce(DataFrame.unionByName, begins, used.where("false"))
-    found = (
-        stored.join(begin, [*keys, "_turn"], "left").select("request_id", refused.alias("refused"))
+    stored = session.stored(slim, "stretches")
+    found = stored.join(_begins(stored, keys), stretch, "left").select(
+        "request_id", _reached(skew.plus("_used", "_inside"), "quota").alias("refused")
     )
     return requests.join(found, "request_id").select(*requests.columns, "refused")
+
+
+def _begins(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, version, _used): what was used when a stretch began, of those before
+    which something was."""
+    shape = T.StructType(
+        [*(rows.schema[k] for k in [*keys, "version"]), T.StructField("_used", T.LongType())]
+    )
+    names = shape.names
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The user and day, the stretch, what was used before it and since.
+        day = version = used = more = None
+        for batch in batches:
+            begun = []
+            *of, versions, tokens, quotas, insides = (c.to_pylist() for c in batch.columns)
+            for key, n, some, quota, inside in zip(
+                zip(*of, strict=True), versions, tokens, quotas, insides, strict=True
+            ):
+                if key != day or n != version:
+                    used = _plus(used, more) if key == day else None
+                    day, version, more = key, n, None
+                    if used is not None:
+                        begun.append((*key, n, used))
+                sofar = _plus(used, inside)
+                if sofar is None or quota is None or sofar < quota:
+                    more = _plus(more, some)
+            columns = list(zip(*begun, strict=True)) or [()] * len(names)
+            kinds = [batch.schema.field(k).type for k in names[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, kind) for c, kind in zip(columns, [*kinds, pa.int64()], strict=True)], names
+            )
+
+    open_ = rows.where(~_reached(F.col("_inside"), "quota"))
+    return (
+        open_.select(*keys, "version", "tokens", "quota", "_inside")
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, "version")
+        .mapInArrow(walk, shape)
+    )
+
+
+def _plus(a: int | None, b: int | None) -> int | None:
+    """``skew.plus`` of two values."""
+    return b if a is None else a if b is None else a + b

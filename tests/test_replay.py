@@ -91,6 +91,32 @@ def test_quota_edited_within_the_day(spark):
     assert plain == as_dict(gate.quota_replay(df, accounts), "request_id", "refused")
 
 
+def test_many_edits_of_a_day_are_one_pass(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["often", "some"]), some_time(rng, 1), rng.randint(1, 40)) for i in range(300)]
+    edits = [
+        (i, rng.choice(["often", "some"]), some_time(rng, 1), 10 * i + rng.choice([0, 300])) for i in range(60)
+    ]
+    df = spark.createDataFrame(
+        rows, "request_id long, user_id string, created_at timestamp, total_tokens int"
+    )
+    history = spark.createDataFrame(
+        edits, "change_id long, user_id string, changed_at timestamp, daily_token_quota int"
+    )
+    accounts = table(spark, "users", [user(u, quota=q) for u, q in QUOTAS.items()])
+    stored, times = replay.session.stored, []
+
+    def counted(*args):
+        times.append(args[1])
+        return stored(*args)
+
+    monkeypatch.setattr(replay.session, "stored", counted)
+    got = as_dict(replay.history_replay(df, accounts, history), "request_id", "refused")
+    want = history_loop(rows, edits)
+    assert got == want and 20 < sum(want.values()) < 280
+    assert len(times) == 1
+
+
 def test_state_of_the_gate_is_by_bucket(spark, tmp_path):
     n = 3 * gate_stream.BUCKETS
     large = 1 << 60
