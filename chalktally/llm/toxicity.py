@@ -43,6 +43,8 @@ LEARN_ROWS = (4800, 1200)
 #: of ``STRETCH`` characters from all over it, picked by a hash.
 LEARN_SIZE = (16_000_000, 8_000_000)
 STRETCH = 1400
+#: The training task looks at words of about so many bytes of text at a time.
+PORTION = 2_000_000
 #: A round goes over its windows so often that it makes ``STEPS`` steps at least.
 ROUNDS, EPOCHS, STEPS, BATCH, RATE = 4, 4, 150, 128, 0.01
 #: Weights shrink by this share of a step, so that few labels aren't learned by
@@ -347,6 +349,8 @@ def learn(
                 for i in range(0, len(first), 8192)
             ]
         )
+        # The next round's table is as large; both needn't be there at a time.
+        del table
     return w
 
 
@@ -509,6 +513,18 @@ def _statistics(drawn: DataFrame, n_toxic: int, n_clean: int) -> Model:
     return Model(grams, known["word"].to_pylist(), of_known, {})
 
 
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``PORTION`` bytes of parts, a row at least."""
+    for batch in batches:
+        parts = batch["parts"]
+        sizes = pc.binary_length(parts.flatten()).to_numpy(zero_copy_only=False)
+        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[offsets[:-1]]
+        starts = np.flatnonzero(np.diff(before // PORTION, prepend=-1))
+        for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=bool(len(starts))):
+            yield batch.slice(start, end - start)
+
+
 def _trained(drawn: DataFrame, model: Model) -> dict[str, np.ndarray]:
     """Weights, learned in one task from the sample, whose size is bounded, so that
     neither texts nor their words come to the driver."""
@@ -518,7 +534,7 @@ def _trained(drawn: DataFrame, model: Model) -> dict[str, np.ndarray]:
         found, starts, document = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], []
         toxic, whole = [], []
         total = 0
-        for batch in batches:
+        for batch in portions(batches):
             parts = batch["parts"].to_pylist()
             texts = pa.array([t for p in parts for t in p], pa.string())
             hashes, own, more, of_more = numbered(model, texts)
@@ -531,7 +547,7 @@ def _trained(drawn: DataFrame, model: Model) -> dict[str, np.ndarray]:
                 document += [len(toxic)] * len(p)
                 toxic.append(is_toxic.as_py())
                 whole.append(all_there.as_py())
-        codes = np.searchsorted(keys, np.concatenate(found)).astype(np.int32)
+        codes = np.concatenate([np.searchsorted(keys, f).astype(np.int32) for f in found])
         del found, keys
         inputs = np.concatenate([inputs, np.zeros((1, 6), np.float32)])
         weights = learn(

@@ -96,6 +96,17 @@ def test_empty_text_is_the_same_alone_or_not(spark):
     assert toxicity.score_texts(model, pa.array(["x", None, ""]))[1:] == pytest.approx([alone] * 2)
 
 
+def test_training_reads_some_text_at_a_time(monkeypatch):
+    monkeypatch.setattr(toxicity, "PORTION", 100)
+    rows = [["a" * (i % 40), "b" * 7] if i % 5 else [] for i in range(50)] + [["c" * 300], ["d"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string())), pa.array(range(52))], ["parts", "n"])
+    found = list(toxicity.portions(iter([batch.slice(0, 9), batch.slice(9), batch.slice(0, 0)])))
+    assert [p for b in found for p in b["parts"].to_pylist()] == rows
+    assert [n for b in found for n in b["n"].to_pylist()] == list(range(52))
+    sizes = [[sum(map(len, p)) for p in b["parts"].to_pylist()] for b in found]
+    assert len(found) > 10 and all(sum(s[:-1]) <= 100 for s in sizes)
+
+
 def test_no_text_uses_up_the_sample(spark, monkeypatch):
     long = "a quiet walk in the park " * 600_000
     rows = [(i, long if i in (4, 11, 23) else f"text of number {i}") for i in range(40)]
