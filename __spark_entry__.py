@@ -600,11 +600,15 @@ def stored_tables(spark, sf):
 
 
 def _arriving(spark: SparkSession, parts: list[DataFrame], purpose: str) -> DataFrame:
-    """Rows that arrive part after part, as a stream of a few files a trigger."""
+    """Rows that arrive part after part, as a stream that takes about a part a trigger,
+    so that there are no more triggers where tables lie in more files."""
     folder = f"{session.work_dir(spark, purpose)}/in"
+    written = [0]
     for part in parts:
         part.write.mode("append").parquet(folder)
-    reader = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 2)
+        written.append(len(spark.read.schema(part.schema).parquet(folder).inputFiles()))
+    most = max(b - a for a, b in zip(written, written[1:]))
+    reader = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", max(2, most))
     return reader.parquet(folder)
 
 
@@ -614,6 +618,13 @@ def _by_part(df: DataFrame, part, n: int) -> list[DataFrame]:
     return [df.where(numbered == i) for i in range(n)]
 
 
+def _dealt(spark: SparkSession, df: DataFrame, part, n: int) -> list[DataFrame]:
+    """``_by_part`` where the part isn't known before the rows are made: they are made
+    once, not for every part."""
+    stored = session.stored(df.withColumn("_part", part.cast("int")), "parts")
+    return [rows.drop("_part") for rows in _by_part(stored, F.col("_part"), n)]
+
+
 @_register
 def stream_reply_assembly(spark, sf):
     """Chunks in the order of their requests, some of each request a part later,
@@ -621,7 +632,7 @@ def stream_reply_assembly(spark, sf):
     chunks = volume.chunks(spark, sf)
     week = F.floor((F.dayofmonth("started_at") - 1) / 8) + (F.col("seq") % 4 == 3).cast("int")
     last = _nobody(spark, chunks, "started_at")
-    stream = _arriving(spark, [*_by_part(chunks, week, 5), last], "chunks")
+    stream = _arriving(spark, [*_dealt(spark, chunks, week, 5), last], "chunks")
     out = session.work_dir(spark, "replies")
     replies = stream_replies.assemble(stream, delay="20 days")
     stream_replies.write_replies(
@@ -646,7 +657,7 @@ def stream_replies_by_silence(spark, sf):
     chunks = volume.arriving_chunks(spark, sf)
     week = F.floor((F.dayofmonth("arrived_at") - 1) / 8)
     last = _nobody(spark, chunks, "arrived_at", "started_at")
-    stream = _arriving(spark, [*_by_part(chunks, week, 4), last], "chunks")
+    stream = _arriving(spark, [*_dealt(spark, chunks, week, 4), last], "chunks")
     out = session.work_dir(spark, "replies")
     replies = stream_replies.assemble_by_silence(stream, "5 minutes", delay="20 days")
     stream_replies.write_replies(

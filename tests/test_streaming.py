@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__
 from chalktally.operators import gate, usage
 from chalktally.streaming import gate as gate_stream
 from chalktally.streaming import replies, usage as usage_stream
@@ -98,6 +99,15 @@ def test_split_text_comes_back(spark):
     assert as_dict(replies.assemble_batch(df, 5), "request_id", "reply") == texts
 
 
+def test_more_files_are_no_more_triggers(spark, tmp_path):
+    parts = [spark.range(20 * i, 20 * i + 20, numPartitions=1 + 6 * i) for i in range(3)]
+    stream = __spark_entry__._arriving(spark, parts, "many")
+    query = replies.write_replies(stream, f"{tmp_path}/out", f"{tmp_path}/check", available_now=True)
+    query.awaitTermination()
+    assert sum(p.numInputRows > 0 for p in query.recentProgress) <= 3
+    assert as_set(spark.read.parquet(f"{tmp_path}/out"), "id") == {(i,) for i in range(60)}
+
+
 REQUEST_SCHEMA = (
     "request_id long, user_id string, session_id string, created_at timestamp, total_tokens long"
 )
