@@ -17,13 +17,16 @@ store the path names, and a task that is run again replaces what it had written.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,13 +36,17 @@ from chalktally.llm import shared
 from chalktally.llm.words import pieces, words
 
 SHARD_CHARS = 20_000_000
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 250_000
+#: Pieces of words whose ids a worker remembers before it forgets those that it
+#: hasn't met for as many others, and the characters such a piece has at most.
+REMEMBERED = 200_000
+REMEMBERED_CHARS = 100
 _HEAD = struct.Struct("<QI")
 _START = struct.Struct("<BBq")
 # Letters that normalization leaves alone but for their case, then signs: two
 # pieces for this tokenizer. Anything else goes through it whole.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!#$%&*+,./:;=?@|-]*)")
+_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[!#$%&*+,./:;=?@|-]*"
+_PLAIN = f"^(?P<letters>{_LETTERS})(?P<signs>{_SIGNS})$"
+_PIECE = re.compile(f"{_LETTERS}|{_SIGNS}")
 
 
 def masked_crc(data: bytes) -> int:
@@ -47,54 +54,91 @@ def masked_crc(data: bytes) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def _spelling() -> str:
+    """The character that stands for a byte of a piece in the model's tokens, by
+    byte. The line feed stays itself: no piece has it, so it parts them."""
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
+    table = ["\ufffe"] * 256
+    for letter in map(chr, range(256)):
+        for byte, spelled in zip(letter.encode(), level.pre_tokenize_str(letter)[0][0], strict=True):
+            table[byte] = spelled
+    table[ord("\n")] = "\n"
+    return "".join(table)
+
+
 class Encoder:
     """Ids of texts. The tokenizer drops white space and never joins what is on
-    both sides of it, so every distinct word is encoded once and looked up."""
+    both sides of it, so every distinct word is encoded once and looked up. Ids
+    are kept as the bytes that a record has of them."""
 
     def __init__(self, path: str, end: int):
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = end
         self.model = self.tokenizer.model
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else 4
-        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
-        if ids is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            of_bytes = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
-            ids = self.known[piece] = [t.id for t in self.model.tokenize(of_bytes)]
-        return ids
-
-    def word(self, word: str) -> list[int]:
-        plain = _PLAIN.fullmatch(word)
-        if plain is None:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        letters, signs = plain.groups()
-        ids = self._piece(letters.lower())
-        return ids + self._piece(signs) if signs else ids
+        self.kind = np.dtype(f"<u{self.width}")
+        self.end = np.array([end], self.kind).tobytes()
+        self.spelling = _spelling()
+        # Pieces met since the last time that as many were, and those met before.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encoded(self, new: list[str]) -> list[bytes]:
+        plain = [_PIECE.fullmatch(p) is not None for p in new]
+        joined = "\n".join(compress(new, plain)).encode()
+        spelled = iter(codecs.charmap_decode(joined, "strict", self.spelling)[0].split("\n"))
+        every, ends = [], []
+        for piece, is_plain in zip(new, plain, strict=True):
+            if is_plain:
+                every += [t.id for t in self.model.tokenize(next(spelled))]
+            else:
+                every += self.tokenizer.encode(piece, add_special_tokens=False).ids
+            ends.append(len(every) * self.width)
+        ids = np.array(every, self.kind).tobytes()
+        return [ids[a:b] for a, b in pairwise([0, *ends])]
+
+    def _looked_up(self, distinct: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, distinct))
+        met = [i for i, ids in enumerate(found) if ids is None]
+        for i in met:
+            found[i] = self.older.get(distinct[i])
+        new = [i for i in met if found[i] is None]
+        for i, ids in zip(new, self._encoded([distinct[i] for i in new]), strict=True):
+            found[i] = ids
+        kept = {
+            distinct[i]: found[i] for i in met[:REMEMBERED] if len(distinct[i]) <= REMEMBERED_CHARS
+        }
+        if len(self.known) + len(kept) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known |= kept
+        return found
+
+    def _each(self, parts: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of each part of a word."""
+        coded = parts.dictionary_encode()
+        ids = self._looked_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return pa.array(ids, pa.large_binary()).take(coded.indices)
 
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of every text, the end id last."""
         codes, starts, dictionary = words(texts)
-        each = [self.word(w) for w in dictionary.to_pylist()]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for ids in each for i in ids), np.uint32, int(sizes.sum()))
-        first = np.cumsum(sizes) - sizes
-        taken = sizes[codes]
-        ends = np.cumsum(taken)
-        ids = flat[np.repeat(first[codes] - (ends - taken), taken) + np.arange(taken.sum())]
-        bounds = np.concatenate([[0], ends])[starts]
-        return [
-            np.append(ids[a:b], np.uint32(self.end))
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True)
-        ]
+        parts = pc.extract_regex(dictionary, _PLAIN)
+        letters = pc.utf8_lower(pc.struct_field(parts, "letters"))
+        each = pc.binary_join_element_wise(
+            self._each(pc.coalesce(letters, dictionary)),
+            self._each(pc.coalesce(pc.struct_field(parts, "signs"), "")),
+            pa.scalar(b"", pa.large_binary()),
+        )
+        each = pa.concat_arrays([each, pa.array([self.end], pa.large_binary())])
+        taken = each.take(pa.array(np.insert(codes, starts[1:], len(dictionary))))
+        _, offsets, data = taken.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[starts + np.arange(len(starts))] // self.width
+        ids = np.frombuffer(data, self.kind, bounds[-1])
+        return [ids[a:b] for a, b in pairwise(bounds.tolist())]
 
 
 def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    payload = _START.pack(width, doc_id is not None, doc_id or 0) + ids.astype(f"<u{width}").tobytes()
+    ids = ids.astype(f"<u{width}", copy=False)
+    payload = _START.pack(width, doc_id is not None, doc_id or 0) + ids.tobytes()
     length = len(payload).to_bytes(8, "little")
     return b"".join(
         (

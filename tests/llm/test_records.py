@@ -81,3 +81,50 @@ def test_words_are_encoded_as_in_their_text():
     texts = ["Hello, WORLD!! ciónes", "ünï $$$ x--- the.### \t y", None]
     for got, text in zip(encoder.texts(pa.array(texts)), texts, strict=True):
         assert got.tolist() == ids_of(text).tolist()
+
+
+class Counted:
+    """An encoder's model or tokenizer that notes what it is given."""
+
+    def __init__(self, of):
+        self.of, self.given = of, []
+
+    def tokenize(self, piece):
+        self.given.append(piece)
+        return self.of.tokenize(piece)
+
+    def encode(self, word, **options):
+        self.given.append(word)
+        return self.of.encode(word, **options)
+
+
+def test_pieces_met_again_are_not_encoded_again(monkeypatch):
+    monkeypatch.setattr(records, "REMEMBERED", 4)
+    encoder = records.Encoder(PATH, 2)
+    model = encoder.model = Counted(encoder.model)
+    whole = encoder.tokenizer = Counted(encoder.tokenizer)
+    for i in range(6):
+        text = f"Often often, it's {'abcdef'[i]}x"
+        assert encoder.texts(pa.array([text]))[0].tolist() == ids_of(text).tolist()
+    assert [model.given.count(p) for p in ("often", ",", "ax", "fx")] == [1, 1, 1, 1]
+    assert whole.given == ["it's"]
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    monkeypatch.setattr(records, "REMEMBERED", 4)
+    encoder = records.Encoder(PATH, 2)
+    texts = ["a b c d e f g h, i! j?", "long" * 26, "k a l m"]
+    for _ in range(2):
+        for text in texts:
+            assert encoder.texts(pa.array([text]))[0].tolist() == ids_of(text).tolist()
+            assert len(encoder.known) <= 4 and len(encoder.older) <= 4
+            assert "long" * 26 not in encoder.known
+
+
+def test_every_letter_and_sign():
+    letters = [chr(c) for c in range(1, 0x250)]
+    texts = [t for c in letters for t in (c, f"A{c}b {c}{c}. {c}!?", f"a,{c} É{c}́")]
+    encoder = records.Encoder(PATH, 2)
+    of = encoder.tokenizer.encode
+    for text, got in zip(texts, encoder.texts(pa.array(texts)), strict=True):
+        assert got.tolist() == [*of(text, add_special_tokens=False).ids, 2], ascii(text)
