@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from chalktally.llm import shared
 from chalktally.llm.components import components
-from chalktally.llm.words import mixed, pieces, words
+from chalktally.llm.words import SMALL_PIECE_BYTES, mixed, pieces, words
 
 WIDTH = 5
 MISS = 1e-6
@@ -82,7 +82,7 @@ def _signatures(k: int, chunks: int):
     seeds = _constants(4 * parts)[3 * parts :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=SMALL_PIECE_BYTES):
             shingles, starts = _shingles(batch["text"], k)
             sizes = np.diff(starts)
             some = sizes > 0
@@ -124,7 +124,7 @@ def _lists(rows: np.ndarray, some: np.ndarray) -> pa.Array:
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=SMALL_PIECE_BYTES):
             shingles, starts = _shingles(batch["text"], k)
             lists = pa.ListArray.from_arrays(
                 pa.array(starts.astype(np.int32)), pa.array(shingles.view(np.int64))

@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
 from chalktally.llm import shared
-from chalktally.llm.words import pieces, words
+from chalktally.llm.words import SMALL_PIECE_BYTES, pieces, words
 
 SHARD_CHARS = 20_000_000
 #: Pieces of words whose ids a worker remembers before it forgets those that it
@@ -165,6 +165,22 @@ def record_at(data: memoryview, offset: int) -> tuple[int | None, np.ndarray, in
     return doc_id if has_id else None, ids, start + length + 5
 
 
+def _frames(tokenizer: str, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer, end)
+        for batch in pieces(batches, size=SMALL_PIECE_BYTES):
+            made = [
+                # The line feed is the one that the writer puts after a row.
+                frame(i, ids, encoder.width)[:-1]
+                for i, ids in zip(
+                    batch["doc_id"].to_pylist(), encoder.texts(batch["text"]), strict=True
+                )
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["frame"])
+
+    return run
+
+
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int) -> None:
     """Encode (doc_id, text) and write the shards and then their index.
 
@@ -176,22 +192,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end: int) -> Non
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end)
-        for batch in pieces(batches):
-            made = [
-                # The line feed is the one that the writer puts after a row.
-                frame(i, ids, encoder.width)[:-1]
-                for i, ids in zip(
-                    batch["doc_id"].to_pylist(), encoder.texts(batch["text"]), strict=True
-                )
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["frame"])
-
     (
         rows.repartitionByRange(1 + chars // SHARD_CHARS, "doc_id", F.xxhash64("text"))
         .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(frames, "frame binary")
+        .mapInArrow(_frames(tokenizer, end), "frame binary")
         .select(F.col("frame").cast("string"))
         .write.option("lineSep", "\n")
         .text(f"{folder}/data")

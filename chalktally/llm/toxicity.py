@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalktally.llm import shared
-from chalktally.llm.words import affixed_ngrams, mixed, pieces, words
+from chalktally.llm.words import SMALL_PIECE_BYTES, affixed_ngrams, mixed, pieces, words
 
 WINDOW, STEP = 48, 24
 HIDDEN, VECTOR = 8, 8
@@ -620,7 +620,7 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     model = fit(docs, labels, folds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, size=SMALL_PIECE_BYTES):
             yield batch.filter(pa.array(score_texts(model, batch["text"]) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

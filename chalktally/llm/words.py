@@ -13,15 +13,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 8_000_000
+#: For the pipeline's steps: what is made of a piece's words is many times its
+#: size, and a worker keeps part of it for the stages that follow.
+SMALL_PIECE_BYTES = 2_000_000
 NGRAM_VALUES = 20_000
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about ``PIECE_BYTES`` of text, a row at least,
-    so that memory doesn't depend on how many rows come at a time."""
+def pieces(
+    batches: Iterator[pa.RecordBatch], text: str = "text", size: int = PIECE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``size`` bytes of text, a row at least, so
+    that memory doesn't depend on how many rows come at a time."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False)
-        piece = np.cumsum(sizes, dtype=np.int64) // PIECE_BYTES
+        piece = np.cumsum(sizes, dtype=np.int64) // size
         starts = np.flatnonzero(np.diff(piece, prepend=-1))
         for start, end in zip(starts, [*starts[1:], batch.num_rows], strict=True):
             yield batch.slice(start, end - start)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chalktally.llm import queries, records, shared
+from chalktally.llm.words import SMALL_PIECE_BYTES
 
 SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -121,6 +122,18 @@ def test_memory_of_pieces_is_bounded(monkeypatch):
             assert "long" * 26 not in encoder.known
 
 
+def test_a_large_batch_is_encoded_in_small_pieces():
+    docs = [(i, f"Word{i} and, others! " * 5000) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*docs, strict=True)], ["doc_id", "text"])
+    made = list(records._frames(PATH, 2)(iter([batch])))
+    longest = len(docs[-1][1])
+    assert max(b.num_rows for b in made) * longest <= SMALL_PIECE_BYTES + longest
+    got = [records.record_at(memoryview(f + b"\n"), 0)[:2] for b in made for f in b["frame"].to_pylist()]
+    encoder = records.Encoder(PATH, 2)
+    for (doc_id, ids), (i, text) in zip(got, docs, strict=True):
+        assert doc_id == i and ids.tolist() == encoder.texts(pa.array([text]))[0].tolist()
+
+
 def test_every_letter_and_sign():
     letters = [chr(c) for c in range(1, 0x250)]
     texts = [t for c in letters for t in (c, f"A{c}b {c}{c}. {c}!?", f"a,{c} É{c}́")]
