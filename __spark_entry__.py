@@ -605,7 +605,8 @@ def _arriving(spark: SparkSession, parts: list[DataFrame], purpose: str) -> Data
     folder = f"{session.work_dir(spark, purpose)}/in"
     written = [0]
     for part in parts:
-        part.write.mode("append").parquet(folder)
+        with session.setting(spark, *session.CLEANED):
+            part.write.mode("append").option("compression", "zstd").parquet(folder)
         written.append(len(spark.read.schema(part.schema).parquet(folder).inputFiles()))
     most = max(b - a for a, b in zip(written, written[1:]))
     reader = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", max(2, most))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,15 @@ SETTINGS = {
     ),
     # Commits write what changed instead of whole files.
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # State is mostly text.
+    "spark.sql.streaming.stateStore.compression.codec": "zstd",
+    "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+    # A join of streams has one store a task, not four; each sets 4 MB of disk aside.
+    "spark.sql.streaming.join.stateFormatVersion": "3",
 }
+# Shuffle files go when a write or a micro-batch of a stream ends, not when the driver
+# happens to collect its garbage. For plans that run once.
+CLEANED = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -31,6 +41,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting that holds for what begins here; a stream keeps those of its start."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def local(app: str, cores: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and measurements."""
     builder = (

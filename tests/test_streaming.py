@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import __spark_entry__
+from chalktally import session
 from chalktally.operators import gate, usage
 from chalktally.streaming import gate as gate_stream
 from chalktally.streaming import replies, usage as usage_stream
@@ -84,6 +86,68 @@ def test_stream_replies_close_by_time(spark, chunks, tmp_path):
     assert rows.count() == 6 and "late" in {r.request_id for r in rows.collect()}
 
 
+def test_runs_are_the_chunks_one_by_one(spark):
+    """Some chunks come twice, some without a number or text, some numbers are missing,
+    some texts are long, and each lies in any task."""
+    rng = random.Random(6)
+    rows = [_chunk("empty", n, None, 0) for n in range(3)]
+    for n in range(12):
+        for seq in range(40 * n):
+            if rng.random() < 0.9:
+                text = "".join(rng.choice("aé \n€") for _ in range(rng.choice([0, 3, 5, 150])))
+                counts = rng.choice([None, None, (seq + 1, n + 1)])
+                rows += [_chunk(f"r{n}", seq, text, 0, counts)] * (1 + (n % 3 == 0 and seq % 7 == 0))
+        rows += [_chunk(f"r{n}", None, text, 0) for text in ("z", "a", None)]
+        rows.append(_chunk(None, n, f"nobody's {n}", 0))
+    got = {}
+    for order in ("placed", "mixed"):
+        if order == "mixed":
+            rng.shuffle(rows)
+        df = spark.createDataFrame(rows, replies.chunk_schema()).repartitionByRange(4, F.rand(3))
+        got[order] = as_set(replies.assemble(df if order == "mixed" else df.coalesce(1)), *FIELDS)
+    want = set()
+    for request in {r[0] for r in rows}:
+        own = sorted(
+            ((r[3], r[4] or "", r[5], r[6]) for r in rows if r[0] == request),
+            key=lambda c: (c[0] is not None, c[0] or 0, c[1]),
+        )
+        prompt, completion = ([c[2:] for c in own if c[2] is not None] or [(10, 10)])[-1]
+        text = "".join(c[1] for c in own)
+        want.add((request, text, prompt, completion, prompt + completion))
+    assert got == {"placed": want, "mixed": want}
+
+
+def test_state_is_the_text_and_shuffles_go(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [
+        _chunk(f"r{n}", seq, "".join(rng.choice("abcdefghijklmnop") for _ in range(4)) + " ", n)
+        for n in range(150)
+        for seq in range(100)
+    ]
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    df = spark.createDataFrame(rows, replies.chunk_schema())
+    df.coalesce(1).write.parquet(source)
+
+    def shuffles():
+        env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+        names = env.blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {n for n in names if n.endswith(".data") and "shuffle_" in n}
+
+    before = shuffles()
+    replies.write_replies(
+        replies.assemble(replies.read_chunks(spark, source), delay="9 hours"),
+        out, checkpoint, available_now=True,
+    ).awaitTermination()
+    state = sum(f.stat().st_size for f in (tmp_path / "checkpoint/state").rglob("*.changelog"))
+    assert state < sum(len(r[4]) for r in rows)
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get(session.CLEANED[0]) == "false"
+
+
 def test_split_text_comes_back(spark):
     rng = random.Random(1)
     texts = {f"r{n}": "".join(rng.choice("aé \n,\"") for _ in range(n * 40)) for n in range(1, 9)}
