@@ -26,6 +26,7 @@ SETTINGS = {
     # State is mostly text.
     "spark.sql.streaming.stateStore.compression.codec": "zstd",
     "spark.sql.streaming.stateStore.rocksdb.compression": "zstd",
+    "spark.sql.streaming.stateStore.rocksdb.blockSizeKB": "32",
     # A join of streams has one store a task, not four; each sets 4 MB of disk aside.
     "spark.sql.streaming.join.stateFormatVersion": "3",
 }
